@@ -14,16 +14,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import small_table
 
 
-def order_buckets(hist: DataFrame, order: str, buckets: int = 64) -> Column:
-    """Monotone bucket of a numeric column, balanced over its distinct values.
+def with_order_bucket(hist: DataFrame, order: str, buckets: int = 64) -> DataFrame:
+    """Add ``_b``, a monotone bucket of a numeric column balanced over its distinct values.
 
-    The splits come from a sketch of ``hist`` as an uncorrelated scalar subquery. They
+    The marks come from a sketch of ``hist`` as an uncorrelated scalar subquery. They
     steer balance only: any monotone bucket gives the same running totals.
     """
-    marks = [i / buckets for i in range(1, buckets)]
-    splits = hist.agg(F.percentile_approx(F.col(order).cast("double"), marks, 100 * buckets)).scalar()
+    shares = [i / buckets for i in range(1, buckets)]
+    marks = hist.agg(F.percentile_approx(F.col(order).cast("double"), shares, 100 * buckets)).scalar()
     value = F.col(order).cast("double")
-    return F.coalesce(F.size(F.filter(splits, lambda mark: value > mark)), F.lit(0))
+    marked = hist.withColumn("_marks", marks)
+    return marked.withColumn("_b", F.coalesce(F.size(F.filter("_marks", lambda mark: value > mark)), F.lit(0))).drop("_marks")
 
 
 def running_totals(
@@ -35,8 +36,7 @@ def running_totals(
     buckets: int = 64,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<s>`` of one-row-per-(keys, order) counts."""
-    bucket = order_buckets(hist, order, buckets) if bucket is None else bucket
-    keyed = hist.withColumn("_b", bucket)
+    keyed = with_order_bucket(hist, order, buckets) if bucket is None else hist.withColumn("_b", bucket)
     inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = keyed.groupBy(*keys, "_b").agg(*[F.sum(s).alias(s) for s in sums])

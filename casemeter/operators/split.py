@@ -118,21 +118,17 @@ def stratified_split(
     return take_intervals(drawn, [*groups, label], "_draw", intervals)
 
 
-def count_split(df: DataFrame, case_id: str, label: str, seeds: Sequence[int], parts: Sequence[tuple[str, int]], rest_cap: int) -> DataFrame:
-    """Chain of stratified draws of absolute size, each with its own seed; the rest is capped train."""
-    counts = class_counts(df, [label])
-    pool, done = df, None
-    plan = [*parts, ("train", min(rest_cap, sum(counts.values()) - sum(n for _, n in parts)))]
-    for (name, size), seed in zip(plan, seeds, strict=True):
-        quota = proportional_quota(counts, size)
-        drawn = pool.withColumn("_draw", draw(seed, case_id))
-        both = [(c, name, 0, q) for c, q in quota.items()] + [(c, "_rest", quota[c], n) for c, n in counts.items()]
-        placed = take_intervals(drawn, [label], "_draw", both)
-        part = placed.where(F.col("partition") == name)
-        pool = placed.where(F.col("partition") == "_rest").drop("partition")
-        counts = {c: n - quota[c] for c, n in counts.items() if n > quota[c]}
-        done = part if done is None else done.unionByName(part)
-    return done
+def count_split(df: DataFrame, case_id: str, label: str, seed: int | str, parts: Sequence[tuple[str, int]], rest_cap: int, rest: str = "train") -> DataFrame:
+    """Stratified parts of absolute size, drawn in turn from what the earlier ones left; the rest is capped."""
+    drawn = df.withColumn("_draw", draw(seed, case_id))
+    counts = {c: n for (c,), n in class_counts(df, [label]).items()}
+    start, intervals = dict.fromkeys(counts, 0), []
+    for name, size in [*parts, (rest, rest_cap)]:
+        quota = proportional_quota({c: n - start[c] for c, n in counts.items() if n > start[c]}, size)
+        for c, q in quota.items():
+            intervals.append(((c,), name, start[c], start[c] + q))
+            start[c] += q
+    return take_intervals(drawn, [label], "_draw", intervals)
 
 
 def stratified_cap(df: DataFrame, case_id: str, label: str, cap: int, seed: int | str, groups: Sequence[str] = ()) -> DataFrame:
