@@ -46,17 +46,16 @@ def running_totals(
     return joined.select(*hist.columns, *[(F.col(f"_cum_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums])
 
 
-def quantile_ranks(n: Column, q: float, method: str) -> tuple[Column, Column, Column]:
+def quantile_ranks(n: Column, q: Column, method: str) -> tuple[Column, Column, Column]:
     """Zero-based lower rank, upper rank and interpolation weight of quantile ``q``."""
     if method == "linear":
-        pos = (n - 1) * F.lit(float(q))
-        lo = F.floor(pos)
-        return lo, F.ceil(pos), pos - lo
+        pos = (n - 1) * q
+        return F.floor(pos), F.ceil(pos), pos - F.floor(pos)
     if method == "higher":
-        hi = F.ceil((n - 1) * F.lit(float(q)))
+        hi = F.ceil((n - 1) * q)
         return hi, hi, F.lit(0.0)
     if method == "element":
-        hi = F.least(n - 1, F.floor(n * F.lit(float(q))))
+        hi = F.least(n - 1, F.floor(n * q))
         return hi, hi, F.lit(0.0)
     raise ValueError(f"unknown quantile method {method!r}")
 
@@ -81,23 +80,17 @@ def exact_quantiles(
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
     cum = running_totals(hist, keys, "_v", ["_n"], buckets=buckets)
-    size = hist.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    cum = cum.join(size, list(keys)) if keys else cum.withColumn("_size", size.select("_size").scalar())
-    wanted = []
-    for q in qs:
+    def wanted(q: Column) -> Column:
         lo, hi, w = quantile_ranks(F.col("_size"), q, method)
-        wanted.append(
-            F.struct(F.lit(float(q)).alias("q"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), w.cast("double").alias("w"))
-        )
-    start, end = F.col("cum__n") - F.col("_n"), F.col("cum__n")
-    inside = lambda r: (r >= start) & (r < end)
-    hits = cum.select(
-        *keys,
-        "_v",
-        start.alias("_start"),
-        end.alias("_end"),
-        F.explode(F.filter(F.array(*wanted), lambda s: inside(s["lo"]) | inside(s["hi"]))).alias("_r"),
-    )
+        return F.struct(q.alias("q"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), w.cast("double").alias("w"))
+
+    levels = F.expr(f"array({', '.join(f'{float(q)!r}D' for q in qs)})")
+    # The wanted ranks are worked out once per group, not per value.
+    ranks = hist.groupBy(*keys).agg(F.sum("_n").alias("_size")).select(*keys, F.transform(levels, wanted).alias("_ranks"))
+    cum = cum.join(ranks, list(keys)) if keys else cum.withColumn("_ranks", ranks.scalar())
+    spans = cum.select(*keys, "_v", "_ranks", (F.col("cum__n") - F.col("_n")).alias("_start"), F.col("cum__n").alias("_end"))
+    inside = lambda r: (r >= F.col("_start")) & (r < F.col("_end"))
+    hits = spans.select(*keys, "_v", "_start", "_end", F.explode(F.filter("_ranks", lambda s: inside(s["lo"]) | inside(s["hi"]))).alias("_r"))
     covers = lambda f: (F.col(f"_r.{f}") >= F.col("_start")) & (F.col(f"_r.{f}") < F.col("_end"))
     picked = hits.groupBy(*keys, F.col("_r.q").alias("q"), F.col("_r.w").alias("_w")).agg(
         F.max(F.when(covers("lo"), F.col("_v"))).alias("_lo"), F.max(F.when(covers("hi"), F.col("_v"))).alias("_hi")
