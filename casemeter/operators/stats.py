@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.keys import digest, draw_index
+from ..session import checkpointed
 
 #: Draws (replicates x values) up to which indices are drawn one by one.
 INDEX_DRAW_LIMIT = 40_000_000
@@ -59,35 +60,42 @@ def resampling_unit(pair_id: str, day: str, case_id: str) -> Column:
     return F.coalesce(F.col(pair_id).cast("string"), F.col(day).cast("string"), F.col(case_id).cast("string"))
 
 
-def histogram(df: DataFrame, scope: Sequence[str], stratum: str, value: str) -> DataFrame:
-    """Per stratum: distinct values with running counts, as one array (``values``) and the size ``n``."""
-    counts = df.groupBy(*scope, stratum, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*scope, stratum).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("_cum", F.sum("_c").over(upto))
-    entry = F.struct(F.col("_cum").alias("cum"), F.col("_v").alias("v"))
-    return cum.groupBy(*scope, stratum).agg(F.array_sort(F.collect_list(entry)).alias("values"), F.max("_cum").alias("n"))
+def value_counts(df: DataFrame, scope: Sequence[str], stratum: str, value: str) -> DataFrame:
+    """Distinct values per stratum with their counts: all that an interval needs.
+
+    The cases are read once; the counts are checkpointed because several small jobs follow.
+    """
+    return checkpointed(df.groupBy(*scope, stratum, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
 
 
-def _index_replicates(df: DataFrame, scope: Sequence[str], stratum: str, value: str, replicates: int, seed: str) -> DataFrame:
+def _running(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("_cum", F.sum("_c").over(upto))
+
+
+def _index_replicates(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: str) -> DataFrame:
     """Replicate means per stratum from index draws into the sorted values.
 
     Only used below ``INDEX_DRAW_LIMIT`` draws, which bounds the broadcast side by
     ``INDEX_DRAW_LIMIT / replicates`` rows. Replicates are the parallel unit.
     """
     keys = [*scope, stratum]
-    sorted_values = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    sorted_values = sorted_values.withColumn("_i", (F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1).cast("bigint"))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    reps = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(*keys, "replicate")
+    places = F.explode(F.sequence(F.col("_cum") - F.col("_c"), F.col("_cum") - 1)).alias("_i")
+    sorted_values = _running(counts, keys).select(*keys, "_v", places)
+    reps = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # An explicit count: adaptive execution would merge these few rows, and with them all the draws.
+    reps = reps.repartition(counts.sparkSession.sparkContext.defaultParallelism, *keys, "replicate")
     draws = reps.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     index = draw_index(F.col("n"), F.lit(seed), *[F.col(c) for c in keys], F.col("replicate"), F.col("_p"))
     hit = draws.select(*keys, "replicate", index.alias("_i")).join(F.broadcast(sorted_values), [*keys, "_i"])
     return hit.groupBy(*keys, "replicate").agg(F.avg("_v").alias("mean"))
 
 
-def _count_replicates(hist: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: str) -> DataFrame:
+def _count_replicates(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: str) -> DataFrame:
     """Replicate means per stratum from multinomial counts; blocks of replicates are the parallel unit."""
     keys = [*scope, stratum]
+    entry = F.struct(F.col("_cum").alias("cum"), F.col("_v").alias("v"))
+    hist = _running(counts, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("values"), F.max("_cum").alias("n"))
     blocks = -(-replicates // _BLOCK)
     work = hist.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     work = work.withColumn("entropy", F.conv(F.substring(digest(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in keys], F.col("block").cast("string"))), 1, 13), 16, 10).cast("bigint"))
@@ -103,21 +111,24 @@ def _count_replicates(hist: DataFrame, scope: Sequence[str], stratum: str, repli
                 out = {k: [getattr(row, k)] * size for k in keys}
                 yield pd.DataFrame({**out, "replicate": np.arange(size) + 1 + row.block * _BLOCK, "mean": counts @ values / row.n})
 
-    flat = work.repartition(*keys, "block").withColumnRenamed("values", "values_").select(*keys, "block", "entropy", "n", F.col("values_").alias("values"))
+    slots = hist.sparkSession.sparkContext.defaultParallelism
+    flat = work.repartition(slots, *keys, "block").withColumnRenamed("values", "values_").select(*keys, "block", "entropy", "n", F.col("values_").alias("values"))
     return flat.mapInPandas(draw, schema)
 
 
+def replicates_of(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: int | str, method: str = "auto") -> DataFrame:
+    """Replicate statistics per scope: the equal-weight mean of the stratum means."""
+    if method == "auto":
+        size = counts.agg(F.sum("_c")).collect()[0][0] or 0
+        method = "index" if size * replicates <= INDEX_DRAW_LIMIT else "counts"
+    draw = _index_replicates if method == "index" else _count_replicates
+    return draw(counts, scope, stratum, replicates, str(seed)).groupBy(*scope, "replicate").agg(F.avg("mean").alias("statistic"))
+
+
 def bootstrap_replicates(
     df: DataFrame, scope: Sequence[str], stratum: str, value: str, replicates: int, seed: int | str, method: str = "auto"
 ) -> DataFrame:
-    """Replicate statistics per scope: the equal-weight mean of the stratum means."""
-    if method == "auto":
-        method = "index" if df.count() * replicates <= INDEX_DRAW_LIMIT else "counts"
-    if method == "index":
-        means = _index_replicates(df, scope, stratum, value, replicates, str(seed))
-    else:
-        means = _count_replicates(histogram(df, scope, stratum, value), scope, stratum, replicates, str(seed))
-    return means.groupBy(*scope, "replicate").agg(F.avg("mean").alias("statistic"))
+    return replicates_of(value_counts(df, scope, stratum, value), scope, stratum, replicates, seed, method)
 
 
 def interval(replicates: DataFrame, scope: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -128,17 +139,18 @@ def interval(replicates: DataFrame, scope: Sequence[str], level: float = 0.95) -
 
 def stratified_interval(diffs: DataFrame, scope: Sequence[str], replicates: int, seed: int | str, label: str = "label", method: str = "auto") -> DataFrame:
     """Balanced difference with a bootstrap interval over cases within classes, in percentage points."""
-    reps = bootstrap_replicates(diffs, scope, label, "difference", replicates, seed, method)
-    bounds = interval(reps, scope).select(*scope, (100 * F.col("low")).alias("lower_95_pp"), (100 * F.col("high")).alias("upper_95_pp"))
-    return balanced_difference(diffs, scope, label).join(bounds, list(scope), "left")
+    counts = value_counts(diffs, scope, label, "difference")
+    per_class = counts.groupBy(*scope, label).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_m"), F.sum("_c").alias("_n"))
+    point = per_class.groupBy(*scope).agg((100 * F.avg("_m")).alias("difference_pp"), F.sum("_n").alias("cases"))
+    bounds = interval(replicates_of(counts, scope, label, replicates, seed, method), scope)
+    return point.join(bounds.select(*scope, (100 * F.col("low")).alias("lower_95_pp"), (100 * F.col("high")).alias("upper_95_pp")), list(scope), "left")
 
 
 def cluster_interval(clusters: DataFrame, scope: Sequence[str], replicates: int, seed: int | str, value: str = "value", method: str = "auto") -> DataFrame:
     """Mean of cluster means with an interval from resampled clusters."""
-    one = clusters.withColumn("_all", F.lit("all"))
-    bounds = interval(bootstrap_replicates(one, scope, "_all", value, replicates, seed, method), scope)
-    sizes = clusters.groupBy(*scope).agg(F.avg(value).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
-    return sizes.join(bounds, list(scope), "left")
+    counts = value_counts(clusters.withColumn("_all", F.lit("all")), scope, "_all", value)
+    point = counts.groupBy(*scope).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("estimate"), F.sum("_c").alias("clusters"))
+    return point.join(interval(replicates_of(counts, scope, "_all", replicates, seed, method), scope), list(scope), "left")
 
 
 def bootstrap_p(replicates: DataFrame, scope: Sequence[str]) -> DataFrame:
