@@ -156,13 +156,13 @@ def early_stopping(c: Candidate, train: DataFrame, validation: DataFrame, seed:
 
 def _validation_value(scored: DataFrame, classes: int, label: str) -> float | None:
     """Validation balanced accuracy; binary tasks are judged after a provisional threshold."""
-    one = scored.withColumn("_g", F.lit(1))
+    one = scored.withColumn("all_rows", F.lit(1))
     if classes == 2 and not one.where(F.col("score").isNull()).limit(1).count():
         default = one.select("default_threshold").limit(1).collect()[0][0]
-        rows = de.choose_threshold(one, ["_g"], label, "score", default).collect()
+        rows = de.choose_threshold(one, ["all_rows"], label, "score", default).collect()
         return rows[0]["selection_balanced_accuracy"] if rows else None
-    table = me.class_table(me.confusion(one, ["_g"], label, "raw"), ["_g"], classes)
-    return me.balanced_accuracy_present(table, ["_g"]).collect()[0]["balanced_accuracy"]
+    table = me.class_table(me.confusion(one, ["all_rows"], label, "raw"), ["all_rows"], classes)
+    return me.balanced_accuracy_present(table, ["all_rows"]).collect()[0]["balanced_accuracy"]
 
 
 TRIALS = "family string, trial int, params map<string,string>, balanced_weights boolean, score double, rounds int, seconds double, error string"

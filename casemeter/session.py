@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,6 +23,17 @@ def builder(app: str = "casemeter", master: str | None = None) -> SparkSession.B
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for written tables, in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only where that is unset (a test session) is a local one made.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix="casemeter-")
+    return f"{base.rstrip('/')}/casemeter-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 

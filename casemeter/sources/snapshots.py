@@ -16,10 +16,11 @@ def read_snapshot(spark: SparkSession, path: str, schema: str | StructType | Non
     return reader.parquet(path)
 
 
-def read_shards(spark: SparkSession, paths: Sequence[str], splits: Sequence[str], strict: bool = True) -> DataFrame:
+def read_shards(spark: SparkSession, paths: Sequence[str], splits: Sequence[str], schema: str | StructType | None = None, strict: bool = True) -> DataFrame:
     """Many shard files; the split is the prefix of the file name. An empty split is an error."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    df = spark.read.parquet(*paths).select("*", F.regexp_extract(name, r"^([A-Za-z]+)", 1).alias("_official_split"))
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(*paths).select("*", F.regexp_extract(name, r"^([A-Za-z]+)", 1).alias("_official_split"))
     if strict:
         found = {r[0] for r in df.select("_official_split").distinct().limit(len(splits) + 1).collect()}
         if not set(splits) <= found:
