@@ -26,6 +26,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpointed
 from . import decide as de, metrics as me
 from .table_features import class_weights, with_class_weights
 
@@ -156,7 +157,7 @@ def early_stopping(c: Candidate, train: DataFrame, validation: DataFrame, seed:
 
 def _validation_value(scored: DataFrame, classes: int, label: str) -> float | None:
     """Validation balanced accuracy; binary tasks are judged after a provisional threshold."""
-    one = scored.withColumn("all_rows", F.lit(1))
+    one = checkpointed(scored.withColumn("all_rows", F.lit(1)).drop("probabilities"))
     if classes == 2 and not one.where(F.col("score").isNull()).limit(1).count():
         default = one.select("default_threshold").limit(1).collect()[0][0]
         rows = de.choose_threshold(one, ["all_rows"], label, "score", default).collect()

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import small_table
+from ..session import SMALL_TABLE_ROWS, checkpointed, small_table
 
 
 def with_order_bucket(hist: DataFrame, order: str, buckets: int = 64) -> DataFrame:
@@ -27,6 +27,12 @@ def with_order_bucket(hist: DataFrame, order: str, buckets: int = 64) -> DataFra
     return marked.withColumn("_b", F.coalesce(F.size(F.filter("_marks", lambda mark: value > mark)), F.lit(0))).drop("_marks")
 
 
+def settle(hist: DataFrame) -> tuple[DataFrame, bool]:
+    """Checkpoint counts that several jobs read, and say whether they fit one task."""
+    hist = checkpointed(hist)
+    return hist, hist.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS
+
+
 def running_totals(
     hist: DataFrame,
     keys: Sequence[str],
@@ -34,8 +40,18 @@ def running_totals(
     sums: Sequence[str],
     bucket: Column | None = None,
     buckets: int = 64,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Inclusive running sums ``cum_<s>`` of one-row-per-(keys, order) counts."""
+    """Inclusive running sums ``cum_<s>`` of one-row-per-(keys, order) counts.
+
+    Counts of at most ``SMALL_TABLE_ROWS`` rows (checked, or stated by ``small``) are summed
+    by one window per group; larger ones go through the buckets.
+    """
+    if bucket is None and small is None:
+        hist, small = settle(hist)
+    if small:
+        whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return hist.select("*", *[F.sum(s).over(whole).alias(f"cum_{s}") for s in sums])
     keyed = with_order_bucket(hist, order, buckets) if bucket is None else hist.withColumn("_b", bucket)
     inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,7 +95,8 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
-    cum = running_totals(hist, keys, "_v", ["_n"], buckets=buckets)
+    hist, small = settle(hist)
+    cum = running_totals(hist, keys, "_v", ["_n"], buckets=buckets, small=small)
     def wanted(q: Column) -> Column:
         lo, hi, w = quantile_ranks(F.col("_size"), q, method)
         return F.struct(q.alias("q"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), w.cast("double").alias("w"))

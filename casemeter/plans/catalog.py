@@ -13,6 +13,7 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 SECTIONS = (
+    "flagship",
     "snapshots", "sets_joins", "splits", "series", "text_features", "table_features", "modelling",
     "decisions", "metrics", "paired", "reports", "audits", "requests", "episodes", "monitors", "files",
 )

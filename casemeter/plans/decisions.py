@@ -83,7 +83,7 @@ _GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 def de5(spark, sf):
     s = scores(spark, sf).where("score is not null")
     validation, test = s.where("partition = 'validation'"), s.where("partition = 'test'")
-    values = de.grid_scores(validation, KEYS, "y", "score", de.fixed_grid(validation, KEYS, _GRID))
+    values = de.grid_scores(de.score_counts(validation, KEYS, "y", "score"), KEYS, de.fixed_grid(validation, KEYS, _GRID))
     best = de.best_grid_point(values, KEYS)
     decided = de.apply_threshold(test, KEYS, "score", "raw", best)
     counts = decided.groupBy(*KEYS).agg(
