@@ -27,16 +27,3 @@ def with_bigrams(tokens: Column) -> Column:
         lambda a, b: F.concat_ws(" ", a, b),
     )
     return F.concat(tokens, pairs)
-
-
-def _gram(padded: Column, n: int):
-    return lambda i: F.substring(padded, i, F.lit(n))
-
-
-def char_grams(word: Column, lo: int = 3, hi: int = 5) -> Column:
-    """Every substring of length ``lo``-``hi`` of the word padded by one space on each side."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    starts = lambda n: F.sequence(F.lit(1), F.length(padded) - (n - 1))
-    none = F.array().cast("array<string>")
-    grams = [F.when(F.length(padded) >= n, F.transform(starts(n), _gram(padded, n))).otherwise(none) for n in range(lo, hi + 1)]
-    return F.concat(*grams)

@@ -7,11 +7,17 @@ buckets, total the buckets (a bounded table), and sort only inside (group, bucke
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..session import SMALL_TABLE_ROWS, checkpointed, small_table
+from ..session import SMALL_TABLE_ROWS, checkpointed
+
+#: Largest bucket count table (strata x buckets) that reaches the driver.
+COUNTED_BUCKETS = 400_000
 
 
 def with_order_bucket(hist: DataFrame, order: str, buckets: int = 64) -> DataFrame:
@@ -116,29 +122,43 @@ def exact_quantiles(
     return picked.select(*keys, "q", value_at.alias("value"))
 
 
-def draw_cuts(df: DataFrame, strata: Sequence[str], draw: str, ranks: DataFrame, digits: int = 3) -> DataFrame:
-    """Draw value found at given one-based ranks inside each stratum.
+def draw_digits(strata: int, rows: int) -> int:
+    """Leading hex digits that cut a draw into buckets: none for small inputs, else as many as the driver can count."""
+    if rows <= SMALL_TABLE_ROWS:
+        return 0
+    return max(d for d in range(1, 5) if strata * 16**d <= COUNTED_BUCKETS or d == 1)
+
+
+def draw_cuts(df: DataFrame, strata: Sequence[str], draw: str, ranks: Iterable[tuple], rows: int) -> dict[tuple, str]:
+    """Draw value found at one-based ranks inside each stratum: ``{(*stratum, rank): cut}``.
 
     ``draw`` is a uniform hexadecimal string, so its leading digits cut every stratum,
-    however hot, into ``16**digits`` even buckets. One pass counts the buckets; a second
-    sorts only the buckets in which a wanted rank falls. ``ranks`` has ``strata, rank``;
-    the result is ``strata, rank, cut``.
+    however hot, into even buckets. One pass counts the buckets (a bounded table); a second
+    sorts only the buckets in which a wanted rank falls.
     """
-    bucketed = df.withColumn("_b", F.substring(draw, 1, digits))
-    counts = bucketed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    located = counts.withColumn("_end", F.sum("_n").over(upto))
-    ranks = ranks.select(*strata, "rank").distinct()
-    found = (
-        located.join(ranks, list(strata))
-        .where((F.col("rank") > F.col("_end") - F.col("_n")) & (F.col("rank") <= F.col("_end")))
-        .select(*strata, "_b", "rank", (F.col("rank") - F.col("_end") + F.col("_n")).alias("_local"))
-    )
-    found = small_table(found)
-    edge = bucketed.select(*strata, "_b", draw).join(found.select(*strata, "_b").distinct(), [*strata, "_b"], "left_semi")
+    spark, ranks = df.sparkSession, sorted(set(ranks))
+    n = len(strata)
+    digits = draw_digits(len({r[:n] for r in ranks}), rows)
+    bucketed = df.withColumn("_b", F.substring(draw, 1, digits)).select(*strata, "_b", draw)
+    wanted: list[tuple] = [(*r[:n], "", r[n], r[n]) for r in ranks]
+    if digits:
+        by_stratum: dict[tuple, list[tuple[str, int]]] = {}
+        for r in bucketed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("n")).collect():
+            by_stratum.setdefault(tuple(r[c] for c in strata), []).append((r["_b"], r["n"]))
+        ends = {s: (sorted(b), list(accumulate(c for _, c in sorted(b)))) for s, b in by_stratum.items()}
+        wanted = []
+        for *s, rank in ranks:
+            buckets, upto = ends[tuple(s)]
+            i = bisect_left(upto, rank)
+            wanted.append((*s, buckets[i][0], rank, rank - (upto[i - 1] if i else 0)))
+    fields = [df.schema[c] for c in strata]
+    schema = StructType([*fields, StructField("_b", StringType()), StructField("rank", LongType()), StructField("_local", LongType())])
+    found = spark.createDataFrame(wanted, schema)
+    edges = F.broadcast(found.select(*strata, "_b").distinct())
     spot = Window.partitionBy(*strata, "_b").orderBy(draw)
-    placed = edge.withColumn("_local", F.row_number().over(spot))
-    return placed.join(found, [*strata, "_b", "_local"]).select(*strata, "rank", F.col(draw).alias("cut"))
+    placed = bucketed.join(edges, [*strata, "_b"], "left_semi").withColumn("_local", F.row_number().over(spot).cast("bigint"))
+    hits = placed.join(F.broadcast(found), [*strata, "_b", "_local"]).select(*strata, "rank", draw).collect()
+    return {tuple(r)[:-1]: r[draw] for r in hits}
 
 
 def dense_positions(df: DataFrame, order: str, keys: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from math import ceil
 
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.keys import draw
 from ..session import SMALL_TABLE_ROWS
@@ -55,19 +55,15 @@ def proportional_quota(counts: Mapping, total: int, minimum: int = 0) -> dict:
     return quota
 
 
-def take_intervals(df: DataFrame, strata: Sequence[str], draw_col: str, intervals: Sequence[Interval]) -> DataFrame:
+def take_intervals(df: DataFrame, strata: Sequence[str], draw_col: str, intervals: Sequence[Interval], rows: int) -> DataFrame:
     """Rows whose rank by draw lies in an interval ``(stratum, part, lo, hi]``; adds ``partition``."""
-    spark = df.sparkSession
     intervals = [i for i in intervals if i[3] > i[2]]
     if len(intervals) > SMALL_TABLE_ROWS:
         raise ValueError("strata are not a bounded catalogue")
-    fields = [df.schema[c] for c in strata]
-    ranks = {(*s, r) for s, _, lo, hi in intervals for r in (lo, hi) if r > 0}
-    rank_table = spark.createDataFrame(sorted(ranks), StructType([*fields, StructField("rank", LongType())]))
-    cuts = {tuple(r)[:-1]: r["cut"] for r in draw_cuts(df, strata, draw_col, rank_table).collect()}
+    cuts = draw_cuts(df, strata, draw_col, [(*s, r) for s, _, lo, hi in intervals for r in (lo, hi) if r > 0], rows)
     bounds = [(*s, part, cuts[(*s, lo)] if lo else "", cuts[(*s, hi)]) for s, part, lo, hi in intervals]
-    schema = StructType([*fields, *[StructField(c, StringType()) for c in ("partition", "_after", "_upto")]])
-    table = F.broadcast(spark.createDataFrame(bounds, schema))
+    schema = StructType([*[df.schema[c] for c in strata], *[StructField(c, StringType()) for c in ("partition", "_after", "_upto")]])
+    table = F.broadcast(df.sparkSession.createDataFrame(bounds, schema))
     hit = df.join(table, list(strata)).where((F.col(draw_col) > F.col("_after")) & (F.col(draw_col) <= F.col("_upto")))
     return hit.select(*[c for c in df.columns if c != draw_col], "partition")
 
@@ -110,12 +106,13 @@ def stratified_split(
 ) -> DataFrame:
     """Named parts by share, in order, then ``rest``; independent of partitioning and row order."""
     drawn = df.withColumn("_draw", draw(seed, case_id))
+    counts = class_counts(df, [*groups, label])
     intervals = [
         ((*g, c), part, lo, hi)
-        for g, classes in _by_group(class_counts(df, [*groups, label])).items()
+        for g, classes in _by_group(counts).items()
         for c, part, lo, hi in stratified_parts(classes, parts, rest, caps)
     ]
-    return take_intervals(drawn, [*groups, label], "_draw", intervals)
+    return take_intervals(drawn, [*groups, label], "_draw", intervals, sum(counts.values()))
 
 
 def count_split(df: DataFrame, case_id: str, label: str, seed: int | str, parts: Sequence[tuple[str, int]], rest_cap: int, rest: str = "train") -> DataFrame:
@@ -128,18 +125,17 @@ def count_split(df: DataFrame, case_id: str, label: str, seed: int | str, parts:
         for c, q in quota.items():
             intervals.append(((c,), name, start[c], start[c] + q))
             start[c] += q
-    return take_intervals(drawn, [label], "_draw", intervals)
+    return take_intervals(drawn, [label], "_draw", intervals, sum(counts.values()))
 
 
-def stratified_cap(df: DataFrame, case_id: str, label: str, cap: int, seed: int | str, groups: Sequence[str] = ()) -> DataFrame:
+def stratified_cap(
+    df: DataFrame, case_id: str, label: str, cap: int, seed: int | str, groups: Sequence[str] = (), counts: Counts | None = None
+) -> DataFrame:
     """At most ``cap`` rows per group, proportional by class, every class kept, exactly ``cap`` when larger."""
     drawn = df.withColumn("_draw", draw(seed, case_id))
-    intervals = [
-        ((*g, c), "kept", 0, q)
-        for g, classes in _by_group(class_counts(df, [*groups, label])).items()
-        for c, q in proportional_quota(classes, cap, 1).items()
-    ]
-    return take_intervals(drawn, [*groups, label], "_draw", intervals).drop("partition")
+    counts = class_counts(df, [*groups, label]) if counts is None else counts
+    intervals = [((*g, c), "kept", 0, q) for g, classes in _by_group(counts).items() for c, q in proportional_quota(classes, cap, 1).items()]
+    return take_intervals(drawn, [*groups, label], "_draw", intervals, sum(counts.values())).drop("partition")
 
 
 def shared_holdout(
@@ -148,9 +144,9 @@ def shared_holdout(
     """``(pool, test)``: one test set for all training seeds, free of excluded cases."""
     counts = class_counts(df, [label])
     allowed = df if excluded is None else df.join(excluded.select(case_id).distinct(), case_id, "left_anti")
-    free = class_counts(allowed, [label])
+    free = counts if excluded is None else class_counts(allowed, [label])
     size = min(max(len(counts), ceil(round(share * sum(counts.values()), 9))), sum(free.values()))
-    test = stratified_cap(allowed, case_id, label, min(cap, size), seed)
+    test = stratified_cap(allowed, case_id, label, min(cap, size), seed, counts=free)
     pool = df.join(test.select(case_id), case_id, "left_anti")
     return pool, test
 

@@ -11,9 +11,12 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import ratio
-from ..functions.text import char_grams, with_bigrams, word_tokens
+from ..functions.text import with_bigrams, word_tokens
 from ..session import small_table
 
+#: Lengths of the character n-grams.
+GRAM_LENGTHS = (3, 4, 5)
+
 
 def with_word_terms(docs: DataFrame, text: str) -> DataFrame:
     """Add ``_t``, the lower-cased words and word pairs; the words are a column of their own so that they are cut once."""
@@ -25,31 +28,50 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def _vocabulary(frequency: DataFrame, occurrences: DataFrame, total: DataFrame, max_features: int) -> DataFrame:
+def _each(df: DataFrame, terms: Column, *keep: str | Column, name: str = "term") -> DataFrame:
+    """One row per array element.
+
+    An outer explode: for an inner one the optimizer would put a filter on the array's size
+    under it, and with it a second evaluation of the whole tokenisation.
+    """
+    return df.select(*keep, F.explode_outer(terms).alias(name)).where(F.col(name).isNotNull())
+
+
+def _vocabulary(frequency: DataFrame, occurrences: DataFrame, total: DataFrame, max_features: int, counted: Column | None = None) -> DataFrame:
     """Top terms by corpus frequency (ties by term) with a smooth inverse document frequency.
 
-    ``occurrences`` has one row per (document, term); it is cut to the kept terms before it is counted.
+    ``occurrences`` is cut to the kept terms before its documents are counted: its rows by
+    default, the distinct values of ``counted`` where a term may repeat in a document.
     """
     top = frequency.orderBy(F.desc("frequency"), "term").limit(max_features)
     n = total.agg(F.count(F.lit(1)).alias("n")).scalar()
     kept = small_table(top, max_features)
-    counted = occurrences.join(kept, "term").groupBy("term", "frequency").agg(F.count(F.lit(1)).alias("documents"))
-    return counted.select("term", "frequency", "documents", (F.log((1 + n) / (1.0 + F.col("documents"))) + 1).alias("idf"))
+    documents = F.count(F.lit(1)) if counted is None else F.count_distinct(counted)
+    found = occurrences.join(kept, "term").groupBy("term", "frequency").agg(documents.alias("documents"))
+    return found.select("term", "frequency", "documents", (F.log((1 + n) / (1.0 + F.col("documents"))) + 1).alias("idf"))
+
+
+def _gram_rows(df: DataFrame, word: str, *keep: str) -> DataFrame:
+    """Character n-grams of a word column as rows: positions first, then the three lengths, all compiled."""
+    padded = df.select(*keep, F.concat(F.lit(" "), F.col(word), F.lit(" ")).alias("_p"))
+    placed = _each(padded, F.sequence(F.lit(1), F.length("_p") - (GRAM_LENGTHS[0] - 1)), *keep, "_p", name="_at")
+    gram = lambda n: F.when(F.col("_at") + (n - 1) <= F.length("_p"), F.substring("_p", F.col("_at"), F.lit(n)))
+    return _each(placed, F.array(*[gram(n) for n in GRAM_LENGTHS]), *keep)
 
 
 def fit_word_vocabulary(train: DataFrame, text: str, max_features: int) -> DataFrame:
     terms = with_word_terms(train.select(text), text).select("_t")
-    frequency = terms.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
-    return _vocabulary(frequency, terms.select(F.explode(F.array_distinct("_t")).alias("term")), train, max_features)
+    frequency = _each(terms, F.col("_t")).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
+    return _vocabulary(frequency, _each(terms, F.array_distinct("_t")), train, max_features)
 
 
-def fit_char_vocabulary(train: DataFrame, text: str, max_features: int) -> DataFrame:
-    """Characters n-grams inside words: frequencies expand distinct words, not tokens."""
-    tokens = train.select(words(F.col(text)).alias("_w"))
-    by_word = tokens.select(F.explode("_w").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    frequency = by_word.select(F.explode(char_grams(F.col("_w"))).alias("term"), "_n").groupBy("term").agg(F.sum("_n").alias("frequency"))
-    grams = F.array_distinct(F.flatten(F.transform(F.array_distinct("_w"), lambda w: char_grams(w))))
-    return _vocabulary(frequency, tokens.select(F.explode(grams).alias("term")), train, max_features)
+def fit_char_vocabulary(train: DataFrame, doc_id: str, text: str, max_features: int) -> DataFrame:
+    """Character n-grams inside words: frequencies expand distinct words, document counts the distinct words of a document."""
+    tokens = train.select(doc_id, words(F.col(text)).alias("_w"))
+    by_word = _each(tokens, F.col("_w"), name="_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    frequency = _gram_rows(by_word, "_word", "_n").groupBy("term").agg(F.sum("_n").alias("frequency"))
+    occurrences = _gram_rows(_each(tokens, F.array_distinct("_w"), doc_id, name="_word"), "_word", doc_id)
+    return _vocabulary(frequency, occurrences, train, max_features, F.col(doc_id))
 
 
 def _weigh(terms: DataFrame, doc_id: str, vocabulary: DataFrame, max_features: int) -> DataFrame:
@@ -66,13 +88,13 @@ def _weigh(terms: DataFrame, doc_id: str, vocabulary: DataFrame, max_features: i
 
 
 def word_weights(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame, max_features: int) -> DataFrame:
-    terms = with_word_terms(docs.select(doc_id, text), text).select(doc_id, F.explode("_t").alias("term"), F.lit(1).alias("_n"))
+    terms = _each(with_word_terms(docs.select(doc_id, text), text), F.col("_t"), doc_id).withColumn("_n", F.lit(1))
     return _weigh(terms, doc_id, vocabulary, max_features)
 
 
 def char_weights(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame, max_features: int) -> DataFrame:
-    exploded = docs.select(doc_id, F.explode(words(F.col(text))).alias("_w"))
-    terms = exploded.select(doc_id, F.explode(char_grams(F.col("_w"))).alias("term"), F.lit(1).alias("_n"))
+    exploded = _each(docs.select(doc_id, words(F.col(text)).alias("_w")), F.col("_w"), doc_id, name="_word")
+    terms = _gram_rows(exploded, "_word", doc_id).withColumn("_n", F.lit(1))
     return _weigh(terms, doc_id, vocabulary, max_features)
 
 

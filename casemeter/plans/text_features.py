@@ -51,7 +51,7 @@ def fe1(spark, sf):
 )
 def fe2(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    voc = tf.fit_char_vocabulary(docs, "text", CHARS)
+    voc = tf.fit_char_vocabulary(docs, "doc_id", "text", CHARS)
     return tf.char_weights(docs, "doc_id", "text", voc, CHARS).withColumn("weight", r6(F.col("weight")))
 
 
