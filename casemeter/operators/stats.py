@@ -15,13 +15,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.keys import digest, draw_index
 from ..session import checkpointed
 
 #: Draws (replicates x values) up to which indices are drawn one by one.
 INDEX_DRAW_LIMIT = 40_000_000
+#: Distinct values that one task of the multinomial form holds.
+CHUNK_VALUES = 20_000
 _BLOCK = 100
 
 
@@ -92,28 +94,44 @@ def _index_replicates(counts: DataFrame, scope: Sequence[str], stratum: str, rep
 
 
 def _count_replicates(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: str) -> DataFrame:
-    """Replicate means per stratum from multinomial counts; blocks of replicates are the parallel unit."""
+    """Replicate means per stratum from multinomial counts; (chunk of values, block of replicates) is the parallel unit.
+
+    Many distinct values are cut into chunks. Every chunk of a block draws the same chunk
+    totals from the same seed and then its own counts given its total, so the chunks
+    together follow one multinomial while no task holds more than a chunk of values.
+    """
     keys = [*scope, stratum]
-    entry = F.struct(F.col("_cum").alias("cum"), F.col("_v").alias("v"))
-    hist = _running(counts, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("values"), F.max("_cum").alias("n"))
+    chunks = -(-counts.count() // CHUNK_VALUES) or 1
+    chunked = counts.withColumn("_chunk", F.pmod(F.xxhash64("_v"), F.lit(chunks)).cast("int"))
+    parts = chunked.groupBy(*keys, "_chunk").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_c").alias("c")))).alias("values"), F.sum("_c").alias("_size")
+    )
+    sizes = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("chunk"), F.col("_size").alias("size")))).alias("sizes"))
     blocks = -(-replicates // _BLOCK)
-    work = hist.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    work = work.withColumn("entropy", F.conv(F.substring(digest(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in keys], F.col("block").cast("string"))), 1, 13), 16, 10).cast("bigint"))
-    schema = StructType([*[hist.schema[k] for k in keys], StructField("replicate", IntegerType()), StructField("mean", DoubleType())])
+    work = parts.join(sizes, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    name = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in keys], F.col("block").cast("string"))
+    work = work.withColumn("entropy", F.conv(F.substring(digest(name), 1, 13), 16, 10).cast("bigint"))
+    schema = StructType(
+        [*[counts.schema[k] for k in keys], StructField("replicate", IntegerType()), StructField("part", DoubleType()), StructField("n", LongType())]
+    )
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                cum = np.array([e["cum"] for e in row.values], dtype=np.int64)
-                values = np.array([e["v"] for e in row.values])
-                size = min(_BLOCK, replicates - row.block * _BLOCK)
-                counts = np.random.default_rng(row.entropy).multinomial(row.n, np.diff(cum, prepend=0) / row.n, size=size)
-                out = {k: [getattr(row, k)] * size for k in keys}
-                yield pd.DataFrame({**out, "replicate": np.arange(size) + 1 + row.block * _BLOCK, "mean": counts @ values / row.n})
-
-    slots = hist.sparkSession.sparkContext.defaultParallelism
-    flat = work.repartition(slots, *keys, "block").withColumnRenamed("values", "values_").select(*keys, "block", "entropy", "n", F.col("values_").alias("values"))
-    return flat.mapInPandas(draw, schema)
+            for row in batch.to_dict("records"):
+                size = min(_BLOCK, replicates - row["block"] * _BLOCK)
+                totals = np.array([e["size"] for e in row["sizes"]], dtype=np.int64)
+                n = int(totals.sum())
+                at = [e["chunk"] for e in row["sizes"]].index(row["_chunk"])
+                mine = np.random.default_rng(row["entropy"]).multinomial(n, totals / n, size=size)[:, at]
+                share = np.array([e["c"] for e in row["values"]], dtype=np.int64) / totals[at]
+                drawn = np.random.default_rng([row["entropy"], row["_chunk"]]).multinomial(mine, share)
+                out = {k: [row[k]] * size for k in keys}
+                part = drawn @ np.array([e["v"] for e in row["values"]])
+                yield pd.DataFrame({**out, "replicate": np.arange(size) + 1 + row["block"] * _BLOCK, "part": part, "n": n})
+
+    slots = counts.sparkSession.sparkContext.defaultParallelism
+    drawn = work.repartition(max(slots, chunks), *keys, "block", "_chunk").select(*keys, "_chunk", "block", "entropy", "values", "sizes").mapInPandas(draw, schema)
+    return drawn.groupBy(*keys, "replicate").agg((F.sum("part") / F.first("n")).alias("mean"))
 
 
 def replicates_of(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: int | str, method: str = "auto") -> DataFrame:

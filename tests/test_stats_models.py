@@ -24,6 +24,17 @@ def test_both_bootstrap_forms_have_the_same_spread(spark):
     assert again == by_count
 
 
+def test_chunks_of_values_follow_one_multinomial(spark, monkeypatch):
+    monkeypatch.setattr(st, "CHUNK_VALUES", 40)
+    values = np.random.default_rng(8).normal(size=200)
+    df = spark.createDataFrame([("s", float(v)) for v in values], "k string, value double")
+    got = st.cluster_interval(df, ["k"], 600, 2, method="counts").first()
+    direct = np.random.default_rng(9).choice(values, (6000, 200)).mean(axis=1)
+    assert got["estimate"] == pytest.approx(values.mean()) and got["clusters"] == 200
+    assert got["low"] == pytest.approx(np.quantile(direct, 0.025), abs=0.02)
+    assert got["high"] == pytest.approx(np.quantile(direct, 0.975), abs=0.02)
+
+
 def test_holm(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "c string, p_value double")
     got = {r["c"]: round(r["p_holm"], 6) for r in st.holm(df, [], ["c"]).collect()}
