@@ -123,10 +123,11 @@ def exact_quantiles(
 
 
 def draw_digits(strata: int, rows: int) -> int:
-    """Leading hex digits that cut a draw into buckets: none for small inputs, else as many as the driver can count."""
+    """Leading hex digits that cut a draw into buckets: none for small inputs, else as many as
+    the driver can count, as long as a bucket keeps about a thousand rows."""
     if rows <= SMALL_TABLE_ROWS:
         return 0
-    return max(d for d in range(1, 5) if strata * 16**d <= COUNTED_BUCKETS or d == 1)
+    return max(d for d in range(1, 5) if d == 1 or (strata * 16**d <= COUNTED_BUCKETS and strata * 16**d * 1000 <= rows))
 
 
 def draw_cuts(df: DataFrame, strata: Sequence[str], draw: str, ranks: Iterable[tuple], rows: int) -> dict[tuple, str]:
