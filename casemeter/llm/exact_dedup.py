@@ -21,9 +21,10 @@ def text_digest(text_col: str = "text") -> Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row, id, digest of every row. ``row`` tells repeated rows apart once the result is written."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_digest(text_col).alias("digest"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), F.col(id_col).alias("id"), text_digest(text_col).alias("digest"))
 
 
 class DigestIndex:
@@ -60,7 +61,7 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, loads: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, loads: int = 2, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     A new index takes the rows in ``loads`` loads by rising id, as a growing corpus would arrive, so the row with the
@@ -68,7 +69,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    rows = written(digests(docs, id_col, text_col))
+    rows = written(digests(docs, id_col, text_col, row_col))
     low, high = rows.agg(F.min("id"), F.max("id")).first()
     index = DigestIndex(spark, f"{shared_folder(spark)}/index", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     load = F.lit(loads - 1)
@@ -84,7 +85,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of rows equal in id and text one stays.
 
-    The rows are named by their place in ``docs``, so ``docs`` must be a table read from files (a pipeline stage's input is).
+    The rows are numbered in a written copy, so a recomputed task finds the same ones. ``docs`` may have any columns but
+    ``_casemeter_dedup_row``.
     """
-    kept = deduplicate(docs, id_col, text_col).where("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    mark = "_casemeter_dedup_row"
+    docs = written(docs.withColumn(mark, F.monotonically_increasing_id()))
+    kept = deduplicate(docs, id_col, text_col, row_col=mark).where("kept").select(F.col("row").alias(mark))
+    return docs.join(kept, mark, "left_semi").drop(mark)
