@@ -57,7 +57,7 @@ def lines(texts: pa.Array) -> Lines:
     breaks = np.flatnonzero(data == 10) + 1
     # A line starts at each text and behind each line break inside it.
     starts = np.concatenate((at[:-1], breaks))
-    owner = np.concatenate((np.arange(len(at) - 1), np.searchsorted(at, breaks, "right") - 1))
+    owner = np.concatenate((np.arange(len(at) - 1), np.searchsorted(at, breaks - 1, "right") - 1))
     inside = np.concatenate((np.ones(len(at) - 1, bool), breaks < at[np.minimum(owner[len(at) - 1 :] + 1, len(at) - 1)]))
     starts, owner = starts[inside], owner[inside]
     order = np.lexsort((starts, owner))
@@ -246,4 +246,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
                 z = model.slope * document_scores(model, lines(batch.column(text_col))) + model.shift
                 yield batch.filter(pa.array(z >= 0))
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields))
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)))

@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and character Markov models for what they miss.
 
 Two models of character pairs, one of random strings and one of ordinary identifiers, are counted over the whole table from samples that the
-patterns label: the values of pattern matches are random strings, other runs of word characters are identifiers. A run that no pattern covers is reported where the log-likelihood
+patterns label: the values of pattern matches are random strings, other words of 4 to 19 letters and digits are identifiers. A run that no pattern covers is reported where the log-likelihood
 ratio, in bits per character, favours the random model by a margin. Places are code points, ends exclusive.
 """
 
@@ -28,7 +28,8 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(_LETTERS), np.int64)
 _CODE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))
 _SIZE = len(_LETTERS) + 1
-_IDENTIFIER = re.compile(r"[A-Za-z0-9_]{4,}")
+#: Samples of identifiers: their words, for a longer run may be the very string that is looked for.
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{4,19}(?![A-Za-z0-9])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
