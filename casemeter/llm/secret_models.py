@@ -28,6 +28,7 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(_LETTERS), np.int64)
 _CODE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))
 _SIZE = len(_LETTERS) + 1
+_PRIOR = 10.0
 #: Samples of identifiers: their words, for a longer run may be the very string that is looked for.
 _IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{4,19}(?![A-Za-z0-9])")
 
@@ -71,16 +72,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Bits that each pair of characters speaks for a random string: log2 of the ratio of transition probabilities, smoothed by 1/2.
+    """Bits that each pair of characters speaks for a random string: log2 of the ratio of transition probabilities.
+
+    A transition is smoothed by ``_PRIOR`` characters drawn from the model's own characters, so a context that a model never met counts as rare as its characters are.
 
     At most ``2 * 68 ** 2`` sums reach the driver, whatever the table's size; without samples no pair speaks for either.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sums = texts.mapInArrow(_counts, "model long, pair long, n long").groupBy("model", "pair").agg(F.sum("n").alias("n")).toPandas()
-    total = np.full((2, _SIZE * _SIZE), 0.5)
+    total = np.zeros((2, _SIZE * _SIZE))
     np.add.at(total, (sums["model"].to_numpy(np.int64), sums["pair"].to_numpy(np.int64)), sums["n"].to_numpy(float))
     total = total.reshape(2, _SIZE, _SIZE)
-    odds = np.log2(total / total.sum(2, keepdims=True))
+    single = total.sum(1, keepdims=True) + 0.5
+    single /= single.sum(2, keepdims=True)
+    odds = np.log2((total + _PRIOR * single) / (total.sum(2, keepdims=True) + _PRIOR))
     return odds[0] - odds[1]
 
 
