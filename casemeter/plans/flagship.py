@@ -13,10 +13,10 @@ from .bindings import TEXTS_SQL, texts
 from .catalog import query
 from .splits import _SHARE, _counts, _quota, _ranked
 
-MAX_CHARS, TEST_CAP = 4000, 1000
+TEST_CAP = 1000
 _QS = "[" + ", ".join(f"{i}e-2" for i in range(101)) + "]"
 
-_SQL = f"""with {TEXTS_SQL}, nrm as (select doc_id, substring(replace(text, '<br />', ' '), 1, {MAX_CHARS}) as text, label, official from texts),
+_SQL = f"""with {TEXTS_SQL}, nrm as (select doc_id, replace(text, '<br />', ' ') as text, label, official from texts),
   keyed as (select *, sha256(text) as case_id from nrm), ok as (select case_id from keyed group by 1 having count(distinct label) = 1),
   snap as (select * from (select *, row_number() over (partition by case_id order by official, doc_id) as r from keyed where case_id in (select case_id from ok)) where r = 1),
   pool0 as (select 'all' as dataset, case_id, label, length(text) / 4e3 as score from snap),
@@ -33,7 +33,7 @@ _SQL = f"""with {TEXTS_SQL}, nrm as (select doc_id, substring(replace(text, '<br
 
 @query("flagship_text_length", _SQL)
 def flagship(spark, sf):
-    raw = texts(spark, sf).select("doc_id", normalise(F.col("text"), MAX_CHARS).alias("text"), "label", "official")
+    raw = texts(spark, sf).select("doc_id", normalise(F.col("text")).alias("text"), "label", "official")
     snapshot = dedup.clean_snapshot(raw.withColumn("case_id", digest("text")), "case_id", "label", ["official", "doc_id"])
     # The snapshot is what every later stage reads; its lineage ends here.
     cases = checkpointed(snapshot.select("case_id", "label", (F.length("text") / F.lit(4000.0)).alias("score")))

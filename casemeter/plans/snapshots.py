@@ -58,10 +58,10 @@ def pr4(spark, sf):
 
 @query(
     "pr5_normalise_text",
-    "select page_id, substring(replace(html, '<br />', ' '), 1, 4000) as text from pages",
+    "select page_id, replace(html, '<br />', ' ') as text from pages",
 )
 def pr5(spark, sf):
-    return table(spark, sf, "pages").select("page_id", normalise(F.col("html"), 4000).alias("text"))
+    return table(spark, sf, "pages").select("page_id", normalise(F.col("html")).alias("text"))
 
 
 @query(
