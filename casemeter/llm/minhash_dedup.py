@@ -6,7 +6,8 @@ probability of the Jaccard similarity. Bands of bins name buckets. A bucket prop
 largest class. What the stars leave apart in one bucket is compared too: members outside the bucket's largest
 component against those of other components. So no link inside a bucket is lost, and a bucket whose members belong
 together costs a star. A pair is dropped early only where the agreeing bins are over 0.2 below the threshold, five or
-more standard deviations. Links are confirmed on the full sets.
+more standard deviations; a sketch keeps 8 bits of each bin, which can only make more bins agree. Links are confirmed on the
+full sets, which are made anew from the texts of the candidates and never stored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casemeter.llm.common import slices, written
 from casemeter.llm.graph import components
@@ -25,6 +26,7 @@ from casemeter.llm.words import U, mix, split, windows
 
 BINS, BAND = 128, 4
 _ATTEMPTS = 2048
+_BITS = 22
 
 
 @cache
@@ -72,7 +74,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return filled.astype(np.uint32)
 
 
-_SETS = "row long, doc_id long, node binary, n_shingles long, signature binary, hashes binary"
+_SETS = "row long, doc_id long, node binary, n_shingles long, sketch binary, bands binary, text string"
+
+
+def band_keys(table: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of each signature."""
+    bands = table.reshape(len(table), BINS // BAND, BAND).astype(U)
+    key = np.broadcast_to(mix(np.arange(1, BINS // BAND + 1, dtype=U)), bands.shape[:2]).copy()
+    for k in range(BAND):
+        key = mix(key * U(0xD1342543DE82EF95) + bands[:, :, k])
+    return key
 
 
 def _sets(size: int):
@@ -80,13 +91,14 @@ def _sets(size: int):
         for batch in slices(batches, "text"):
             sets = shingle_sets(split(batch.column("text"), fold=True), size)
             some = [s for s in sets if len(s)]
-            signed = iter(signatures(some)) if some else iter(())
-            sigs = [next(signed).tobytes() if len(s) else None for s in sets]
+            signed = signatures(some) if some else np.zeros((0, BINS), np.uint32)
+            sketches, keys = iter((signed & 255).astype(np.uint8)), iter(band_keys(signed))
             nodes = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["row", "doc_id", "node", "n_shingles", "signature", "hashes"],
+                 pa.array([next(sketches).tobytes() if len(s) else None for s in sets], pa.binary()),
+                 pa.array([next(keys).tobytes() if len(s) else None for s in sets], pa.binary()), batch.column("text")],
+                names=["row", "doc_id", "node", "n_shingles", "sketch", "bands", "text"],
             )
 
     return run
@@ -94,47 +106,68 @@ def _sets(size: int):
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, BINS // BAND, BAND).astype(U)
-        key = np.broadcast_to(mix(np.arange(1, BINS // BAND + 1, dtype=U)), table.shape[:2]).copy()
-        for k in range(BAND):
-            key = mix(key * U(0xD1342543DE82EF95) + table[:, :, k])
-        nodes = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), BINS // BAND)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), nodes], names=["key", "node"])
+        if batch.num_rows:
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+            nodes = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), BINS // BAND)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), nodes], names=["key", "node"])
 
 
 def _alike(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS) for c in ("sa", "sb"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
                 yield batch.filter(pa.array((a == b).mean(1) >= floor)).select(["a", "b"])
 
     return run
 
 
-def _confirmed(percent: int):
+def _cell(node: Column) -> Column:
+    """A place in the table of ``2**_BITS`` bits for a class."""
+    return F.shiftrightunsigned(F.xxhash64(node), 64 - _BITS)
+
+
+def _marked(classes: DataFrame) -> np.ndarray:
+    """Bits of the classes, of fixed size whatever their number; a full table only filters nothing."""
+    cell = _cell(F.col("node"))
+    flags = classes.groupBy(F.shiftright(cell, 3).alias("byte")).agg(F.bit_or(F.pow(F.lit(2), cell.bitwiseAND(F.lit(7))).cast("int")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (_BITS - 3), np.uint8)
+    bits[flags["byte"].to_numpy(np.int64)] = flags["bits"].to_numpy(np.int64)
+    return bits
+
+
+def _wanted(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1) == 1)).select(["node", "text"])
+
+    return run
+
+
+def _confirmed(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            for part in slices([batch], "ta"):
+                left, right = (shingle_sets(split(part.column(c), fold=True), size) for c in ("ta", "tb"))
+                shared = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)]
+                keep = [100 * n >= percent * (len(a) + len(b) - n) for n, a, b in zip(shared, left, right)]
+                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough: by size, by signature, then by the sets."""
+def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar enough: by size, by sketch, then by the sets, made anew from one text of each class."""
     side = lambda x, *more: classes.select(F.col("node").alias(x), *[F.col(c).alias(n) for c, n in more])
-    sized = pairs.join(side("a", ("n_shingles", "na"), ("signature", "sa")), "a").join(side("b", ("n_shingles", "nb"), ("signature", "sb")), "b")
+    sized = pairs.join(side("a", ("n_shingles", "na"), ("sketch", "sa")), "a").join(side("b", ("n_shingles", "nb"), ("sketch", "sb")), "b")
     sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = written(sized.select("a", "b", "sa", "sb").mapInArrow(_alike(percent / 100 - 0.2), "a binary, b binary"))
-    full = near.join(side("a", ("hashes", "ha")), "a").join(side("b", ("hashes", "hb")), "b")
-    return written(full.select("a", "b", "ha", "hb").mapInArrow(_confirmed(percent), "a binary, b binary"))
+    bits = _marked(near.select(F.explode(F.array("a", "b")).alias("node")))
+    texts = rows.where("node is not null").select("node", "text", _cell(F.col("node")).alias("cell")).mapInArrow(_wanted(bits), "node binary, text string")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")))
+    full = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return written(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(size, percent), "a binary, b binary"))
 
 
 def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -147,23 +180,22 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(rows.mapInArrow(_sets(size), _SETS))
-    picks = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    classes = written(rows.join(picks.select("row"), "row", "left_semi").select("node", "n_shingles", "signature", "hashes"))
-    members = classes.select("node", "signature").mapInArrow(_bands, "key long, node binary")
-    members = written(members)
+    classes = rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")])
+    classes = written(classes)
+    members = classes.select("node", "bands").mapInArrow(_bands, "key long, node binary").repartition("key")
     stars = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = written(members.join(stars, "key"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = members.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end").select(*pair("node", "end"))
     tried = written(pairs.distinct())
-    links = _links(tried, classes, percent)
+    links = _links(tried, classes, rows, size, percent)
     labels = components(links)
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     counts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
     named = written(named.join(counts.where("parts > 1"), "key"))
     outer = named.where("label <> top").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
     apart = outer.join(named.select("key", "node", "label"), "key").where("lx <> label").select(*pair("x", "node")).distinct()
-    rest = _links(written(apart.join(tried, ["a", "b"], "left_anti")), classes, percent)
+    rest = _links(written(apart.join(tried, ["a", "b"], "left_anti")), classes, rows, size, percent)
     if not rest.isEmpty():
         labels = components(links.union(rest))
     rows = rows.select("row", "doc_id", "n_shingles", "node").join(labels, "node", "left")
