@@ -4,7 +4,7 @@ Documents with equal shingle sets collapse to one class before anything is compa
 ``BINS`` bins; an empty bin copies a filled one that a hash of (bin, attempt) selects, so each bin agrees with the
 probability of the Jaccard similarity. Bands of bins name buckets. A bucket proposes star edges to its smallest and its
 largest class. What the stars leave apart in one bucket is compared too: members outside the bucket's largest
-component against those of other components. So no link inside a bucket is lost, and a bucket whose members belong
+component against those of other components, each pair once and only where sizes and one bit of each bin allow it. So no link inside a bucket is lost, and a bucket whose members belong
 together costs a star. A pair is dropped early only where the agreeing bins are over 0.2 below the threshold, five or
 more standard deviations; a sketch keeps 8 bits of each bin, which can only make more bins agree. Links are confirmed on the
 full sets, which are made anew from the texts of the candidates and never stored.
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casemeter.llm.common import slices, written
+from casemeter.llm.common import one_array, slices, written
 from casemeter.llm.graph import components
 from casemeter.llm.words import U, mix, split, windows
 
@@ -74,7 +74,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return filled.astype(np.uint32)
 
 
-_SETS = "row long, doc_id long, node binary, n_shingles long, sketch binary, bands binary, text string"
+_SETS = "row long, doc_id long, node binary, n_shingles long, sketch binary, low long, high long, bands array<long>, text string"
 
 
 def band_keys(table: np.ndarray) -> np.ndarray:
@@ -92,26 +92,21 @@ def _sets(size: int):
             sets = shingle_sets(split(batch.column("text"), fold=True), size)
             some = [s for s in sets if len(s)]
             signed = signatures(some) if some else np.zeros((0, BINS), np.uint32)
-            sketches, keys = iter((signed & 255).astype(np.uint8)), iter(band_keys(signed))
+            sketches, keys = iter((signed & 255).astype(np.uint8)), iter(band_keys(signed).view(np.int64))
+            bits = iter(np.packbits((signed & 1).astype(np.uint8), axis=1).view(np.int64))
+            halves = [next(bits).tolist() if len(s) else (None, None) for s in sets]
             nodes = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([next(sketches).tobytes() if len(s) else None for s in sets], pa.binary()),
-                 pa.array([next(keys).tobytes() if len(s) else None for s in sets], pa.binary()), batch.column("text")],
-                names=["row", "doc_id", "node", "n_shingles", "sketch", "bands", "text"],
+                 pa.array([low for low, _ in halves], pa.int64()), pa.array([high for _, high in halves], pa.int64()),
+                 pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())), batch.column("text")],
+                names=["row", "doc_id", "node", "n_shingles", "sketch", "low", "high", "bands", "text"],
             )
 
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
-            nodes = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), BINS // BAND)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), nodes], names=["key", "node"])
-
-
 def _alike(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +144,9 @@ def _confirmed(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices([batch], "ta"):
-                left, right = (shingle_sets(split(part.column(c), fold=True), size) for c in ("ta", "tb"))
+                coded = [one_array(part.column(c)).dictionary_encode() for c in ("ta", "tb")]  # a text stands in many pairs
+                sets = [shingle_sets(split(c.dictionary, fold=True), size) for c in coded]
+                left, right = ([have[k] for k in c.indices.to_pylist()] for have, c in zip(sets, coded))
                 shared = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)]
                 keep = [100 * n >= percent * (len(a) + len(b) - n) for n, a, b in zip(shared, left, right)]
                 yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -180,9 +177,9 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(rows.mapInArrow(_sets(size), _SETS))
-    classes = rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")])
+    classes = rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "low", "high", "bands")])
     classes = written(classes)
-    members = classes.select("node", "bands").mapInArrow(_bands, "key long, node binary").repartition("key")
+    members = classes.select(F.explode("bands").alias("key"), "node").repartition("key")
     stars = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = written(members.join(stars, "key"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -192,9 +189,16 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     labels = components(links)
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     counts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
-    named = written(named.join(counts.where("parts > 1"), "key"))
-    outer = named.where("label <> top").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    apart = outer.join(named.select("key", "node", "label"), "key").where("lx <> label").select(*pair("x", "node")).distinct()
+    named = named.join(counts.where("parts > 1"), "key").join(classes.select("node", "n_shingles", "low", "high", "bands"), "node")
+    named = written(named)
+    facts = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n_shingles", "low", "high", "bands")]
+    apart = named.where("label <> top").select("key", *facts("x")).join(named.select("key", "top", *facts("y")), "key")
+    apart = apart.where((F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("top")) | (F.col("node_x") < F.col("node_y"))))
+    apart = apart.where(100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
+    differ = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high_x").bitwiseXOR(F.col("high_y")))
+    apart = apart.where(differ <= BINS / 2 * (1.3 - percent / 100))
+    # A pair comes from the smallest of its shared buckets alone, so no pair is emitted twice.
+    apart = apart.where(F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")).select(*pair("node_x", "node_y"))
     rest = _links(written(apart.join(tried, ["a", "b"], "left_anti")), classes, rows, size, percent)
     if not rest.isEmpty():
         labels = components(links.union(rest))
