@@ -139,14 +139,14 @@ def stratified_cap(
 
 
 def shared_holdout(
-    df: DataFrame, case_id: str, label: str, seed: int | str, cap: int, excluded: DataFrame | None = None, share: float = 0.2
+    df: DataFrame, case_id: str, label: str, seed: int | str, cap: int | None = None, excluded: DataFrame | None = None, share: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
-    """``(pool, test)``: one test set for all training seeds, free of excluded cases."""
+    """``(pool, test)``: one test set for all training seeds, free of excluded cases; ``cap`` bounds it where a caller wants that."""
     counts = class_counts(df, [label])
     allowed = df if excluded is None else df.join(excluded.select(case_id).distinct(), case_id, "left_anti")
     free = counts if excluded is None else class_counts(allowed, [label])
     size = min(max(len(counts), ceil(round(share * sum(counts.values()), 9))), sum(free.values()))
-    test = stratified_cap(allowed, case_id, label, min(cap, size), seed, counts=free)
+    test = stratified_cap(allowed, case_id, label, size if cap is None else min(cap, size), seed, counts=free)
     pool = df.join(test.select(case_id), case_id, "left_anti")
     return pool, test
 

@@ -13,14 +13,13 @@ from .bindings import TEXTS_SQL, texts
 from .catalog import query
 from .splits import _SHARE, _counts, _quota, _ranked
 
-TEST_CAP = 1000
 _QS = "[" + ", ".join(f"{i}e-2" for i in range(101)) + "]"
 
 _SQL = f"""with {TEXTS_SQL}, nrm as (select doc_id, replace(text, '<br />', ' ') as text, label, official from texts),
   keyed as (select *, sha256(text) as case_id from nrm), ok as (select case_id from keyed group by 1 having count(distinct label) = 1),
   snap as (select * from (select *, row_number() over (partition by case_id order by official, doc_id) as r from keyed where case_id in (select case_id from ok)) where r = 1),
   pool0 as (select 'all' as dataset, case_id, label, length(text) / 4e3 as score from snap),
-  {_counts('c0', 'pool0')}, {_quota('h', 'c0', f"least({TEST_CAP}, {_SHARE.format('2e-1')})", 1)}, {_ranked('pool0', 51, name='hold')},
+  {_counts('c0', 'pool0')}, {_quota('h', 'c0', _SHARE.format('2e-1'), 1)}, {_ranked('pool0', 51, name='hold')},
   test as (select case_id, label, score from hold join h_q using (dataset, label) where rn <= quota),
   pool as (select * from pool0 where case_id not in (select case_id from test)),
   {_counts('d0', 'pool')}, {_quota('a', 'd0', _SHARE.format('2e-1'), 0)}, {_ranked('pool', 52)}, pol as (select case_id, label, score from ranked join a_q using (dataset, label) where rn <= quota),
@@ -37,7 +36,7 @@ def flagship(spark, sf):
     snapshot = dedup.clean_snapshot(raw.withColumn("case_id", digest("text")), "case_id", "label", ["official", "doc_id"])
     # The snapshot is what every later stage reads; its lineage ends here.
     cases = checkpointed(snapshot.select("case_id", "label", (F.length("text") / F.lit(4000.0)).alias("score")))
-    pool, test = sp.shared_holdout(cases, "case_id", "label", 51, TEST_CAP)
+    pool, test = sp.shared_holdout(cases, "case_id", "label", 51)
     parts = sp.stratified_split(pool, "case_id", "label", 52, [("policy", 0.2), ("validation", 0.25)])
     policy = parts.where("partition = 'policy'").withColumn("task", F.lit("quality"))
     thresholds = de.choose_threshold(policy, ["task"], "label", "score", 0.5)

@@ -29,10 +29,6 @@ def _shrink(name: str, quota: str, by: str = "dataset") -> str:
     return f"{name} as (select {by}, label, n - quota as n from {quota})"
 
 
-def _of(quota: str) -> str:
-    return f"(select {', '.join(('dataset', 'label'))}, quota as n from {quota})"
-
-
 def _ranked(source: str, seed: int, key: str = "case_id", name: str = "ranked") -> str:
     return f"{name} as (select *, row_number() over (partition by dataset, label order by sha256('{seed}|' || {key})) as rn from {source})"
 
@@ -80,21 +76,20 @@ def sp3(spark, sf):
     "sp4_three_way_split",
     f"""with {CASES_SQL}, pool as (select dataset, case_id, label from cases), {_counts('c0', 'pool')},
     {_quota('t', 'c0', _SHARE.format('2e-1'), 0)}, {_shrink('c1', 't_q')}, {_quota('v', 'c1', _SHARE.format('2e-1'), 0)}, {_shrink('c2', 'v_q')},
-    c3 as {_of('t_q')}, {_quota('tc', 'c3', '4000', 1)}, c4 as {_of('v_q')}, {_quota('vc', 'c4', '3000', 1)}, {_quota('rc', 'c2', '8000', 1)}, {_ranked('pool', 13)}
+    {_quota('rc', 'c2', '8000', 1)}, {_ranked('pool', 13)}
     select r.dataset, r.case_id, r.label, case when rn <= t_q.quota then 'test' when rn <= t_q.quota + v_q.quota then 'validation' else 'train' end as partition
-    from ranked r join t_q using (dataset, label) join v_q using (dataset, label) join tc_q using (dataset, label) join vc_q using (dataset, label) join rc_q using (dataset, label)
-    where rn <= tc_q.quota or (rn > t_q.quota and rn <= t_q.quota + vc_q.quota) or (rn > t_q.quota + v_q.quota and rn <= t_q.quota + v_q.quota + rc_q.quota)""",
+    from ranked r join t_q using (dataset, label) join v_q using (dataset, label) join rc_q using (dataset, label)
+    where rn <= t_q.quota + v_q.quota + rc_q.quota""",
 )
 def sp4(spark, sf):
     c = cases(spark, sf).select("dataset", "case_id", "label")
-    caps = {"test": 4000, "validation": 3000, "train": 8000}
-    return sp.stratified_split(c, "case_id", "label", 13, [("test", 0.2), ("validation", 0.2)], groups=["dataset"], caps=caps)
+    return sp.stratified_split(c, "case_id", "label", 13, [("test", 0.2), ("validation", 0.2)], groups=["dataset"], caps={"train": 8000})
 
 
 _PILOT = f"""pool as (select 'all' as dataset, case_id, label from cases where dataset = 'F'), {_counts('c0', 'pool')}, {_quota('p', 'c0', _SHARE.format('2e-1'), 0)}, {_ranked('pool', 14, name='pilot')},
   excluded as (select case_id from pilot join p_q using (dataset, label) where rn <= quota),
   allowed as (select * from pool where case_id not in (select case_id from excluded)), {_counts('d0', 'allowed')},
-  {_quota('h', 'd0', 'least(2500, cast(ceil(round(2e-1 * (select count(*) from pool), 9)) as bigint))', 1)}, {_ranked('allowed', 15, name='hold')},
+  {_quota('h', 'd0', 'cast(ceil(round(2e-1 * (select count(*) from pool), 9)) as bigint)', 1)}, {_ranked('allowed', 15, name='hold')},
   held as (select case_id, label from hold join h_q using (dataset, label) where rn <= quota)"""
 
 
@@ -106,21 +101,20 @@ def sp5(spark, sf):
 def _holdout(spark, sf):
     c = cases(spark, sf).where("dataset = 'F'").select("case_id", "label")
     pilot = sp.stratified_split(c, "case_id", "label", 14, [("test", 0.2)]).where("partition = 'test'")
-    return sp.shared_holdout(c, "case_id", "label", 15, 2500, excluded=pilot)
+    return sp.shared_holdout(c, "case_id", "label", 15, excluded=pilot)
 
 
 @query(
     "sp6_development_split",
     f"""with {CASES_SQL}, pool as (select dataset, case_id, label from cases where supp % 5 <> 0), {_THREE},
-    e0 as {_of('a_q')}, {_quota('ac', 'e0', '1500', 1)}, e1 as {_of('b_q')}, {_quota('bc', 'e1', '1000', 1)}, {_quota('cc', 'c2', '9000', 1)}, {_ranked('pool', 2027)}
+    {_quota('cc', 'c2', '9000', 1)}, {_ranked('pool', 2027)}
     select r.dataset, r.case_id, r.label, case when rn <= a_q.quota then 'policy' when rn <= a_q.quota + b_q.quota then 'validation' else 'train' end as partition
-    from ranked r join a_q using (dataset, label) join b_q using (dataset, label) join ac_q using (dataset, label) join bc_q using (dataset, label) join cc_q using (dataset, label)
-    where rn <= ac_q.quota or (rn > a_q.quota and rn <= a_q.quota + bc_q.quota) or (rn > a_q.quota + b_q.quota and rn <= a_q.quota + b_q.quota + cc_q.quota)""",
+    from ranked r join a_q using (dataset, label) join b_q using (dataset, label) join cc_q using (dataset, label)
+    where rn <= a_q.quota + b_q.quota + cc_q.quota""",
 )
 def sp6(spark, sf):
     pool = cases(spark, sf).where("supp % 5 <> 0").select("dataset", "case_id", "label")
-    caps = {"policy": 1500, "validation": 1000, "train": 9000}
-    return sp.stratified_split(pool, "case_id", "label", 2027, [("policy", 0.2), ("validation", 0.25)], groups=["dataset"], caps=caps)
+    return sp.stratified_split(pool, "case_id", "label", 2027, [("policy", 0.2), ("validation", 0.25)], groups=["dataset"], caps={"train": 9000})
 
 
 @query(
