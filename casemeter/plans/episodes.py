@@ -1,4 +1,4 @@
-"""Episode analytics over conversation step logs and order facts."""
+"""Episode analytics over conversation step logs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
 from ..operators import episodes as ep
-from .bindings import STEPS_SQL, steps, table
+from .bindings import STEPS_SQL, steps
 from .catalog import query
 
 _OUT = f"""{STEPS_SQL}, eo as (select condition, model, episode_id, min(correct_terminal) as correct_terminal, coalesce(arg_max(action, step) filter (action in ('refund', 'deny', 'escalate')), 'escalate') as terminal,
@@ -48,51 +48,3 @@ def ep3(spark, sf):
 )
 def ep4(spark, sf):
     return ep.latency(_outcomes(spark, sf), _KEYS)
-
-
-_FACTS = """facts as (select o_orderkey as episode_id, o_orderstatus <> 'P' as payment_captured, o_totalprice > 250000 as delivered, case when o_orderkey % 3 = 0 then o_orderstatus <> 'P' end as initial_payment,
-  case when o_orderkey % 3 = 1 then o_totalprice > 250000 end as initial_delivery from orders),
-  ft as (select *, case when payment_captured and not delivered then 'refund' else 'deny' end as correct_terminal from facts),
-  fc as (select *, unnest(['one_shot', 'adaptive_feedback', 'repeated_without_new_evidence', 'fixed_evidence_schedule']) as condition from ft)"""
-
-
-def _facts(spark, sf):
-    paid, got = F.col("o_orderstatus") != "P", F.col("o_totalprice") > 250000
-    facts = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("episode_id"),
-        paid.alias("payment_captured"),
-        got.alias("delivered"),
-        F.when(F.col("o_orderkey") % 3 == 0, paid).alias("initial_payment"),
-        F.when(F.col("o_orderkey") % 3 == 1, got).alias("initial_delivery"),
-    )
-    correct = F.when(F.col("payment_captured") & ~F.col("delivered"), "refund").otherwise("deny")
-    return ep.with_conditions(facts.withColumn("correct_terminal", correct))
-
-
-@query(
-    "ep5_rule_controls",
-    f"""with {_FACTS}, c as (select *, condition in ('adaptive_feedback', 'fixed_evidence_schedule') as revealing, (case when initial_payment is null then 1 else 0 end) + (case when initial_delivery is null then 1 else 0 end) as unknown,
-        coalesce(not initial_payment, false) or coalesce(initial_delivery, false) or coalesce(initial_payment and not initial_delivery, false) as settled from fc),
-        r as (select condition, 'fully_informed' as control, true as success, 1 as steps, correct_terminal from c union all
-              select condition, 'observed_facts', revealing or settled, case when revealing then 1 + unknown else 1 end, correct_terminal from c)
-        select condition, control, count(*) as n, round(avg(case when success then 1e0 else 0e0 end), 6) as success_rate, round(avg(steps), 6) as mean_steps, round(avg(case when success then 1e0 - 5e-2 * (steps - 1) else -25e-2 end), 6) as mean_net_utility,
-          count(*) filter (not success) as escalations from r group by 1, 2""",
-)
-def ep5(spark, sf):
-    out = ep.controls(_facts(spark, sf)).groupBy("condition", "control").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("success").cast("double"))).alias("success_rate"), r6(F.avg("steps")).alias("mean_steps"),
-        r6(F.avg("net_utility")).alias("mean_net_utility"), F.count_if("escalated").alias("escalations"),
-    )
-    return out
-
-
-@query(
-    "ep6_available_actions",
-    f"""with {_FACTS} select episode_id, condition, case when condition <> 'adaptive_feedback' then '' when initial_payment is null and initial_delivery is null then 'C0=inspect_payment,C1=inspect_delivery,' when initial_payment is null then 'C0=inspect_payment,'
-        when initial_delivery is null then 'C0=inspect_delivery,' else '' end || case when condition <> 'adaptive_feedback' then 'C0=refund,C1=deny,C2=escalate' when initial_payment is null and initial_delivery is null then 'C2=refund,C3=deny,C4=escalate'
-        when initial_payment is null or initial_delivery is null then 'C1=refund,C2=deny,C3=escalate' else 'C0=refund,C1=deny,C2=escalate' end as actions from fc""",
-)
-def ep6(spark, sf):
-    actions = ep.available_actions(F.col("condition"), F.col("initial_payment"), F.col("initial_delivery"))
-    shown = F.array_join(F.transform(actions, lambda a: F.concat_ws("=", a["id"], a["action"])), ",")
-    return _facts(spark, sf).select("episode_id", "condition", shown.alias("actions"))
