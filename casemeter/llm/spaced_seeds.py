@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits, lower-cased. A document holds a passage of an item where ``WINDOW`` tokens in a row differ from the item's in
+Tokens are runs of letters, marks and digits of any script, without regard to case; all else separates. A document holds a passage of an item where ``WINDOW`` tokens in a row differ from the item's in
 at most ``SUBSTITUTIONS`` places. Two fixed masks read six of eight positions each; whatever two places of a window differ, one
 mask fits somewhere free of them (a test tries all), so no such passage is missed. Seeds of documents are joined with those of the items, and
 the tokens around each hit, carried along, decide. Items of ``SHORTEST`` to ``WINDOW - 1`` tokens must occur whole and unchanged; shorter ones are too
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casemeter.llm.common import slices, written
-from casemeter.llm.words import PUNCTUATION, U, mix, split
+from casemeter.llm.words import U, letters, mix
 
 WINDOW, SUBSTITUTIONS, SHORTEST = 16, 2, 8
 MASKS = ("11100111", "11101101")
@@ -55,7 +55,7 @@ def _emit(bits: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = split(batch.column("text"), PUNCTUATION, fold=True)
+            words = letters(batch.column("text"))
             hashes = words.hashes | U(1)  # never 0, which stands for no token
             places, seeds = _seeds(hashes, words.bounds)
             if bits is not None:

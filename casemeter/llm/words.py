@@ -6,6 +6,8 @@ Hashes have 64 bits: a random table value for each byte, weighted by its place,
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -73,6 +75,57 @@ def split(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = False)
     return Words(data, starts, ends, mix(hashes ^ (ends - starts).astype(U)), np.searchsorted(starts, at))
 
 
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
+    """By code point: what it is (0 separator, 1 part of a word), its hash value, its case-folded form, and the forms of more than one character.
+
+    Folding is ``upper().casefold()``, so a text and its upper-cased form are the same. Letters, marks and numbers are parts of words.
+    """
+    kind, fold, longer = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32), {}
+    for point in range(0x110000):
+        char = chr(point)
+        if unicodedata.category(char)[0] in "LMN":
+            kind[point] = 1
+        if point < 0x20000 and (folded := char.upper().casefold()) != char:
+            if len(folded) == 1:
+                fold[point] = ord(folded)
+            else:
+                longer[point] = folded
+    for first, last in ((0xFE00, 0xFE0F), (0xE0100, 0xE01EF)):  # variation selectors
+        kind[first : last + 1] = 0
+    values = mix(np.arange(0x110000, dtype=U) * U(_M)) | U(1)
+    values[:128] = _TABLE[:128]
+    values[kind == 0] = 0
+    return kind, values, fold, longer
+
+
+def letters(texts: pa.Array) -> Words:
+    """Runs of letters, marks and numbers of every text, without regard to case; places count folded characters."""
+    data, at = utf8(texts)
+    if not (data > 127).any():
+        return split(texts, PUNCTUATION, fold=True)
+    kinds, values, fold, longer = _characters()
+    raw = data.tobytes()
+    whole = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    wide = {chr(c): f for c, f in longer.items()}
+    if odd := {c for c in set().union(*whole) if c in wide}:
+        table = str.maketrans({c: wide[c] for c in odd})
+        whole = [t.translate(table) if not odd.isdisjoint(t) else t for t in whole]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in whole])])
+    points = fold[np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32)]
+    kind = kinds[points]
+    inside = kind == 1
+    before, after = np.ones(len(points), bool), np.ones(len(points), bool)
+    before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
+    before[at[:-1][at[:-1] < len(points)]] = True
+    after[at[1:][at[1:] > 0] - 1] = True
+    starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+    weighted = values[points]
+    weighted *= _power(_M, len(points))
+    hashes = np.add.reduceat(weighted, starts) * _power(_M_INVERSE, len(points))[starts] if len(starts) else np.zeros(0, U)
+    return Words(points, starts, ends, mix(hashes ^ (ends - starts).astype(U)), np.searchsorted(starts, at))
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` neighbouring words, by doubling."""
     n = len(hashes) - size + 1

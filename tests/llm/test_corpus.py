@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casemeter.llm import block_anchors, exact_dedup, graph, line_crf, minhash_dedup, nbest_pieces, queries, secret_models, sharding, spaced_seeds, sparse_suffixes, warc_archive
+from casemeter.llm import block_anchors, exact_dedup, graph, line_crf, minhash_dedup, nbest_pieces, queries, secret_models, sharding, spaced_seeds, sparse_suffixes, warc_archive, words
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, row string, hash string, kept int"
@@ -103,6 +103,19 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and any(want.values()) and not all(want.values())
 
 
+def test_passages_match_whatever_case_and_punctuation_of_any_script(spark):
+    draw = random.Random(8)
+    alphabets = ("éàüçñøß", "αβγδεσς", "бвгджзи", "ıiğşöüe")
+    items = [" ".join("".join(draw.choice(a) for _ in range(draw.randrange(2, 8))) for _ in range(24)) for a in alphabets for _ in range(4)]
+    texts = [f"{prose(k, 1)[0]} {t.upper()} end" for k, t in enumerate(items)] + ["“" + t.replace(" ", "” — «") + "…" for t in items] + [t.title() for t in items]
+    benchmark = frame(spark, items).select(F.col("doc_id").alias("item_id"), "text")
+    got = [r["item_ids"] for r in spaced_seeds.flag(frame(spark, texts), benchmark).orderBy("doc_id").collect()]
+    assert got == 3 * [[k] for k in range(1, len(items) + 1)]
+    mixed = words.letters(pa.array(["Ab, c", "é", None, "STRASSE Ab", "straße ab\ufe0f"]))
+    assert np.diff(mixed.bounds).tolist() == [2, 1, 0, 2, 2] and (mixed.hashes[3:5] == mixed.hashes[5:7]).all()
+    assert (words.letters(pa.array(["Ab, c"])).hashes == mixed.hashes[:2]).all()
+
+
 def test_best_segmentations_are_those_of_full_enumeration():
     have = nbest_pieces.pieces(queries.MODEL)
 
