@@ -15,7 +15,7 @@ SHARD_BYTES = 1 << 20
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spaced_seeds.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+    return spaced_seeds.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True).drop("row")
 
 
 def op2_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

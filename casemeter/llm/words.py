@@ -28,6 +28,13 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
+#: Scripts written without blanks between words; each of their letters, marks and numbers is a word: Thai and Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Bopomofo, Yi and Han.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x312F),
+    (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
 class Words(NamedTuple):
     data: np.ndarray  # bytes of all texts
     starts: np.ndarray  # first byte of each word
@@ -77,7 +84,7 @@ def split(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = False)
 
 @cache
 def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
-    """By code point: what it is (0 separator, 1 part of a word), its hash value, its case-folded form, and the forms of more than one character.
+    """By code point: what it is (0 separator, 1 part of a word, 2 a word of its own), its hash value, its case-folded form, and the forms of more than one character.
 
     Folding is ``upper().casefold()``, so a text and its upper-cased form are the same. Letters, marks and numbers are parts of words.
     """
@@ -93,6 +100,8 @@ def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
                 longer[point] = folded
     for first, last in ((0xFE00, 0xFE0F), (0xE0100, 0xE01EF)):  # variation selectors
         kind[first : last + 1] = 0
+    for first, last in UNSPACED:
+        kind[first : last + 1] *= 2
     values = mix(np.arange(0x110000, dtype=U) * U(_M)) | U(1)
     values[:128] = _TABLE[:128]
     values[kind == 0] = 0
@@ -100,7 +109,7 @@ def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
 
 
 def letters(texts: pa.Array) -> Words:
-    """Runs of letters, marks and numbers of every text, without regard to case; places count folded characters."""
+    """Runs of letters, marks and numbers of every text, without regard to case; single characters where a script has no blanks. Places count folded characters."""
     data, at = utf8(texts)
     if not (data > 127).any():
         return split(texts, PUNCTUATION, fold=True)
@@ -114,12 +123,12 @@ def letters(texts: pa.Array) -> Words:
     at = np.concatenate([[0], np.cumsum([len(t) for t in whole])])
     points = fold[np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32)]
     kind = kinds[points]
-    inside = kind == 1
+    inside, alone = kind == 1, kind == 2
     before, after = np.ones(len(points), bool), np.ones(len(points), bool)
     before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
     before[at[:-1][at[:-1] < len(points)]] = True
     after[at[1:][at[1:] > 0] - 1] = True
-    starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+    starts, ends = np.flatnonzero(inside & before | alone), np.flatnonzero(inside & after | alone) + 1
     weighted = values[points]
     weighted *= _power(_M, len(points))
     hashes = np.add.reduceat(weighted, starts) * _power(_M_INVERSE, len(points))[starts] if len(starts) else np.zeros(0, U)

@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without a passage of the benchmark."""
     docs = _marked(docs)
     rows = docs.select(F.col(_ROW).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    found = spaced_seeds.matches(rows, table(spark, sf_dir, "benchmark")).select(F.col("row").alias(_ROW)).distinct()
+    found = spaced_seeds.matches(rows, table(spark, sf_dir, "benchmark"), short_items=True).select(F.col("row").alias(_ROW)).distinct()
     return docs.join(found, _ROW, "left_anti").drop(_ROW)
 
 

@@ -116,6 +116,38 @@ def test_passages_match_whatever_case_and_punctuation_of_any_script(spark):
     assert (words.letters(pa.array(["Ab, c"])).hashes == mixed.hashes[:2]).all()
 
 
+def test_masks_of_short_items_miss_no_substitution():
+    for n in range(1, spaced_seeds.WINDOW):
+        masks = [set(range(n)) - set(range(*gap)) for gap in spaced_seeds.gaps(n, True)]
+        most = spaced_seeds.substitutions(n, True)
+        assert most == n // 8 and all(any(not set(gone) & mask for mask in masks) for gone in itertools.combinations(range(n), most))
+
+
+def test_short_items_equal_brute_force(spark):
+    draw = random.Random(12)
+    cjk = "".join(map(chr, range(0x4E00, 0x4E40)))
+    items = [" ".join(draw.choice("abcdefgh") + str(draw.randrange(9)) for _ in range(n)) for n in range(1, 16) for _ in range(2)] + prose(21, 4, 20)
+    items += ["".join(draw.choice(cjk) for _ in range(n)) for n in (3, 8, 12, 30)] + ["ภาษาไทยเขียนติดกันทั้งหมด", "...", ""]
+    texts = prose(22, 20)
+    for item in items[:-2] * 3:
+        parts = list(item) if not item.isascii() else item.split()
+        for _ in range(draw.randrange(3)):
+            parts[draw.randrange(len(parts))] = draw.choice(["zz", "字"])
+        texts.append(f"{draw.choice(texts[:20])} {('' if not item.isascii() else ' ').join(parts)}. {draw.choice(texts[:20])}")
+
+    def tokens(text):
+        return re.findall("[a-z0-9]+|[\u0e00-\u0eff\u4e00-\u9fff]", text.lower())
+
+    def shared(a, b):
+        n = min(len(b), spaced_seeds.WINDOW)
+        return n > 0 and any(sum(x != y for x, y in zip(a[i : i + n], b[j : j + n])) <= n // 8 for i in range(len(a) - n + 1) for j in range(len(b) - n + 1))
+
+    benchmark = frame(spark, items).select(F.col("doc_id").alias("item_id"), "text")
+    got = {r["doc_id"]: r["item_ids"] for r in spaced_seeds.flag(frame(spark, texts), benchmark, short_items=True).collect()}
+    cut = [tokens(item) for item in items]
+    assert got == {i: [k for k, item in enumerate(cut, 1) if shared(tokens(t), item)] for i, t in enumerate(texts, 1)}
+
+
 def test_best_segmentations_are_those_of_full_enumeration():
     have = nbest_pieces.pieces(queries.MODEL)
 
