@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and character Markov models for what they miss.
 
 Two models of character pairs, one of random strings and one of ordinary identifiers, are counted over the whole table from samples that the
-patterns label: the values of pattern matches are random strings, other words of 4 to 19 letters and digits are identifiers. A run that no pattern covers is reported where the log-likelihood
-ratio, in bits per character, favours the random model by a margin. Places are code points, ends exclusive.
+patterns label: the values of pattern matches are random strings, other words of 4 to 19 letters and digits are identifiers. What lies outside the pattern matches is cut into runs. Of each run, of any length, the stretches whose
+log-likelihood ratios, in bits per character, score best above a margin are judged: one of over ``_EVIDENCE`` bits in all, what the shortest whole run needs at a margin of 1, is reported up to the next of ``+/_=-`` on each side. There a pair with one of these
+characters counts for nothing, since no sample of identifiers has them. A run of 20 or more characters without such a stretch is reported whole where its mean ratio is over the margin. Places are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{16,}")  # runs of [0-9a-f]+ are maximal, so this drops the short ones
 KINDS = ("assign", "access", "hex")
-#: Runs that the models judge.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Fewest characters of a run that is judged as a whole.
+_WHOLE = 20
+_EVIDENCE = float(_WHOLE - 1)
+_JOINS = "+/_=-"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(_LETTERS), np.int64)
 _CODE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))
+_OUTSIDE = len(_LETTERS)
 _SIZE = len(_LETTERS) + 1
 _PRIOR = 10.0
 #: Samples of identifiers: their words, for a longer run may be the very string that is looked for.
@@ -89,24 +93,79 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return odds[0] - odds[1]
 
 
-def ratio(bits: np.ndarray, run: str) -> float:
-    """Mean bits per character by which the random model is likelier for ``run``."""
-    codes = _CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
-    return float(bits[codes[:-1], codes[1:]].mean())
+def stretches(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring stretches (first, behind the last) of a sequence, in linear time (Ruzzo and Tompa)."""
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum behind, first, behind the last, the nearest with a smaller sum before
+    total = 0.0
+    for k, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        first, at = k, len(found) - 1
+        while True:
+            while at >= 0 and found[at][0] >= before:
+                at = found[at][4]
+            if at < 0 or found[at][1] >= total:
+                found.append((before, total, first, k + 1, at))
+                break
+            before, _, first, _, link = found[at]
+            del found[at:]
+            at = link
+    return [(first, end) for _, _, first, end, _ in found]
+
+
+def _judged(gains: np.ndarray, margin: float, text: str) -> list[tuple[int, int]]:
+    """Places of what is reported of the run ``text``; ``gains`` has the bits of each pair of its neighbours."""
+    whole = [(0, len(text))] if len(text) >= _WHOLE and gains.mean() > margin else []
+    out: list[tuple[int, int]] = []
+    joins = np.array([c in _JOINS for c in text])
+    gains = np.where(joins[:-1] | joins[1:], 0.0, gains)
+    for first, end in stretches((gains - margin).tolist()):
+        if gains[first:end].sum() > _EVIDENCE:
+            end += 1
+            while first and text[first - 1] not in _JOINS:
+                first -= 1
+            while end < len(text) and text[end] not in _JOINS:
+                end += 1
+            if out and first <= out[-1][1]:
+                first = out.pop()[0]
+            out.append((first, end))
+    return out or whole
+
+
+def _runs(bits: np.ndarray, margin: float, texts: list[str], bases: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
+    """What the models report of each text outside the pattern matches."""
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    whole = "\n".join([*texts, ""])
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(points < 128, _CODE[np.minimum(points, 127)], _OUTSIDE)
+    for offset, base in zip(offsets.tolist(), bases):
+        for start, end, _ in base:
+            codes[offset + start : offset + end] = _OUTSIDE
+    inside = np.pad(codes != _OUTSIDE, 1)
+    starts, ends = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    if not len(starts):
+        return out
+    gains = np.where(inside[1:-2] & inside[2:-1], bits[codes[:-1], codes[1:]], 0.0)
+    gains = np.append(gains, 0.0)
+    sizes = ends - starts
+    # No stretch has more than all positive pairs of its run together.
+    some = (np.add.reduceat(np.maximum(gains, 0), starts) > _EVIDENCE) | (sizes >= _WHOLE) & (np.add.reduceat(gains, starts) > margin * (sizes - 1) - 1e-6)
+    for start, end in zip(starts[some].tolist(), ends[some].tolist()):
+        k = int(np.searchsorted(offsets, start, "right")) - 1
+        offset = start - int(offsets[k])
+        out[k] += [(offset + a, offset + b, "random") for a, b in _judged(gains[start : end - 1], margin, whole[start:end])]
+    return out
 
 
 def _scanned(bits: np.ndarray, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
-            for text in batch.column("text").to_pylist():
-                base = base_spans(text)
-                more, k, reach = [], 0, 0
-                for m in _RUN.finditer(text):
-                    while k < len(base) and base[k][0] < m.end():
-                        reach, k = max(reach, base[k][1]), k + 1
-                    if reach <= m.start() and ratio(bits, m.group()) > margin:
-                        more.append((m.start(), m.end(), "random"))
+            texts = batch.column("text").to_pylist()
+            bases = [base_spans(text) for text in texts]
+            for base, more in zip(bases, _runs(bits, margin, texts, bases)):
                 named = [f"{kind}:{s}:{e}" for s, e, kind in base]
                 order = sorted([(s, i, n) for i, ((s, _, _), n) in enumerate(zip(base, named))] + [(s, len(base), f"{kind}:{s}:{e}") for s, e, kind in more])
                 sizes = [sum(kind == x for _, _, kind in base) for x in KINDS]

@@ -188,6 +188,34 @@ def test_models_add_random_runs_and_leave_identifiers(spark):
     assert sum(got[400:450]) >= 48 and sum(got[:400]) == 0 and sum(got[450:]) == 0
 
 
+def test_random_strings_are_found_beside_other_text(spark):
+    draw = random.Random(4)
+    key = lambda n: "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    path = "customer/account/archive/download/manager/record"
+    forms = [lambda k: f"é {path}/{k}", lambda k: f"{path}={k}_window", lambda k: f"{'0f' * 8}-{k}", lambda k: f"{path}/{k}/{path}/{k[::-1]}", lambda k: k[:16]]
+    texts = [form(key(32)) for form in forms for _ in range(20)] + [f"{path}/BY-NC", "555-8283", path, "0f" * 8 + "-" + path] * 5
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    got = secret_models.scan(docs.union(frame(spark, texts).select("doc_id", "text"))).where("doc_id > 0").orderBy("doc_id").collect()
+    found = [[tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random")] for r in got]
+    right = [sum(len(f) == (2 if k == 60 else 1) for f in found[k : k + 20]) for k in range(0, 100, 20)]
+    # A string under 20 characters is itself in the sample of identifiers, so only some are found.
+    assert min(right[:4]) >= 19 and right[4] >= 1 and not any(found[100:])
+    assert sum(found[k] == [(len(path) + 3, len(path) + 35)] for k in range(20)) >= 18
+
+
+def test_stretches_are_those_of_brute_force():
+    draw = random.Random(6)
+    for _ in range(200):
+        scores = [draw.randrange(-5, 6) for _ in range(draw.randrange(12))]
+
+        def split(first, last):
+            best = max(((sum(scores[a:b]), a - b, a, b) for a in range(first, last) for b in range(a + 1, last + 1)), default=(0,))
+            return split(first, best[2]) + [best[2:]] + split(best[3], last) if best[0] > 0 else []
+
+        got = secret_models.stretches([float(x) for x in scores])
+        assert [sum(scores[a:b]) for a, b in got] == [sum(scores[a:b]) for a, b in split(0, len(scores))]
+
+
 def test_minhash_equals_all_pairs(spark):
     texts = near_copies(11, 80) + ["", "a b", "A B", "a  b"]
     size, percent = 3, 85
