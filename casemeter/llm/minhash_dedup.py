@@ -4,7 +4,8 @@ Documents with equal shingle sets collapse to one class before anything is compa
 ``BINS`` bins; an empty bin copies a filled one that a hash of (bin, attempt) selects, so each bin agrees with the
 probability of the Jaccard similarity. Bands of bins name buckets. A bucket proposes star edges to its smallest and its
 largest class. What the stars leave apart in one bucket is compared too: members outside the bucket's largest
-component against those of other components, each pair once and only where sizes and one bit of each bin allow it. So no link inside a bucket is lost, and a bucket whose members belong
+component against those of other components, each pair once and only where sizes and, if the smaller set has ``BIT_TEST_FROM`` shingles or more, one bit of each bin allow it: in smaller sets one
+shingle fills many bins by densification and all its copies carry the same bit. So no link inside a bucket is lost, and a bucket whose members belong
 together costs a star. A pair is dropped early only where the agreeing bins are over 0.2 below the threshold, five or
 more standard deviations; a sketch keeps 8 bits of each bin, which can only make more bins agree. Links are confirmed on the
 full sets, which are made anew from the texts of the candidates and never stored.
@@ -25,6 +26,7 @@ from casemeter.llm.graph import components
 from casemeter.llm.words import U, mix, split, windows
 
 BINS, BAND = 128, 4
+BIT_TEST_FROM = 64
 _ATTEMPTS = 2048
 _BITS = 22
 
@@ -167,6 +169,12 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     return written(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(size, percent), "a binary, b binary"))
 
 
+def _bits_allow(percent: int) -> Column:
+    """Whether one bit of each bin leaves a link of x and y possible; small sets are not tested."""
+    differ = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high_x").bitwiseXOR(F.col("high_y")))
+    return (F.least("n_shingles_x", "n_shingles_y") < BIT_TEST_FROM) | (differ <= BINS / 2 * (1.3 - percent / 100))
+
+
 def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept, first: one row per row of ``docs``.
 
@@ -195,8 +203,7 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     apart = named.where("label <> top").select("key", *facts("x")).join(named.select("key", "top", *facts("y")), "key")
     apart = apart.where((F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("top")) | (F.col("node_x") < F.col("node_y"))))
     apart = apart.where(100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
-    differ = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high_x").bitwiseXOR(F.col("high_y")))
-    apart = apart.where(differ <= BINS / 2 * (1.3 - percent / 100))
+    apart = apart.where(_bits_allow(percent))
     # A pair comes from the smallest of its shared buckets alone, so no pair is emitted twice.
     apart = apart.where(F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")).select(*pair("node_x", "node_y"))
     rest = _links(written(apart.join(tried, ["a", "b"], "left_anti")), classes, rows, size, percent)

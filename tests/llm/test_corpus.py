@@ -234,6 +234,18 @@ def test_minhash_equals_all_pairs(spark):
     assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in got] == [(len(s), v + 1, v == k) for k, (s, v) in enumerate(zip(sets, lead))]
 
 
+def test_one_bit_of_each_bin_drops_no_link(spark):
+    draw = np.random.default_rng(1)
+    for shared, union, percent in ((4, 5, 80), (6, 7, 85), (52, 65, 80)):
+        base = np.sort(draw.integers(1, 1 << 63, (3000, union), dtype=np.uint64), axis=1)
+        half = (union - shared) // 2
+        left, right = ([draw.permutation(b) for b in base[:, cut]] for cut in (slice(half, None), slice(None, half - (union - shared) or None)))
+        x, y = (np.packbits((minhash_dedup.signatures(sets) & 1).astype(np.uint8), axis=1).view(np.int64) for sets in (left, right))
+        rows = [(len(a), len(b), *map(int, (*p, *q))) for a, b, p, q in zip(left, right, x, y)]
+        pairs = spark.createDataFrame(rows, "n_shingles_x long, n_shingles_y long, low_x long, high_x long, low_y long, high_y long")
+        assert pairs.where(minhash_dedup._bits_allow(percent)).count() == len(rows)
+
+
 def test_components_of_chains_and_a_star(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 20)]
     got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
