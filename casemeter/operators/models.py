@@ -9,7 +9,7 @@ from math import pi, sqrt
 from typing import Any
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -20,10 +20,8 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
@@ -31,17 +29,6 @@ from . import decide as de, metrics as me
 from .table_features import class_weights, with_class_weights
 
 WEIGHT = "_weight"
-#: Representation that each family reads (text tasks); tabular tasks use one dense vector.
-REPRESENTATIONS = {
-    "logistic_regression": "linear",
-    "linear_svm": "linear",
-    "rbf_svm": "dense",
-    "naive_bayes": "word",
-    "decision_tree": "tree",
-    "random_forest": "tree",
-    "randomised_forest": "tree",
-    "gradient_boosting": "dense",
-}
 
 
 @dataclass(frozen=True)
@@ -223,26 +210,6 @@ def fourier_features(df: DataFrame, vector: str, dims: int, size: int, gamma: fl
     return df.withColumn(out, array_to_vector(cos))
 
 
-def truncated_svd(df: DataFrame, vector: str, k: int) -> tuple[list[float], DataFrame]:
-    """Singular values and projected rows (uncentred, unlike PCA); the Gram matrix is summed on executors."""
-    dims = df.select(F.size(vector_to_array(vector))).limit(1).collect()[0][0]
-    old = MLUtils.convertVectorColumnsFromML(df.select(vector), vector)
-    svd = RowMatrix(old).computeSVD(max(1, min(k, dims - 1)))
-    v = svd.V.toArray()
-    columns = ",".join(f"array({','.join(f'{float(x)!r}D' for x in v[:, j])})" for j in range(v.shape[1]))
-    dot = lambda c: F.aggregate(F.zip_with(vector_to_array(vector), c, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return [float(s) for s in svd.s], df.withColumn("svd", F.transform(F.expr(f"array({columns})"), dot))
-
-
-def union_features(df: DataFrame, parts: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(parts), outputCol=out).transform(df)
-
-
 def dense_pipeline(vector: str = "features") -> Pipeline:
     """Scaling fitted on whatever rows ``fit`` is given: training rows for selection, plus validation for the refit."""
     return Pipeline(stages=[StandardScaler(inputCol=vector, outputCol="scaled", withMean=True, withStd=True)])
-
-
-def route(representations: Mapping[str, PipelineModel], df: DataFrame, family: str) -> DataFrame:
-    """Transform the shared frame with the representation of a family."""
-    return representations[REPRESENTATIONS[family]].transform(df)

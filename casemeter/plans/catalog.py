@@ -14,7 +14,7 @@ CHECKS: dict[str, str] = {}
 
 SECTIONS = (
     "flagship",
-    "snapshots", "sets_joins", "splits", "series", "text_features", "table_features", "modelling",
+    "snapshots", "sets_joins", "splits", "series", "text_features", "table_features", "modelling", "text_models", "tree_models",
     "decisions", "metrics", "paired", "reports", "audits", "requests", "episodes", "monitors", "files",
 )
 

@@ -6,9 +6,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import ensembles as en, models as mo, neighbours as nb, split as sp, table_features as tb, text_features as tf
+from ..operators import ensembles as en, models as mo, neighbours as nb, split as sp, table_features as tb
 from ..session import checkpointed
-from .bindings import CASES_SQL, cases, predictions, predictions_sql, table, texts
+from .bindings import CASES_SQL, cases, predictions, predictions_sql, table
 from .catalog import query
 
 _SLOT = "cast('0x' || substr(sha256('41|' || cast(vec_id as varchar)), 1, 13) as ubigint) % 10"
@@ -134,9 +134,7 @@ query("ml1_logistic_regression")(_fitted("logistic_regression", False))
 query("ml2_linear_svm")(_fitted("linear_svm", True))
 query("ml4_decision_tree")(_fitted("decision_tree", False))
 query("ml5_random_forest")(_fitted("random_forest", False))
-query("ml6_randomised_forest")(_fitted("randomised_forest", False))
 query("ml8_gaussian_estimator")(_fitted("naive_bayes", False, {"modelType": "gaussian"}))
-query("ml9_gradient_boosting")(_fitted("gradient_boosting", True))
 query("ml19_uniform_scores")(_fitted("logistic_regression", True, params=1))
 
 
@@ -149,15 +147,6 @@ def ml3(spark, sf):
     return mo.score(model, test, 2, ["vec_id", "label"])
 
 
-@query("ml10_early_stopping")
-def ml10(spark, sf):
-    train, validation, test = _splits(spark, sf, True)
-    c = mo.Candidate("gradient_boosting", mo.SETTINGS["gradient_boosting"][0])
-    _, rounds = mo.early_stopping(c, train, validation, 7, rounds=6)
-    final = mo.fit(mo.Candidate(c.family, c.params, False, {"rounds": rounds}), train.unionByName(validation), 2, 7)
-    return mo.score(final, test, 2, ["vec_id", "label"]).withColumn("rounds", F.lit(rounds))
-
-
 def _search(spark, sf):
     train, validation, test = _splits(spark, sf, True)
     options = [*mo.candidates("logistic_regression", 4), *mo.candidates("decision_tree", 2)]
@@ -182,50 +171,9 @@ def ml18(spark, sf):
     return mo.leaderboard(_search(spark, sf)[0])
 
 
-def _text_frame(spark, sf, size=60):
-    """Labelled texts with selected TF-IDF terms as a sparse vector, fitted on the training rows."""
-    df = texts(spark, sf).select("doc_id", "text", "label", "official")
-    train = df.where("official = 'train'")
-    voc = tf.fit_word_vocabulary(train, "text", 400)
-    weights = checkpointed(tf.word_weights(df, "doc_id", "text", voc, 400))
-    chosen = tf.select_terms(tf.chi_square(weights.join(train.select("doc_id"), "doc_id", "left_semi"), train, "doc_id", "label"), size)
-    return checkpointed(tf.sparse_vectors(df.drop("text"), weights, "doc_id", chosen, size))
-
-
-@query("fe4_truncated_svd")
-def fe4(spark, sf):
-    frame = _text_frame(spark, sf)
-    values, projected = mo.truncated_svd(frame, "features", 8)
-    return projected.select("doc_id", "svd", F.lit(values[0]).alias("first_singular_value"))
-
-
-@query("fe6_feature_union")
-def fe6(spark, sf):
-    v = vectors(spark, sf).withColumn("features_a", array_to_vector(F.col("embedding").cast("array<double>")))
-    joined = v.withColumn("norm", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return mo.union_features(joined, ["features_a", "norm"]).select("vec_id", "features")
-
-
-@query("fe11_text_representation")
-def fe11(spark, sf):
-    frame = _text_frame(spark, sf)
-    _, projected = mo.truncated_svd(frame, "features", 8)
-    dense = projected.withColumn("dense", array_to_vector("svd"))
-    fitted = mo.dense_pipeline("dense").fit(dense.where("official = 'train'"))
-    return fitted.transform(dense).select("doc_id", "scaled")
-
-
 @query("fe13_fit_scope")
 def fe13(spark, sf):
     train, validation, test = _splits(spark, sf, False)
     selection = mo.dense_pipeline().fit(train).transform(validation).withColumn("scope", F.lit("selection"))
     final = mo.dense_pipeline().fit(train.unionByName(validation)).transform(test).withColumn("scope", F.lit("final"))
     return selection.unionByName(final).select("vec_id", "scope", "scaled")
-
-
-@query("fe14_representation_routing")
-def fe14(spark, sf):
-    train, validation, _ = _splits(spark, sf, False)
-    scaled = mo.dense_pipeline().fit(train)
-    routes = {name: scaled for name in ("linear", "dense", "word", "tree")}
-    return mo.route(routes, validation, "linear_svm").select("vec_id", "scaled")

@@ -18,7 +18,8 @@ CHOSEN = (
     "sp6_development_split", "fe1_word_tfidf", "fe3_chi_square", "me4_macro_f1", "me12_calibration_error", "me18_pair_breakdown",
     "de1_threshold_selection", "st5_cluster_bootstrap", "st9_empty_interval", "rp3_score_panel", "rp5_average_rank", "in4_split_verification",
     "sc2_response_validation", "sc6_first_over_budget", "ep4_episode_latency", "ml7_knn_vote", "ml13_hard_vote", "ss4_episode_sessions_batch",
-    "ss3_first_answers_stream", "io5_read_json_lines",
+    "ss3_first_answers_stream", "io5_read_json_lines", "flagship_text_classifier", "fe4_svd_certificate", "fe6_feature_union", "fe14_representation_routing",
+    "ml8_multinomial_naive_bayes", "ml9_boosted_trees", "ml10_early_stopping", "ml6_randomised_forest",
 )
 NAMES = list(entry.queries()) if os.environ.get("CASEMETER_ALL") else CHOSEN
 

@@ -84,16 +84,6 @@ def test_tfidf_by_hand(spark):
     assert w == {k: pytest.approx(v / norm) for k, v in raw.items()}
 
 
-def test_svd_against_numpy(spark):
-    x = np.random.default_rng(4).normal(size=(50, 6))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>").withColumn("f", array_to_vector("v"))
-    values, projected = mo.truncated_svd(df, "f", 3)
-    _, s, vt = np.linalg.svd(x, full_matrices=False)
-    assert values == pytest.approx(s[:3].tolist())
-    first = np.array(projected.orderBy("i").first()["svd"])
-    assert np.abs(first) == pytest.approx(np.abs(x[0] @ vt[:3].T))
-
-
 def test_search_records_failures(spark):
     rng = np.random.default_rng(6)
     rows = [(int(i % 2), [float(i % 2 + rng.normal(0, 0.3)), float(rng.normal())]) for i in range(120)]
