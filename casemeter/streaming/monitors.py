@@ -1,12 +1,20 @@
 """Monitors over an append-only attempt log, as streams and as their batch twins.
 
 The streaming functions take and return streaming DataFrames; state is bounded by the
-watermark. ``run_available`` drains what a source holds and leaves a table behind.
+watermark. ``run_available`` drains what a source holds and leaves a table behind; with :class:`EndMarks`
+the watermark then passes the last event, so that every window, match, answer and session is closed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import datetime as dt
+import pickle
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..functions.numeric import ratio
 from ..operators.ordering import exact_quantiles
@@ -24,9 +32,12 @@ def _status_aggregates():
 
 
 def status_monitor(log: DataFrame, time: str, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Failure rate and approximate latency per window; records later than the delay are dropped."""
+    """Failure rate and latency percentiles per window; records later than the delay are dropped.
+
+    A window's state holds its distinct latencies with their counts, from which the percentiles are exact.
+    """
     grouped = _windowed(log.withWatermark(time, delay), time, width, slide).groupBy("_w")
-    p = F.approx_percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)), 10000)
+    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
     out = grouped.agg(*_status_aggregates(), p.alias("_p"))
     return out.select(
         F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "n", "failed", "failure_rate",
@@ -63,9 +74,34 @@ def attempt_history(log: DataFrame, timeout: str = "1 hour") -> DataFrame:
     return _match(log.where("event = 'start'"), log.where("event = 'end'"), timeout)
 
 
-def first_answers(answers: DataFrame, key: str, time: str, delay: str = "10 minutes") -> DataFrame:
-    """First answer per request within the watermark."""
-    return answers.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def first_answers(answers: DataFrame, key: str, time: str, order: Sequence[str], delay: str = "10 minutes") -> DataFrame:
+    """First answer per request by (time, ``order``). It is given out once the watermark has passed it, for then no earlier one can come.
+
+    A request's state is its earliest answer so far, and afterwards the mark that it has been answered.
+    """
+    schema, names = answers.schema, answers.columns
+    rank = [time, *order]
+
+    def earliest(request: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (row,) = state.get
+            state.update((None,))
+            yield pd.DataFrame([pickle.loads(row)], columns=names)
+            return
+        held = state.get[0] if state.exists else b""
+        if held is None:
+            return
+        best = pickle.loads(held) if held else None
+        place = [names.index(c) for c in rank]
+        for part in parts:
+            row = part.sort_values(rank).iloc[0].tolist()
+            if best is None or [row[k] for k in place] < [best[k] for k in place]:
+                best = row
+        state.update((pickle.dumps(best),))
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(best[place[0]]).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+    keyed = answers.withWatermark(time, delay).groupBy(key)
+    return keyed.applyInPandasWithState(earliest, schema, "best binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_answer_history(answers: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -98,12 +134,40 @@ def episode_session_history(steps: DataFrame, key: str, time: str, gap_seconds:
     return numbered.groupBy(key, "_id").agg(F.sum("_n").alias("steps"), F.min("_lo").alias("first_step"), F.max("_hi").alias("last_step")).drop("_id")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Drain the available input into a table in the shared folder and read it back."""
+class EndMarks:
+    """A second source beside a log. Its rows, written once the log is drained, carry a time past the last event and so move the watermark.
+
+    A mark's own window, match or session stays open and is never given out. Events that come after a mark are late.
+    """
+
+    def __init__(self, spark: SparkSession, schema: StructType):
+        self.spark, self.schema = spark, schema
+        self.folder = f"{shared_folder(spark)}/marks"
+        spark.createDataFrame([], schema).write.parquet(self.folder)
+
+    def beside(self, log: DataFrame) -> DataFrame:
+        return log.unionByName(self.spark.readStream.schema(self.schema).parquet(self.folder))
+
+    def write(self, time: str, at: dt.datetime, rows: Sequence[dict]) -> None:
+        """Add marks at the time ``at`` with the given columns; the others are null."""
+        marks = self.spark.createDataFrame([tuple((r | {time: at}).get(c) for c in self.schema.names) for r in rows], self.schema)
+        marks.write.mode("append").parquet(self.folder)
+
+
+def run_available(stream: DataFrame, name: str, close: EndMarks | None = None, **mark: object) -> DataFrame:
+    """Drain the available input into a table in the shared folder and read it back.
+
+    With ``close`` the marks are written after that, and a second run with the same state gives out what was still open.
+    """
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/{name}"
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").option("path", f"{root}/table").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").option("path", f"{root}/table")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if close is not None:
+        close.write(**mark)
+        run()
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
