@@ -2,7 +2,7 @@
 
 Two models of character pairs, one of random strings and one of ordinary identifiers, are counted over the whole table from samples that the
 patterns label: the values of pattern matches are random strings, other words of 4 to 19 letters and digits are identifiers. What lies outside the pattern matches is cut into runs. Of each run, of any length, the stretches whose
-log-likelihood ratios, in bits per character, score best above a margin are judged: one of over ``_EVIDENCE`` bits in all, what the shortest whole run needs at a margin of 1, is reported up to the next of ``+/_=-`` on each side. There a pair with one of these
+log-likelihood ratios, in bits per character, score best above a margin are judged: one of over ``_EVIDENCE`` bits in all, what the shortest whole run needs at a margin of 1, is reported up to the next of ``+/_=-`` on each side, less the parts at its ends whose own mean is under the margin. There a pair with one of these
 characters counts for nothing, since no sample of identifiers has them. A run of 20 or more characters without such a stretch is reported whole where its mean ratio is over the margin. Places are code points, ends exclusive.
 """
 
@@ -114,6 +114,14 @@ def stretches(scores: list[float]) -> list[tuple[int, int]]:
     return [(first, end) for _, _, first, end, _ in found]
 
 
+def _trimmed(gains: np.ndarray, margin: float, text: str, first: int, end: int) -> tuple[int, int]:
+    """The stretch without the parts at its ends, between joins, whose own pairs do not speak for a random string."""
+    inner = [k for k in range(first, end) if text[k] in _JOINS]
+    parts = [(a, b) for a, b in zip([first, *(k + 1 for k in inner)], [*inner, end]) if b > a]
+    speaks = [k for k, (a, b) in enumerate(parts) if b - a > 1 and gains[a : b - 1].mean() > margin]
+    return (parts[speaks[0]][0], parts[speaks[-1]][1]) if speaks else (first, end)
+
+
 def _judged(gains: np.ndarray, margin: float, text: str) -> list[tuple[int, int]]:
     """Places of what is reported of the run ``text``; ``gains`` has the bits of each pair of its neighbours."""
     whole = [(0, len(text))] if len(text) >= _WHOLE and gains.mean() > margin else []
@@ -127,6 +135,7 @@ def _judged(gains: np.ndarray, margin: float, text: str) -> list[tuple[int, int]
                 first -= 1
             while end < len(text) and text[end] not in _JOINS:
                 end += 1
+            first, end = _trimmed(gains, margin, text, first, end)
             if out and first <= out[-1][1]:
                 first = out.pop()[0]
             out.append((first, end))
