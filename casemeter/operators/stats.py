@@ -1,30 +1,65 @@
 """Paired differences and bootstrap intervals.
 
-A bootstrap sample of ``n`` values depends on the values only through their counts:
-
-* small inputs draw ``n`` indices per replicate from digests and look them up in the
-  sorted values: reproducible by any engine that has SHA-256;
-* large inputs are reduced to a histogram whose multinomial counts are drawn directly, which is the same
-  distribution at a cost of ``replicates x distinct values`` however large ``n`` is.
+A bootstrap sample depends on the values only through how often each is drawn. The weight of a value with count ``c`` in a replicate is a
+Poisson draw of mean ``c``, taken from a digest of (seed, group, value, replicate): one rule for every size, the same in
+any engine that has SHA-256. The cost is ``replicates x distinct values``, spread over the tasks and summed map-side, however many cases there are. Where
+a group draws nothing at all (a few values only), its replicate is its own mean.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from math import exp
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from ..functions.keys import digest, draw_index
+from ..functions.keys import digest
 from ..session import checkpointed
 
-#: Draws (replicates x values) up to which indices are drawn one by one.
-INDEX_DRAW_LIMIT = 40_000_000
-#: Distinct values that one task of the multinomial form holds.
-CHUNK_VALUES = 20_000
-_BLOCK = 100
+#: Values are told apart, and named in their draws, by whole multiples of this.
+GRID = 1e-9
+#: Counts up to which the Poisson distribution is inverted exactly; above, its expansion around the normal one is.
+EXACT_COUNTS = 10
+#: Draws that one digest holds, of 52 bits each.
+_DRAWS = 4
+#: The rational approximation of the inverse normal distribution (Acklam), from the highest power down.
+_CENTRE = ((-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.38357751867269e2, -3.066479806614716e1, 2.506628277459239e0),
+           (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0))
+_TAIL = ((-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838e0, -2.549732539343734e0, 4.374664141464968e0, 2.938163982698783e0),
+         (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996e0, 3.754408661907416e0, 1.0))
+_EDGE = 0.02425
+
+
+def _power_sum(factors: Sequence[float], x: str) -> str:
+    out = f"{factors[0]:.16e}"
+    for f in factors[1:]:
+        out = f"({out}) * {x} + {f:.16e}"
+    return f"({out})"
+
+
+def normal_sql(u: str) -> str:
+    """The inverse normal distribution of ``u``, as text that Spark and other engines read alike."""
+    rest = lambda r: f"({_power_sum(_TAIL[0], r)} / {_power_sum(_TAIL[1], r)})"
+    middle, low, high = f"({u} - 5e-1)", f"sqrt(-2e0 * ln({u}))", f"sqrt(-2e0 * ln(1e0 - {u}))"
+    square = f"({middle} * {middle})"
+    centre = f"({_power_sum(_CENTRE[0], square)} * {middle} / {_power_sum(_CENTRE[1], square)})"
+    return f"(case when {u} < {_EDGE:e} then {rest(low)} when {u} > {1 - _EDGE:e} then -{rest(high)} else {centre} end)"
+
+
+def large_count_sql(c: str, z: str) -> str:
+    """The Poisson draw of mean ``c`` at the normal value ``z``, by the expansion of Cornish and Fisher."""
+    return f"greatest(0e0, floor({c} + {z} * sqrt({c}) + ({z} * {z} - 1e0) / 6e0 + ({z} - {z} * {z} * {z}) / (72e0 * sqrt({c})) + 5e-1))"
+
+
+def poisson_steps(c: int) -> list[float]:
+    """The distribution function of the Poisson law of mean ``c``, as far as doubles tell it from 1."""
+    term = total = exp(-c)
+    out = [total]
+    while total + term > total or len(out) <= c:
+        term *= c / len(out)
+        total += term
+        out.append(total)
+    return out
 
 
 def correctness(prediction: str = "prediction", label: str = "label") -> Column:
@@ -67,86 +102,38 @@ def value_counts(df: DataFrame, scope: Sequence[str], stratum: str, value: str)
 
     The cases are read once; the counts are checkpointed because several small jobs follow.
     """
-    return checkpointed(df.groupBy(*scope, stratum, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-
+    v = F.col(value).cast("double")
+    return checkpointed(df.groupBy(*scope, stratum, F.round(v / GRID).cast("bigint").alias("_k")).agg(F.avg(v).alias("_v"), F.count(F.lit(1)).alias("_c")))
 
-def _running(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("_cum", F.sum("_c").over(upto))
 
+def _drawn() -> Column:
+    """The Poisson draw of mean ``_c`` at ``_u`` (normal value ``_z``); how many steps of the distribution ``_u`` has reached where the mean is small."""
+    out = F.expr(large_count_sql("_c", "_z"))
+    for c in range(EXACT_COUNTS, 0, -1):
+        reached = sum((F.when(F.col("_u") >= x, 1.0).otherwise(0.0) for x in poisson_steps(c)), F.lit(0.0))
+        out = F.when(F.col("_c") == c, reached).otherwise(out)
+    return out
 
-def _index_replicates(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: str) -> DataFrame:
-    """Replicate means per stratum from index draws into the sorted values.
 
-    Only used below ``INDEX_DRAW_LIMIT`` draws, which bounds the broadcast side by
-    ``INDEX_DRAW_LIMIT / replicates`` rows. Replicates are the parallel unit.
-    """
+def replicates_of(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: int | str) -> DataFrame:
+    """Replicate statistics per scope: the equal-weight mean of the stratum means."""
     keys = [*scope, stratum]
-    places = F.explode(F.sequence(F.col("_cum") - F.col("_c"), F.col("_cum") - 1)).alias("_i")
-    sorted_values = _running(counts, keys).select(*keys, "_v", places)
-    reps = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    blocks = -(-replicates // _DRAWS)
+    slots = counts.sparkSession.sparkContext.defaultParallelism
     # An explicit count: adaptive execution would merge these few rows, and with them all the draws.
-    reps = reps.repartition(counts.sparkSession.sparkContext.defaultParallelism, *keys, "replicate")
-    draws = reps.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    index = draw_index(F.col("n"), F.lit(seed), *[F.col(c) for c in keys], F.col("replicate"), F.col("_p"))
-    hit = draws.select(*keys, "replicate", index.alias("_i")).join(F.broadcast(sorted_values), [*keys, "_i"])
-    return hit.groupBy(*keys, "replicate").agg(F.avg("_v").alias("mean"))
-
-
-def _count_replicates(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: str) -> DataFrame:
-    """Replicate means per stratum from multinomial counts; (chunk of values, block of replicates) is the parallel unit.
-
-    Many distinct values are cut into chunks. Every chunk of a block draws the same chunk
-    totals from the same seed and then its own counts given its total, so the chunks
-    together follow one multinomial while no task holds more than a chunk of values.
-    """
-    keys = [*scope, stratum]
-    chunks = -(-counts.count() // CHUNK_VALUES) or 1
-    chunked = counts.withColumn("_chunk", F.pmod(F.xxhash64("_v"), F.lit(chunks)).cast("int"))
-    parts = chunked.groupBy(*keys, "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_c").alias("c")))).alias("values"), F.sum("_c").alias("_size")
-    )
-    sizes = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("chunk"), F.col("_size").alias("size")))).alias("sizes"))
-    blocks = -(-replicates // _BLOCK)
-    work = parts.join(sizes, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    name = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in keys], F.col("block").cast("string"))
-    work = work.withColumn("entropy", F.conv(F.substring(digest(name), 1, 13), 16, 10).cast("bigint"))
-    schema = StructType(
-        [*[counts.schema[k] for k in keys], StructField("replicate", IntegerType()), StructField("part", DoubleType()), StructField("n", LongType())]
+    drawn = counts.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(slots, *keys, "_k", "_b")
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys], F.col("_k").cast("string"), F.col("_b").cast("string"))
+    drawn = drawn.withColumn("_h", digest(name)).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(_DRAWS - 1)))).withColumn("replicate", F.col("_b") * _DRAWS + F.col("_d") + 1)
+    bits = F.conv(F.substring("_h", F.col("_d") * 13 + 1, F.lit(13)), 16, 10).cast("bigint")
+    drawn = drawn.where(F.col("replicate") <= replicates).withColumn("_u", (bits + 0.5) / float(1 << 52)).withColumn("_z", F.expr(normal_sql("_u")))
+    sums = drawn.withColumn("_w", _drawn()).groupBy(*keys, "replicate").agg(
+        F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"), (F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("_own")
     )
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                size = min(_BLOCK, replicates - row["block"] * _BLOCK)
-                totals = np.array([e["size"] for e in row["sizes"]], dtype=np.int64)
-                n = int(totals.sum())
-                at = [e["chunk"] for e in row["sizes"]].index(row["_chunk"])
-                mine = np.random.default_rng(row["entropy"]).multinomial(n, totals / n, size=size)[:, at]
-                share = np.array([e["c"] for e in row["values"]], dtype=np.int64) / totals[at]
-                drawn = np.random.default_rng([row["entropy"], row["_chunk"]]).multinomial(mine, share)
-                out = {k: [row[k]] * size for k in keys}
-                part = drawn @ np.array([e["v"] for e in row["values"]])
-                yield pd.DataFrame({**out, "replicate": np.arange(size) + 1 + row["block"] * _BLOCK, "part": part, "n": n})
-
-    slots = counts.sparkSession.sparkContext.defaultParallelism
-    drawn = work.repartition(max(slots, chunks), *keys, "block", "_chunk").select(*keys, "_chunk", "block", "entropy", "values", "sizes").mapInPandas(draw, schema)
-    return drawn.groupBy(*keys, "replicate").agg((F.sum("part") / F.first("n")).alias("mean"))
-
-
-def replicates_of(counts: DataFrame, scope: Sequence[str], stratum: str, replicates: int, seed: int | str, method: str = "auto") -> DataFrame:
-    """Replicate statistics per scope: the equal-weight mean of the stratum means."""
-    if method == "auto":
-        size = counts.agg(F.sum("_c")).collect()[0][0] or 0
-        method = "index" if size * replicates <= INDEX_DRAW_LIMIT else "counts"
-    draw = _index_replicates if method == "index" else _count_replicates
-    return draw(counts, scope, stratum, replicates, str(seed)).groupBy(*scope, "replicate").agg(F.avg("mean").alias("statistic"))
+    return sums.groupBy(*scope, "replicate").agg(F.avg(F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.col("_own"))).alias("statistic"))
 
 
-def bootstrap_replicates(
-    df: DataFrame, scope: Sequence[str], stratum: str, value: str, replicates: int, seed: int | str, method: str = "auto"
-) -> DataFrame:
-    return replicates_of(value_counts(df, scope, stratum, value), scope, stratum, replicates, seed, method)
+def bootstrap_replicates(df: DataFrame, scope: Sequence[str], stratum: str, value: str, replicates: int, seed: int | str) -> DataFrame:
+    return replicates_of(value_counts(df, scope, stratum, value), scope, stratum, replicates, seed)
 
 
 def interval(replicates: DataFrame, scope: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -155,20 +142,20 @@ def interval(replicates: DataFrame, scope: Sequence[str], level: float = 0.95) -
     return replicates.groupBy(*scope).agg(F.percentile("statistic", lo).alias("low"), F.percentile("statistic", hi).alias("high"))
 
 
-def stratified_interval(diffs: DataFrame, scope: Sequence[str], replicates: int, seed: int | str, label: str = "label", method: str = "auto") -> DataFrame:
+def stratified_interval(diffs: DataFrame, scope: Sequence[str], replicates: int, seed: int | str, label: str = "label") -> DataFrame:
     """Balanced difference with a bootstrap interval over cases within classes, in percentage points."""
     counts = value_counts(diffs, scope, label, "difference")
     per_class = counts.groupBy(*scope, label).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_m"), F.sum("_c").alias("_n"))
     point = per_class.groupBy(*scope).agg((100 * F.avg("_m")).alias("difference_pp"), F.sum("_n").alias("cases"))
-    bounds = interval(replicates_of(counts, scope, label, replicates, seed, method), scope)
+    bounds = interval(replicates_of(counts, scope, label, replicates, seed), scope)
     return point.join(bounds.select(*scope, (100 * F.col("low")).alias("lower_95_pp"), (100 * F.col("high")).alias("upper_95_pp")), list(scope), "left")
 
 
-def cluster_interval(clusters: DataFrame, scope: Sequence[str], replicates: int, seed: int | str, value: str = "value", method: str = "auto") -> DataFrame:
+def cluster_interval(clusters: DataFrame, scope: Sequence[str], replicates: int, seed: int | str, value: str = "value") -> DataFrame:
     """Mean of cluster means with an interval from resampled clusters."""
     counts = value_counts(clusters.withColumn("_all", F.lit("all")), scope, "_all", value)
     point = counts.groupBy(*scope).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("estimate"), F.sum("_c").alias("clusters"))
-    return point.join(interval(replicates_of(counts, scope, "_all", replicates, seed, method), scope), list(scope), "left")
+    return point.join(interval(replicates_of(counts, scope, "_all", replicates, seed), scope), list(scope), "left")
 
 
 def bootstrap_p(replicates: DataFrame, scope: Sequence[str]) -> DataFrame:

@@ -65,16 +65,17 @@ def st3(spark, sf):
 
 
 def _boot_sql(source, scope, stratum, value, replicates, seed):
-    """Index-draw bootstrap written as joins on sorted positions."""
+    """Poisson weights from digests: exact steps of the distribution up to ten cases of a value, its expansion above."""
     keys = ", ".join([*scope, stratum])
     parts = ", ".join(f"cast({c} as varchar)" for c in [*scope, stratum])
-    on = " and ".join(f"d.{c} = o.{c}" for c in [*scope, stratum])
     group = ", ".join(scope)
-    return f"""ord as (select {keys}, {value} as v, row_number() over (partition by {keys} order by {value}) - 1 as i from {source}),
-      siz as (select {keys}, count(*) as n from {source} group by {keys}),
-      drw as (select {keys}, n, r, p, cast('0x' || substr(sha256(concat_ws('|', '{seed}', {parts}, cast(r as varchar), cast(p as varchar))), 1, 13) as ubigint) % n as i
-              from siz, range(1, {replicates} + 1) rr(r), lateral (select unnest(range(0, n)) as p)),
-      mea as (select {', '.join('d.' + c for c in [*scope, stratum])}, r, avg(v) as m from drw d join ord o on {on} and d.i = o.i group by {', '.join('d.' + c for c in [*scope, stratum])}, r),
+    steps = "[" + ", ".join("[" + ", ".join(f"{x:.17e}" for x in st.poisson_steps(c)) + "]" for c in range(1, st.EXACT_COUNTS + 1)) + "]"
+    return f"""val as (select {keys}, cast(round({value} / {st.GRID:e}) as bigint) as k, avg({value}) as v, count(*) as c from {source} group by all),
+      dig as (select {keys}, v, c, b, sha256(concat_ws('|', '{seed}', {parts}, cast(k as varchar), cast(b as varchar))) as h from val, range(0, {-(-replicates // 4)}) bb(b)),
+      drw as (select {keys}, v, c, b * 4 + d + 1 as r, (cast('0x' || substr(h, cast(d * 13 + 1 as bigint), 13) as bigint) + 5e-1) / 4503599627370496e0 as u from dig, range(0, 4) dd(d) where b * 4 + d + 1 <= {replicates}),
+      nor as (select *, {st.normal_sql("u")} as z from drw),
+      wei as (select *, case when c <= {st.EXACT_COUNTS} then cast(len(list_filter(({steps})[c], lambda x: x <= u)) as double) else {st.large_count_sql("c", "z")} end as w from nor),
+      mea as (select {keys}, r, case when sum(w) > 0 then sum(w * v) / sum(w) else sum(c * v) / sum(c) end as m from wei group by {keys}, r),
       rep as (select {group}, r, avg(m) as statistic from mea group by {group}, r),
       itv as (select {group}, quantile_cont(statistic, 25e-3) as low, quantile_cont(statistic, 975e-3) as high from rep group by {group})"""
 
@@ -90,20 +91,26 @@ def _pair_diffs(spark, sf):
 
 @query(
     "st4_stratified_bootstrap",
-    f"""with {_PAIRED}, {_boot_sql('dif', ['comparator'], 'label', 'difference', 200, 31)}, pc as (select comparator, label, avg(difference) as m, count(*) as n from dif group by 1, 2)
+    f"""with {_PAIRED}, {_boot_sql('dif', ['comparator'], 'label', 'difference', 1000, 31)}, pc as (select comparator, label, avg(difference) as m, count(*) as n from dif group by 1, 2)
         select comparator, round(100 * avg(m), 6) as difference_pp, cast(sum(n) as bigint) as cases, round(100 * low, 6) as lower_95_pp, round(100 * high, 6) as upper_95_pp from pc join itv using (comparator) group by comparator, low, high""",
 )
 def st4(spark, sf):
-    out = st.stratified_interval(_pair_diffs(spark, sf), ["comparator"], 200, 31)
+    out = st.stratified_interval(_pair_diffs(spark, sf), ["comparator"], 1000, 31)
     return out.withColumns({c: r6(F.col(c)) for c in ("difference_pp", "lower_95_pp", "upper_95_pp")})
 
 
-@query("st4_stratified_bootstrap_all_cases")
+@query(
+    "st4_stratified_bootstrap_all_cases",
+    f"""with {_SEEDED}, {_boot_sql('avgd', ['dataset', 'comparator'], 'label', 'difference', 1000, 31)}, pc as (select dataset, comparator, label, avg(difference) as m, count(*) as n from avgd group by 1, 2, 3)
+        select dataset, comparator, round(100 * avg(m), 6) as difference_pp, cast(sum(n) as bigint) as cases, round(100 * low, 6) as lower_95_pp, round(100 * high, 6) as upper_95_pp
+        from pc join itv using (dataset, comparator) group by dataset, comparator, low, high""",
+)
 def st4b(spark, sf):
-    """Every order line, all seeds averaged: the multinomial form, whose cost does not grow with the cases."""
+    """Every order line, all seeds averaged; the cost does not grow with the cases."""
     d = _diffs(predictions(spark, sf, SEEDS), ["dataset", "seed"])
     mean = st.seed_average(d, ["dataset", "comparator", "case_id"], len(SEEDS))
-    return st.stratified_interval(mean, ["dataset", "comparator"], 1000, 31, method="counts")
+    out = st.stratified_interval(mean, ["dataset", "comparator"], 1000, 31)
+    return out.withColumns({c: r6(F.col(c)) for c in ("difference_pp", "lower_95_pp", "upper_95_pp")})
 
 
 def _clusters(spark, sf):
@@ -115,11 +122,11 @@ _CLUSTER = f"{_PAIRED}, clu as (select comparator, cast(cast(ts as date) as varc
 
 @query(
     "st5_cluster_bootstrap",
-    f"""with {_CLUSTER}, {_boot_sql('clu', ['comparator'], '_all', 'value', 400, 32)}
+    f"""with {_CLUSTER}, {_boot_sql('clu', ['comparator'], '_all', 'value', 4000, 32)}
         select comparator, round(avg(value), 6) as estimate, count(*) as clusters, round(low, 6) as low, round(high, 6) as high from clu join itv using (comparator) group by comparator, low, high""",
 )
 def st5(spark, sf):
-    out = st.cluster_interval(_clusters(spark, sf), ["comparator"], 400, 32)
+    out = st.cluster_interval(_clusters(spark, sf), ["comparator"], 4000, 32)
     return out.withColumns({c: r6(F.col(c)) for c in ("estimate", "low", "high")})
 
 
@@ -147,13 +154,13 @@ _EP = f"""{STEPS_SQL}, eo as (select condition, model, episode_id, min(correct_t
 
 @query(
     "st7_episode_intervals",
-    f"""with {_EP}, {_boot_sql('edif', ['comparator', 'measure'], '_all', 'value', 400, 33)}
+    f"""with {_EP}, {_boot_sql('edif', ['comparator', 'measure'], '_all', 'value', 4000, 33)}
         select comparator, measure, round(avg(value), 6) + 0e0 as estimate, count(*) as clusters, round(low, 6) + 0e0 as low, round(high, 6) + 0e0 as high from edif join itv using (comparator, measure) group by comparator, measure, low, high""",
 )
 def st7(spark, sf):
     outcomes = ep.outcomes(steps(spark, sf), ["condition", "model", "episode_id"], "correct_terminal")
     long = ep.episode_differences(outcomes, ["condition"], "gamma", COMPARATORS)
-    out = st.cluster_interval(long, ["comparator", "measure"], 400, 33)
+    out = st.cluster_interval(long, ["comparator", "measure"], 4000, 33)
     return out.withColumns({c: r6(F.col(c)) for c in ("estimate", "low", "high")})
 
 
@@ -166,7 +173,7 @@ def st8(spark, sf):
 @query("st9_empty_interval", f"with {_RAW} select count(*) as clusters, avg(difference) as estimate, quantile_cont(difference, 25e-3) as low, quantile_cont(difference, 975e-3) as high from dif where difference > 1")
 def st9(spark, sf):
     d = _diffs(predictions(spark, sf), ["dataset", "seed"]).where("difference > 1")
-    none = st.bootstrap_replicates(d.withColumn("_all", F.lit("all")), [], "_all", "difference", 100, 34)
+    none = st.bootstrap_replicates(d.withColumn("_all", F.lit("all")), [], "_all", "difference", 1000, 34)
     low_high = st.interval(none, [])
     sizes = d.agg(F.count(F.lit(1)).alias("clusters"), F.avg("difference").alias("estimate"))
     return sizes.withColumns({"low": low_high.select("low").scalar(), "high": low_high.select("high").scalar()})
@@ -174,14 +181,14 @@ def st9(spark, sf):
 
 @query(
     "st10_holm",
-    f"""with {_CLUSTER}, {_boot_sql('clu', ['comparator'], '_all', 'value', 400, 32)},
+    f"""with {_CLUSTER}, {_boot_sql('clu', ['comparator'], '_all', 'value', 4000, 32)},
         pv as (select comparator, least(1e0, 2e0 * (1 + least(count(*) filter (statistic <= 0), count(*) filter (statistic >= 0))) / (1 + count(*))) as p_value from rep group by 1),
         sc as (select *, p_value * (count(*) over () - row_number() over (order by p_value, comparator) + 1) as s from pv)
         select comparator, round(p_value, 6) as p_value, round(least(1e0, max(s) over (order by p_value, comparator)), 6) as p_holm from sc""",
 )
 def st10(spark, sf):
     one = _clusters(spark, sf).withColumn("_all", F.lit("all"))
-    p = st.bootstrap_p(st.bootstrap_replicates(one, ["comparator"], "_all", "value", 400, 32), ["comparator"])
+    p = st.bootstrap_p(st.bootstrap_replicates(one, ["comparator"], "_all", "value", 4000, 32), ["comparator"])
     return st.holm(p, [], ["comparator"]).select("comparator", r6(F.col("p_value")).alias("p_value"), r6(F.col("p_holm")).alias("p_holm"))
 
 

@@ -8,31 +8,58 @@ from pyspark.sql import functions as F
 from casemeter.operators import ensembles as en, models as mo, neighbours as nb, stats as st, text_features as tf
 
 
-def test_both_bootstrap_forms_have_the_same_spread(spark):
-    rng = np.random.default_rng(1)
-    values = rng.choice([-1.0, 0.0, 1.0], 300, p=[0.2, 0.5, 0.3])
-    df = spark.createDataFrame([("s", int(i % 2), float(v)) for i, v in enumerate(values)], "k string, label int, difference double")
-    by_index = st.stratified_interval(df, ["k"], 400, 1, method="index").first()
-    by_count = st.stratified_interval(df, ["k"], 400, 1, method="counts").first()
-    assert by_index["difference_pp"] == pytest.approx(by_count["difference_pp"])
-    classes = [values[0::2], values[1::2]]
-    direct = [np.mean([rng.choice(c, len(c)).mean() for c in classes]) for _ in range(4000)]
-    for got in (by_index, by_count):
-        assert got["lower_95_pp"] == pytest.approx(100 * np.quantile(direct, 0.025), abs=1.6)
-        assert got["upper_95_pp"] == pytest.approx(100 * np.quantile(direct, 0.975), abs=1.6)
-    again = st.stratified_interval(df.repartition(5), ["k"], 400, 1, method="counts").first()
-    assert again == by_count
-
-
-def test_chunks_of_values_follow_one_multinomial(spark, monkeypatch):
-    monkeypatch.setattr(st, "CHUNK_VALUES", 40)
-    values = np.random.default_rng(8).normal(size=200)
-    df = spark.createDataFrame([("s", float(v)) for v in values], "k string, value double")
-    got = st.cluster_interval(df, ["k"], 600, 2, method="counts").first()
-    direct = np.random.default_rng(9).choice(values, (6000, 200)).mean(axis=1)
-    assert got["estimate"] == pytest.approx(values.mean()) and got["clusters"] == 200
-    assert got["low"] == pytest.approx(np.quantile(direct, 0.025), abs=0.02)
-    assert got["high"] == pytest.approx(np.quantile(direct, 0.975), abs=0.02)
+@pytest.mark.parametrize("count", [1, 4, 10, 11, 60, 5000, 10**9])
+def test_draws_invert_the_poisson_distribution(spark, count):
+    """Even steps of u give every draw its share: compare with the distribution function, or with its moments where that is too long."""
+    n = 20_000
+    u = spark.range(n).select(F.lit(count).alias("_c"), ((F.col("id") + 0.5) / n).alias("_u")).withColumn("_z", F.expr(st.normal_sql("_u")))
+    got = np.array([r[0] for r in u.select("_u", st._drawn().alias("w")).orderBy("_u").select("w").collect()])
+    if count <= 5000:
+        k = np.arange(count + 12 * int(count**0.5) + 20)
+        law = np.cumsum(np.exp(k * np.log(count) - count - np.concatenate([[0], np.cumsum(np.log(np.arange(1, len(k))))])))
+        want = np.searchsorted(law, (np.arange(n) + 0.5) / n, "right")
+        assert np.abs(got - want).max() <= (0 if count <= st.EXACT_COUNTS else 1) and (got != want).mean() < 0.03
+    assert got.mean() == pytest.approx(count, rel=1e-3) and got.var() == pytest.approx(count, rel=2e-2)
+
+
+def test_normal_values_against_known_ones(spark):
+    from statistics import NormalDist
+
+    at = [1e-12, 1e-5, 0.02, 0.3, 0.5, 0.7, 0.98, 1 - 1e-9]
+    rows = spark.createDataFrame([(x,) for x in at], "u double").selectExpr("u", f"{st.normal_sql('u')} as z").collect()
+    assert [r["z"] for r in rows] == pytest.approx([NormalDist().inv_cdf(r["u"]) for r in rows], abs=1e-7, rel=1e-7)
+
+
+@pytest.mark.parametrize("n, distinct", [(40, 40), (300, 3), (6000, 5)])
+def test_intervals_against_resampling(spark, n, distinct):
+    rng = np.random.default_rng(n)
+    values = rng.choice(rng.normal(size=distinct).round(3), n) if distinct < n else rng.normal(size=n).round(6)
+    df = spark.createDataFrame([("s", i % 2, float(v)) for i, v in enumerate(values)], "k string, label int, difference double")
+    got = st.stratified_interval(df, ["k"], 2000, 1).first()
+    direct = [np.mean([rng.choice(c, len(c)).mean() for c in (values[0::2], values[1::2])]) for _ in range(3000)]
+    width = np.std(direct)
+    assert got["difference_pp"] == pytest.approx(100 * np.mean([values[0::2].mean(), values[1::2].mean()])) and got["cases"] == n
+    assert got["lower_95_pp"] / 100 == pytest.approx(np.quantile(direct, 0.025), abs=0.35 * width)
+    assert got["upper_95_pp"] / 100 == pytest.approx(np.quantile(direct, 0.975), abs=0.35 * width)
+    again = st.stratified_interval(df.repartition(5), ["k"], 2000, 1).first()
+    assert tuple(again)[1:] == pytest.approx(tuple(got)[1:])
+
+
+def test_copies_of_cases_only_narrow_the_interval(spark):
+    """Counts, not rows, carry the weight: a thousand copies of each case make the interval narrower by the root of a thousand."""
+    values = [float(v) for v in np.random.default_rng(4).normal(size=30).round(4)]
+    few = spark.createDataFrame([("s", v) for v in values], "k string, value double")
+    many = few.crossJoin(spark.range(1000)).select("k", "value")
+    a, b = (st.cluster_interval(d, ["k"], 1000, 2).first() for d in (few, many))
+    assert b["clusters"] == 30_000 and a["estimate"] == pytest.approx(b["estimate"])
+    assert (a["high"] - a["low"]) / (b["high"] - b["low"]) == pytest.approx(1000**0.5, rel=0.15)
+
+
+def test_one_case_and_no_case(spark):
+    df = spark.createDataFrame([("s", 2.5)], "k string, value double")
+    one = st.cluster_interval(df, ["k"], 200, 1).first()
+    assert (one["estimate"], one["low"], one["high"]) == (2.5, 2.5, 2.5)
+    assert st.cluster_interval(df.where("value > 3"), ["k"], 200, 1).count() == 0
 
 
 def test_holm(spark):
