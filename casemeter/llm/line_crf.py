@@ -1,8 +1,10 @@
 """Document quality from a linear-chain conditional random field over lines.
 
-Each line is good or bad. Its features describe its characters and words, those of the lines before and after it, and whether it repeats in its document. A
-line of a labelled document carries the document's label in training. Forward-backward gives each line's probability of being good; weighted by line
-length these make the document's score, which a logistic fit on the same training rows maps to a probability.
+Each line is good or bad. Its features describe its characters and words, those of the lines before and after it, and whether it repeats in its document.
+Only documents are labelled, so the labels of the lines are latent: in training, the lines of a document are inferred under the condition that the
+length-weighted share of good lines is expected to agree with the document's label (a multiplier for each document biases its lines until it does), and the field
+is fitted to what is inferred. A good document may have bad lines and the other way round. Forward-backward gives each line's probability of being good;
+weighted by line length these make the document's score, which a logistic fit on the same training rows maps to a probability.
 """
 
 from __future__ import annotations
@@ -18,12 +20,19 @@ from casemeter.llm.common import slices, utf8
 from casemeter.llm.words import SPACES, split
 
 _BASIC = 17
+#: Lines whose features are standardised at a time.
+_SLICE = 1 << 14
+#: What the driver holds of a line in training: features and length.
+_LINE_BYTES = 4 * _BASIC + 8
+#: Share of good lines, by length, that a good document's lines are expected to reach and a bad one's not to pass; and the multiplier's range.
+_SHARE = (0.6, 0.4)
+_MOST = 6.0
 
 
 class Model(NamedTuple):
-    mean: np.ndarray
+    mean: np.ndarray  # of a line's own features
     scale: np.ndarray
-    weights: np.ndarray  # features x 2 states
+    weights: np.ndarray  # features of the line, the one before and the one after x 2 states
     moves: np.ndarray  # from state x to state
     slope: float
     shift: float
@@ -91,11 +100,41 @@ def lines(texts: pa.Array) -> Lines:
     columns += [again & (lengths > 0), np.ones(len(starts))]
     basic = np.stack([np.asarray(c, float) for c in columns], 1)
     assert basic.shape[1] == _BASIC
-    before, after = np.zeros_like(basic), np.zeros_like(basic)
-    before[1:], after[:-1] = basic[:-1], basic[1:]
-    before[bounds[:-1]] = 0
-    after[last] = 0
-    return Lines(np.hstack((basic, before, after)), lengths, bounds)
+    return Lines(basic, lengths, bounds)
+
+
+def _line_scores(model: Model, have: Lines) -> np.ndarray:
+    """Scores of both states for each line: its own features, and those of its neighbours, which have none beyond the ends of a document.
+
+    The neighbours' shares are products moved by a line, so no feature is stored three times.
+    """
+    own, before, after = model.weights[:_BASIC], model.weights[_BASIC : 2 * _BASIC], model.weights[2 * _BASIC :]
+    out = np.empty((len(have.lengths), 2))
+    ahead, behind = np.empty_like(out), np.empty_like(out)
+    for at in range(0, len(out), _SLICE):
+        x = (have.features[at : at + _SLICE] - model.mean) / model.scale
+        out[at : at + _SLICE], ahead[at : at + _SLICE], behind[at : at + _SLICE] = x @ own, x @ before, x @ after
+    inner = np.ones(len(out), bool)
+    inner[have.bounds[:-1]] = False
+    inner = np.flatnonzero(inner)
+    out[inner] += ahead[inner - 1]
+    out[inner - 1] += behind[inner]
+    return out
+
+
+def _weight_sums(model: Model, have: Lines, error: np.ndarray) -> np.ndarray:
+    """The gradient of the weights where each line's scores are off by ``error``."""
+    inner = np.ones(len(error), bool)
+    inner[have.bounds[:-1]] = False
+    inner = np.flatnonzero(inner)
+    ahead, behind = np.zeros_like(error), np.zeros_like(error)
+    ahead[inner - 1], behind[inner] = error[inner], error[inner - 1]
+    total = np.zeros_like(model.weights)
+    for at in range(0, len(error), _SLICE):
+        x = (have.features[at : at + _SLICE] - model.mean) / model.scale
+        part = slice(at, at + _SLICE)
+        total += x.T.dot(np.hstack((error[part], ahead[part], behind[part]))).reshape(_BASIC, 3, 2).transpose(1, 0, 2).reshape(-1, 2)
+    return total
 
 
 def _padded(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,50 +197,78 @@ def _fit_line(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, f
 
 def document_scores(model: Model, have: Lines) -> np.ndarray:
     """Length-weighted mean of the lines' log odds of being good, from the marginals."""
-    marginal, _, _ = forward_backward((have.features - model.mean) / model.scale @ model.weights, model.moves, have.bounds)
+    marginal, _, _ = forward_backward(_line_scores(model, have), model.moves, have.bounds)
     good = np.clip(marginal[:, 1], 1e-6, 1 - 1e-6)
     weight = have.lengths + 1.0
     return np.add.reduceat(np.log(good / (1 - good)) * weight, have.bounds[:-1]) / np.add.reduceat(weight, have.bounds[:-1])
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Model:
-    """Maximum likelihood by Adam steps on the sample; each document counts once, whatever its number of lines."""
+def line_labels(model: Model, texts: pa.Array) -> list[np.ndarray]:
+    """The probability of being good of each line of each text."""
+    have = lines(texts)
+    marginal, _, _ = forward_backward(_line_scores(model, have), model.moves, have.bounds)
+    return np.split(marginal[:, 1], have.bounds[1:-1])
+
+
+def fit(have: Lines, labels: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Model:
+    """Adam steps on the sample's likelihood with latent line labels; each line counts once.
+
+    A round infers the lines twice: freely, and with each document's multiplier added to the score of good. The difference of the two is the gradient.
+    The multiplier starts at the document's label and follows the gap between the expected share of good lines and the one the label asks for;
+    it never turns against the label.
+    """
     width = 3 * _BASIC
-    if not len(texts) or labels.min() == labels.max():
-        only = 0.0 if not len(texts) else (5.0 if labels[0] else -5.0)
-        return Model(np.zeros(width), np.ones(width), np.zeros((width, 2)), np.zeros((2, 2)), 0.0, only)
-    have = lines(pa.array(texts))
-    mean, scale = have.features.mean(0), have.features.std(0)
+    if not len(labels) or labels.min() == labels.max():
+        only = 0.0 if not len(labels) else (5.0 if labels[0] else -5.0)
+        return Model(np.zeros(_BASIC), np.ones(_BASIC), np.zeros((width, 2)), np.zeros((2, 2)), 0.0, only)
+    mean, scale = have.features.mean(0, dtype=float), have.features.std(0, dtype=float)
     mean[scale == 0], scale[scale == 0] = 0.0, 1.0
-    x = (have.features - mean) / scale
-    count = np.diff(have.bounds)
-    truth = np.repeat(labels, count)
-    onehot = np.eye(2)[truth]
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = (count[labels == k] - 1).sum()
-    weights, moves = np.zeros((width, 2)), np.zeros((2, 2))
-    m = [np.zeros_like(weights), np.zeros_like(moves)]
-    v = [np.zeros_like(weights), np.zeros_like(moves)]
+    count, first = np.diff(have.bounds), have.bounds[:-1]
+    sign = np.where(labels == 1, 1.0, -1.0)
+    weight = have.lengths + 1.0
+    weight /= np.repeat(np.add.reduceat(weight, first), count)
+    model = Model(mean, scale, np.zeros((width, 2)), np.zeros((2, 2)), 1.0, 0.0)
+    bias = 1.5 * sign
+    m = [np.zeros_like(model.weights), np.zeros_like(model.moves)]
+    v = [np.zeros_like(model.weights), np.zeros_like(model.moves)]
     for t in range(1, rounds + 1):
-        marginal, pairs, _ = forward_backward(x @ weights, moves, have.bounds)
-        grads = (x.T @ (marginal - onehot) / len(x) + ridge * weights, (pairs - seen) / len(x) + ridge * moves)
-        for k, (value, grad) in enumerate(zip((weights, moves), grads)):
+        scores = _line_scores(model, have)
+        free, pairs, _ = forward_backward(scores, model.moves, have.bounds)
+        scores[:, 1] += np.repeat(bias, count)
+        bound, seen, _ = forward_backward(scores, model.moves, have.bounds)
+        share = np.add.reduceat(bound[:, 1] * weight, first)
+        gap = np.where(labels == 1, _SHARE[0] - share, share - _SHARE[1])
+        bias = sign * np.clip(sign * bias + gap, 0, _MOST)
+        grads = (_weight_sums(model, have, free - bound) / len(free) + ridge * model.weights, (pairs - seen) / len(free) + ridge * model.moves)
+        for k, (value, grad) in enumerate(zip((model.weights, model.moves), grads)):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.99 * v[k] + 0.01 * grad**2
             value -= 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-    raw = Model(mean, scale, weights, moves, 1.0, 0.0)
-    slope, shift = _fit_line(document_scores(raw, have), labels.astype(float), np.ones(len(labels)))
-    return raw._replace(slope=slope, shift=shift)
+    slope, shift = _fit_line(document_scores(model, have), labels.astype(float), np.ones(len(labels)))
+    return model._replace(slope=slope, shift=shift)
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and lengths of the lines of each document, in bytes."""
+    for batch in slices(batches, "text"):
+        if not batch.num_rows:
+            continue
+        have = lines(batch.column("text"))
+        part = lambda x: [x[a:b].tobytes() for a, b in zip(have.bounds[:-1], have.bounds[1:])]
+        data = [pa.array(part(x), pa.binary()) for x in (have.features.astype(np.float32), have.lengths.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *data], names=["id", "label", "features", "lengths"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 4_000, max_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``max_documents`` labelled documents of whole text, by the order of a digest of their id, and as many of them as ``max_bytes`` holds.
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 4_000, max_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on at most ``max_documents`` labelled documents of whole text, by the order of a digest of their id, and as many of them as ``max_bytes`` holds, where a
+    document counts its bytes and ``_LINE_BYTES`` for each line: one that would pass the bound is left out and shorter ones after it still come in.
 
-    Only ids are ordered; the texts of the chosen are fetched by a join. Documents with crc32(id) % 3 = 1 never train.
+    Only ids are ordered; tasks make the features of the chosen, and the driver gets those and no text. Documents with crc32(id) % 3 = 1 never train.
     Null labels and null ids do not train; of several labels of one id the largest counts.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).alias("bytes")).where(~held_out("id") & F.col("id").isNotNull())
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    size = F.octet_length(whole) + _LINE_BYTES * (1 + F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))))
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), size.alias("bytes")).where(~held_out("id") & F.col("id").isNotNull())
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     order = F.md5(F.concat(F.lit("fit"), F.col("id").cast("string")))
     picks = ids.groupBy("id").agg(F.min("bytes").alias("bytes")).join(marks, "id").orderBy(order).limit(max_documents).collect()
@@ -210,12 +277,17 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 4_000, max_by
         if used + pick["bytes"] <= max_bytes:
             chosen.append((pick["id"], pick["label"]))
             used += pick["bytes"]
+    none = Lines(np.zeros((0, _BASIC), np.float32), np.zeros(0, np.int64), np.zeros(1, np.int64))
     if not chosen:
-        return fit([], np.zeros(0, int))
+        return fit(none, np.zeros(0, int))
     table = docs.sparkSession.createDataFrame(chosen, "id long, label int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(table), "id")
-    rows = sorted(texts.groupBy("id").agg(F.min_by("label", F.octet_length("text")).alias("label"), F.min_by("text", F.struct(F.octet_length("text"), "text")).alias("text")).collect())
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows]))
+    texts = texts.groupBy("id").agg(F.min_by("label", F.octet_length("text")).alias("label"), F.min_by("text", F.struct(F.octet_length("text"), "text")).alias("text"))
+    rows = texts.mapInArrow(_line_rows, "id long, label int, features binary, lengths binary").toPandas().sort_values("id")
+    lengths = [np.frombuffer(x, np.int64) for x in rows["lengths"]]
+    features = np.frombuffer(b"".join(rows.pop("features")), np.float32).reshape(-1, _BASIC)
+    have = Lines(features, np.concatenate(lengths), np.concatenate([[0], np.cumsum([len(x) for x in lengths])]))
+    return fit(have, rows["label"].to_numpy())
 
 
 def held_out(id_col: str):
