@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -164,6 +165,46 @@ def test_best_segmentations_are_those_of_full_enumeration():
     assert np.allclose([s for s, _ in have.encode("there ab", 6)], sums)
 
 
+def test_runs_of_one_character_end_and_are_the_best():
+    have = nbest_pieces.pieces(queries.MODEL)
+
+    def every(word, n):
+        """The n best scores by extending the n best of each place: exact for sums."""
+        ends = have.lattice(word)
+        paths = [[0.0]]
+        for place in range(1, len(word) + 1):
+            paths.append(sorted((score + s for start, _, s in ends[place] for score in paths[start]), reverse=True)[:n])
+        return paths[-1]
+
+    for c in "-#*._=aé":
+        started = time.perf_counter()
+        found = have.best("▁" + c * 5000, 4)
+        assert time.perf_counter() - started < 2
+        assert [s for s, _ in found] == every("▁" + c * 5000, 4) and len({i for _, i in found}) == 4
+        assert all(have.decode(i) == c * 5000 for _, i in found)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_segmenting_a_batch_equals_segmenting_each_text(n):
+    have = nbest_pieces.pieces(queries.MODEL)
+    draw = random.Random(n)
+    word = lambda: "".join(draw.choice("thenrsaoié中.-") for _ in range(draw.randrange(1, 13)))
+    texts = ["", " ", "  a", "there ab  cd", "x" * 300 + " y", "\x00 a\nb", "----- the the"] + [" ".join(word() for _ in range(draw.randrange(1, 40))) for _ in range(150)]
+    ids, at, scores, sizes, good = nbest_pieces._encode_texts(have, pa.array(texts), n)
+    assert good
+    for k, text in enumerate(texts):
+        alone = have.encode(text, n)
+        assert np.allclose([s for s, _ in alone], scores[k]) and have.decode(ids[at[k] : at[k + 1]].tolist()) == text
+        assert sizes[k][0] == at[k + 1] - at[k] and len(scores[k]) == len(sizes[k]) <= n
+
+
+def test_decoding_keeps_to_free_column_names(spark):
+    encoded = nbest_pieces.encode(frame(spark, ["a b"]), queries.MODEL).withColumn("text", F.lit("x"))
+    with pytest.raises(ValueError, match="already"):
+        nbest_pieces.decode(encoded, queries.MODEL)
+    assert nbest_pieces.decode(encoded, queries.MODEL, text_col="decoded").first()["decoded"] == "a b"
+
+
 def test_ids_decode_to_the_whole_text(spark):
     encoded = nbest_pieces.encode(frame(spark, ODD), queries.MODEL)
     assert encoded.where("not round_trip").count() == 0
@@ -305,6 +346,49 @@ def test_quality_on_held_out_rows(spark):
     assert len(scored) > 50 and (scored["predicted"] == scored["quality"]).mean() > 0.95
 
 
+def test_lines_of_mixed_documents_get_their_own_labels(spark):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("aeiou" if k % 2 else "bdlmnrst") for k in range(draw.randrange(2, 9)))
+    good = lambda: " ".join(word() for _ in range(draw.randrange(6, 14))).capitalize() + "."
+    bad = lambda: " ".join(draw.choice(["|", "##", "$9", "<b>", "404", "&&", "=="]) for _ in range(draw.randrange(8, 20)))
+    texts, labels, truth = [], [], []
+    for k in range(240):
+        n, share = draw.randrange(4, 16), draw.choice([0.0, 0.25, 0.75, 1.0])
+        marks = [i < round(n * share) for i in range(n)]
+        if k % 2:
+            marks.reverse()
+        rows = [good() if m else bad() for m in marks]
+        size = sum(len(r) + 1 for r, m in zip(rows, marks) if m) / sum(len(r) + 1 for r in rows)
+        texts.append("\n".join(rows)), labels.append(int(size > 0.5)), truth.append(marks)
+    docs = frame(spark, texts)
+    marks = spark.createDataFrame([(k + 1, c) for k, c in enumerate(labels)], "doc_id long, quality int")
+    model = line_crf.train(docs, marks)
+    found = line_crf.line_labels(model, pa.array(texts))
+    right = [(p > 0.5) == np.array(t) for p, t in zip(found, truth)]
+    assert np.concatenate(right).mean() > 0.97
+    mixed = [k for k, t in enumerate(truth) if 0 < sum(t) < len(t)]
+    both = [len({bool(x) for x in found[k] > 0.5}) == 2 for k in mixed]
+    assert np.mean(both) > 0.8
+    held = line_crf.classify(docs, model).where("held_out").collect()
+    assert len(held) > 50 and np.mean([r["predicted"] == labels[r["doc_id"] - 1] for r in held]) > 0.95
+
+
+def test_line_scores_and_gradients_are_those_of_the_whole_features(monkeypatch):
+    monkeypatch.setattr(line_crf, "_SLICE", 3)
+    draw = np.random.default_rng(8)
+    have = line_crf.lines(pa.array(["a b\nc\n", "", "x\n\ny z", "one"]))
+    n = len(have.lengths)
+    model = line_crf.Model(draw.normal(size=17), draw.random(17) + 0.5, draw.normal(size=(51, 2)), np.zeros((2, 2)), 1.0, 0.0)
+    x = (have.features - model.mean) / model.scale
+    wide = np.zeros((n, 51))
+    wide[:, :17] = x
+    for a, b in zip(have.bounds[:-1], have.bounds[1:]):
+        wide[a + 1 : b, 17:34], wide[a : b - 1, 34:] = x[a : b - 1], x[a + 1 : b]
+    assert np.allclose(line_crf._line_scores(model, have), wide @ model.weights)
+    error = draw.normal(size=(n, 2))
+    assert np.allclose(line_crf._weight_sums(model, have, error), wide.T @ error)
+
+
 def test_index_opened_again_takes_only_new_texts(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
     for texts in (["a", "b"], ["b", "c"], ["b", "c"]):
