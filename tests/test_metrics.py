@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casemeter.operators import decide as de, metrics as me
-from casemeter.operators.ordering import exact_quantiles, running_totals
+from casemeter.operators.ordering import exact_quantiles, running_totals, with_order_bucket
 
 SCHEMA = "case_id string, label int, prediction int, status string, probabilities array<double>, latency_ms double, cache_hit boolean"
 
@@ -84,19 +84,51 @@ def test_ranking_metrics_against_numpy(spark):
     assert r["average_precision"] == pytest.approx(ap)
 
 
-def test_quantiles_small_and_bucketed_agree_with_numpy(spark):
+def test_quantiles_with_and_without_buckets_agree_with_numpy(spark):
     values = np.random.default_rng(5).normal(size=3000).round(2)
     df = spark.createDataFrame([("a" if i % 3 else "b", float(v)) for i, v in enumerate(values)], "k string, v double")
     hist = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    flat = running_totals(hist, ["k"], "v", ["n"], small=True)
-    cut = running_totals(hist, ["k"], "v", ["n"], small=False, buckets=16)
+    flat, cut = running_totals(hist, ["k"], "v", ["n"]), running_totals(hist, ["k"], "v", ["n"], rows=20)
     assert sorted(flat.collect()) == sorted(cut.collect())
     for method in ("linear", "higher"):
-        got = {(r["k"], r["q"]): r["value"] for r in exact_quantiles(df, ["k"], "v", [0.0, 0.25, 0.95, 1.0], method).collect()}
-        for k in "ab":
-            part = np.array([v for i, v in enumerate(values) if ("a" if i % 3 else "b") == k])
-            for q in (0.0, 0.25, 0.95, 1.0):
-                assert got[k, q] == pytest.approx(np.quantile(part, q, method=method))
+        for rows in (None, 20):
+            got = {(r["k"], r["q"]): r["value"] for r in exact_quantiles(df, ["k"], "v", [0.0, 0.25, 0.95, 1.0], method, rows=rows).collect()}
+            for k in "ab":
+                part = np.array([v for i, v in enumerate(values) if ("a" if i % 3 else "b") == k])
+                for q in (0.0, 0.25, 0.95, 1.0):
+                    assert got[k, q] == pytest.approx(np.quantile(part, q, method=method))
+
+
+def test_running_totals_of_odd_rows(spark):
+    rows = [("a", 1.0, 2), ("a", None, 3), ("a", float("nan"), 5), ("a", float("-inf"), 7), (None, 2.0, 11), (None, 1.0, 13), ("c", 0.0, 17)]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    for limit in (None, 1):
+        got = {(r["k"], repr(r["v"])): r["cum_n"] for r in running_totals(df, ["k"], "v", ["n"], rows=limit).collect()}
+        assert got == {("a", "None"): 3, ("a", "-inf"): 10, ("a", "1.0"): 12, ("a", "nan"): 17, (None, "1.0"): 13, (None, "2.0"): 24, ("c", "0.0"): 17}
+        whole = running_totals(df.where("k = 'a' and v = 1 or k = 'c'"), [], "v", ["n"], rows=limit).orderBy("v").collect()
+        assert [r["cum_n"] for r in whole] == [17, 19]
+    assert running_totals(df.limit(0), ["k"], "v", ["n"]).count() == 0
+
+
+def test_a_hot_narrow_group_is_cut_by_its_own_marks(spark):
+    """One group holds most counts in a thousandth of the range that 5,000 others fill: marks over all values would leave it whole."""
+    hot = spark.range(40_000).select(F.lit(0).alias("k"), (500 + F.col("id") / 100_000).alias("v"))
+    others = spark.range(10_000).select((1 + F.col("id") % 5000).cast("int").alias("k"), (F.col("id") * 0.1).alias("v"))
+    hist = hot.unionByName(others).withColumn("n", F.lit(1).cast("long"))
+    sizes = with_order_bucket(hist, ["k"], "v", rows=1000).groupBy("k", "_b").count()
+    assert sizes.where("k = 0").count() >= 200 and sizes.agg(F.max("count")).first()[0] < 0.02 * 40_000
+    assert sizes.where("k > 0").groupBy("k").count().agg(F.max("count")).first()[0] == 1
+    cum = running_totals(hist, ["k"], "v", ["n"], rows=1000)
+    assert cum.where("k = 0").agg(F.max("cum_n"), F.count_distinct("cum_n")).first() == (40_000, 40_000)
+
+
+def test_a_million_bucket_totals_are_summed_in_parts(spark):
+    """Every bucket holds one row, so the totals are as many as the rows; they are cut into buckets again."""
+    log = spark.range(1_000_000).withColumn("n", F.lit(1).cast("long"))
+    cum = running_totals(log, [], "id", ["n"], bucket=F.col("id"), rows=20_000)
+    assert cum.where("cum_n <> id + 1").count() == 0 and cum.count() == 1_000_000
+    parts = with_order_bucket(log, [], "id", rows=20_000).groupBy("_b").count()
+    assert parts.count() > 200 and parts.agg(F.max("count")).first()[0] < 20_000
 
 
 def test_threshold_fixture(spark):
