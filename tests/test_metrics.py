@@ -18,30 +18,53 @@ def summary(df, classes=2):
     return me.summarise(df, ["g"], classes).collect()[0]
 
 
-def test_failures_stay_in_the_denominator(spark):
-    s = summary(records(spark, [(0, 0, "ok", [1.0, 0.0], 10.0, False), (1, -1, "failed", None, None, False), (1, -1, "unsupported", None, 5.0, False)]))
-    assert s["accuracy"] == pytest.approx(1 / 3) and s["balanced_accuracy"] == 0.5
-    assert s["probability_coverage"] == pytest.approx(1 / 3) and s["brier"] == 0 and s["unsupported"] == 1
-    assert s["uncached_timing_rows"] == 1
-
-
-def test_no_probabilities(spark):
-    s = summary(records(spark, [(0, 0, "ok", None, None, False), (1, 1, "ok", None, None, False)]))
-    assert s["accuracy"] == 1 and s["brier"] is None and s["probability_coverage"] == 0
-
-
-def test_absent_class_and_cached_latency(spark):
-    df = records(spark, [(0, 0, "ok", None, 9.0, True)])
-    s = summary(df)
-    assert s["balanced_accuracy"] is None and s["uncached_timing_rows"] == 0 and s["latency_p50_ms"] is None
-    table = me.class_table(me.confusion(df, ["g"]), ["g"], 2)
-    assert {r["class"]: r["recall"] for r in me.class_recall(table, ["g"]).collect()} == {0: 1.0, 1: None}
-    assert {r["class"]: r["recall"] for r in me.class_recall(table, ["g"], 0.0).collect()} == {0: 1.0, 1: 0.0}
-
-
-def test_perfect_probabilities(spark):
-    s = summary(records(spark, [(0, 0, "ok", [1.0, 0.0], 1.0, False), (1, 1, "ok", [0.0, 1.0], 1.0, False)]))
-    assert s["brier"] == 0 and s["ece"] == 0
+def drawn_records(seed, n=240, classes=3):
+    """Records with failures, absent probabilities and cached answers."""
+    draw = np.random.default_rng(seed)
+    rows = []
+    for _ in range(n):
+        label, status = int(draw.integers(classes)), str(draw.choice(["ok", "ok", "ok", "failed", "invalid", "unsupported"]))
+        p = draw.dirichlet(np.ones(classes)).tolist() if draw.random() < 0.7 else None
+        ok = status == "ok"
+        rows.append((label, int(draw.integers(classes)) if ok else -1, status, p if ok else None, float(draw.integers(1, 90)) if draw.random() < 0.8 else None, bool(draw.random() < 0.3)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_summary_against_numpy(spark, seed):
+    """Failures count as wrong and as rows; probability metrics see the rows that have probabilities, latencies the answers that were computed."""
+    rows = drawn_records(seed)
+    s = summary(records(spark, rows), 3)
+    label, prediction = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    assert s["accuracy"] == pytest.approx((label == prediction).mean())
+    assert s["balanced_accuracy"] == pytest.approx(np.mean([(prediction[label == c] == c).mean() for c in range(3)]))
+    known = [k for k, r in enumerate(rows) if r[3] is not None]
+    p = np.array([rows[k][3] for k in known])
+    assert s["probability_coverage"] == pytest.approx(len(known) / len(rows))
+    assert s["brier"] == pytest.approx(((p - np.eye(3)[label[known]]) ** 2).sum(1).mean())
+    top, right = p.max(1), p.argmax(1) == label[known]
+    slot = np.minimum((top * 10).astype(int), 9)
+    assert s["ece"] == pytest.approx(sum(abs(top[slot == b].mean() - right[slot == b].mean()) * (slot == b).sum() for b in set(slot.tolist())) / len(known))
+    timed = [r[4] for r in rows if r[4] is not None and not r[5] and r[2] != "unsupported"]
+    assert s["uncached_timing_rows"] == len(timed) and s["latency_p50_ms"] == pytest.approx(np.quantile(timed, 0.5)) and s["latency_p95_ms"] == pytest.approx(np.quantile(timed, 0.95))
+    for status in ("failed", "invalid", "unsupported"):
+        assert s[status] == sum(r[2] == status for r in rows)
+
+
+def test_a_declared_class_without_rows(spark):
+    rows = [r for r in drawn_records(9) if r[0] != 1]
+    df = records(spark, rows)
+    table = me.class_table(me.confusion(df, ["g"]), ["g"], 3)
+    assert summary(df, 3)["balanced_accuracy"] is None
+    recall = {r["class"]: r["recall"] for r in me.class_recall(table, ["g"]).collect()}
+    zero = {r["class"]: r["recall"] for r in me.class_recall(table, ["g"], 0.0).collect()}
+    assert recall[1] is None and zero[1] == 0 and recall[0] == zero[0] == pytest.approx(np.mean([r[1] == 0 for r in rows if r[0] == 0]))
+
+
+def test_no_row_with_probabilities(spark):
+    rows = [(*r[:3], None, *r[4:]) for r in drawn_records(12)]
+    s = summary(records(spark, rows), 3)
+    assert s["brier"] is None and s["ece"] is None and s["probability_coverage"] == 0 and s["accuracy"] == pytest.approx(np.mean([r[0] == r[1] for r in rows]))
 
 
 def test_invalid_rows_are_an_error(spark):
@@ -54,13 +77,21 @@ def pair_rows(spark, rows):
     return spark.createDataFrame(rows, "pair_id string, label int, prediction int, status string, family string, composition string").withColumn("g", F.lit(1))
 
 
-def test_pairs(spark):
-    rows = [("p0", 0, 0, "ok", "f", "c"), ("p0", 1, 1, "ok", "f", "c"), ("p1", 0, 0, "ok", "f", "c"), ("p1", 1, -1, "unsupported", "f", "c")]
+def test_pairs_against_a_loop(spark):
+    draw = np.random.default_rng(21)
+    rows, want, broken = [], [], 0
+    for k in range(120):
+        members = [(f"p{k}", c, int(draw.integers(-1, 2)), "ok", "f", "c") for c in (0, 1)]
+        if draw.random() < 0.1:
+            members = members[: int(draw.integers(1, 2))]
+            broken += 1
+        else:
+            want.append(all(r[1] == r[2] for r in members))
+        rows += members
     outcomes = me.pair_outcomes(pair_rows(spark, rows), ["g"])
-    m = me.pair_metrics(outcomes, ["g"]).collect()[0]
-    assert m["n_pairs"] == 2 and m["both_members_correct"] == 0.5
-    assert outcomes.where("problem is not null").count() == 0
-    assert me.pair_outcomes(pair_rows(spark, rows[:3]), ["g"]).where("problem = 'pair is not two rows'").count() == 1
+    assert outcomes.where("problem = 'pair is not two rows'").count() == broken > 0
+    m = me.pair_metrics(outcomes.where("problem is null"), ["g"]).first()
+    assert m["n_pairs"] == len(want) and m["both_members_correct"] == pytest.approx(np.mean(want))
 
 
 def brute_auc(y, s):
@@ -131,10 +162,18 @@ def test_a_million_bucket_totals_are_summed_in_parts(spark):
     assert parts.count() > 200 and parts.agg(F.max("count")).first()[0] < 20_000
 
 
-def test_threshold_fixture(spark):
-    df = spark.createDataFrame([(1, 0, 0.01), (1, 0, 0.02), (1, 1, 0.15), (1, 1, 0.2)], "g int, y int, s double")
-    t = de.choose_threshold(df, ["g"], "y", "s", 0.5).collect()[0]
-    assert t["selection_balanced_accuracy"] == 1 and t["threshold"] < 0.5
+@pytest.mark.parametrize("seed", range(3))
+def test_threshold_against_every_candidate(spark, seed):
+    draw = np.random.default_rng(seed)
+    y = draw.integers(0, 2, 150)
+    s = np.round(np.clip(0.3 * y + draw.normal(0.3, 0.2, 150), 0, 1), 3)
+    df = spark.createDataFrame([(1, int(a), float(b)) for a, b in zip(y, s)], "g int, y int, s double")
+    t = de.choose_threshold(df, ["g"], "y", "s", 0.5).first()
+    grid = sorted({*np.quantile(s, np.arange(101) / 100), 0.5, s.max() * (1 + np.finfo(float).eps)})
+    value = lambda c: ((s[y == 1] >= c).mean() + (s[y == 0] < c).mean()) / 2
+    best = max(value(c) for c in grid)
+    assert t["selection_balanced_accuracy"] == pytest.approx(best) and value(t["threshold"]) == pytest.approx(best)
+    assert abs(t["threshold"] - 0.5) == pytest.approx(min(abs(c - 0.5) for c in grid if value(c) > best - 1e-12), abs=1e-9)
 
 
 def test_threshold_needs_finite_scores_and_both_classes(spark):

@@ -1,6 +1,8 @@
 """Requests, response bodies, scoring, the attempt log and episodes."""
 
 import json
+import math
+import random
 
 import pandas as pd
 import pytest
@@ -17,14 +19,42 @@ def body(p, choice="C0"):
     return json.dumps({"model": "m", "answers": {"classification": {"choice": choice, "probabilities": p}}})
 
 
-@pytest.mark.parametrize(
-    "p",
-    [{"C0": 1.0}, {"C0": 0.5, "C1": 0.25, "C2": 0.25}, {"C0": float("nan"), "C1": 0.5}, {"C0": -0.1, "C1": 1.1}, {"C0": True, "C1": False}, {"C0": 0.1, "C1": 0.1}],
-)
-def test_invalid_vectors(spark, p):
-    df = spark.createDataFrame([(body(p),)], "body string")
-    row = rq.validate_responses(df, "body", LABELS).collect()[0]
-    assert row["status"] == "invalid" and row["prediction"] == -1 and row["probabilities"] is None
+def share_error(p, labels):
+    """What is wrong with a vector, by the rule in words: finite numbers from 0 to 1 for exactly the labels, with a sum of 1."""
+    if not isinstance(p, dict) or set(p) != set(labels):
+        return "labels"
+    if any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in p.values()):
+        return "types"
+    if any(not math.isfinite(v) or not 0 <= v <= 1 for v in p.values()):
+        return "range"
+    return None if abs(sum(p.values()) - 1) <= 0.005 else "sum"
+
+
+def test_vectors_of_any_kind(spark):
+    """Random vectors, each with at most one defect drawn from a generator, against the rule in words."""
+    draw = random.Random(17)
+    rows = []
+    for k in range(240):
+        a = draw.random()
+        p = {"C0": a, "C1": 1 - a}
+        match draw.randrange(9):
+            case 0: p.pop(draw.choice(LABELS))
+            case 1: p[f"C{draw.randrange(2, 9)}"] = draw.random()
+            case 2: p[draw.choice(LABELS)] = draw.choice([math.nan, math.inf, -math.inf])
+            case 3: p["C0"], p["C1"] = -draw.uniform(0.01, 3), 1 + draw.uniform(0.01, 3)
+            case 4: p[draw.choice(LABELS)] = draw.choice([True, False])
+            case 5: p = {c: v * draw.uniform(0.05, 0.9) for c, v in p.items()}
+            case 6: p["C0"] += draw.uniform(-0.004, 0.004) if 0.01 < a < 0.99 else 0
+        rows.append((k, body(p, max(LABELS, key=lambda c: p.get(c, -1) if p.get(c, -1) == p.get(c, -1) else -1)), share_error(p, LABELS)))
+    df = spark.createDataFrame([r[:2] for r in rows], "k int, body string")
+    got = {r["k"]: r for r in rq.validate_responses(df, "body", LABELS).collect()}
+    for k, _, error in rows:
+        r = got[k]
+        if error:
+            assert r["status"] == "invalid" and r["prediction"] == -1 and r["probabilities"] is None, (rows[k], r)
+        else:
+            assert r["status"] == "ok" and sum(r["probabilities"]) == pytest.approx(1), (rows[k], r)
+    assert len({e for _, _, e in rows}) == 5
 
 
 def test_unknown_choice_and_broken_json(spark):
@@ -32,11 +62,14 @@ def test_unknown_choice_and_broken_json(spark):
     assert [r["status"] for r in rq.validate_responses(df, "body", LABELS).collect()] == ["invalid"] * 3
 
 
-def test_rounded_sum_is_normalised(spark):
-    labels = [f"C{i}" for i in range(77)]
-    df = spark.createDataFrame([(body({k: 0.013 for k in labels}),)], "body string")
-    row = rq.validate_responses(df, "body", labels).collect()[0]
-    assert row["status"] == "ok" and sum(row["probabilities"]) == pytest.approx(1)
+@pytest.mark.parametrize("classes, digits", [(3, 2), (11, 4), (40, 5)])
+def test_rounded_shares_are_scaled_to_one(spark, classes, digits):
+    draw = random.Random(classes)
+    weights = [draw.random() for _ in range(classes)]
+    shares = [round(w / sum(weights), digits) for w in weights]
+    labels = [f"C{i}" for i in range(classes)]
+    row = rq.validate_responses(spark.createDataFrame([(body(dict(zip(labels, shares))),)], "body string"), "body", labels).first()
+    assert row["status"] == "ok" and row["probabilities"] == pytest.approx([x / sum(shares) for x in shares])
 
 
 def test_choice_order_is_part_of_the_identity(spark):
@@ -70,12 +103,14 @@ def test_every_case_gets_one_record(spark):
     assert {(r["status"], r["reason"]) for r in score_batches(calls, broken, "request_hash", ["state"]).collect()} == {("failed", "RuntimeError: down")}
 
 
-def test_rule_boundaries(spark):
-    schema = "age int, opened boolean, final_sale boolean, defective boolean, cancelled boolean"
-    rows = [(30, False, False, False, False), (31, False, False, False, False), (10, False, True, False, False), (10, False, True, True, False), (31, False, True, True, False), (50, False, False, False, True)]
+def test_labels_by_a_rule_on_the_given_orders(spark):
+    """A rule with a bound and nested alternatives, against the same rule in Python row by row."""
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_quantity", "l_discount", "l_returnflag", "l_linenumber").limit(400)
     c = F.col
-    rule = c("cancelled") | ((c("age") <= 30) & ((~c("final_sale") & ~c("opened")) | c("defective")))
-    assert [r["label"] for r in clean.labelled_by_rule(spark.createDataFrame(rows, schema), rule).collect()] == [1, 0, 0, 1, 0, 1]
+    rule = (c("l_returnflag") == "R") | ((c("l_quantity") >= 25) & ((c("l_discount") > 0.05) | ~c("l_linenumber").isin(1, 4)))
+    for r in clean.labelled_by_rule(df, rule).collect():
+        want = r["l_returnflag"] == "R" or (r["l_quantity"] >= 25 and (r["l_discount"] > 0.05 or r["l_linenumber"] not in (1, 4)))
+        assert r["label"] == int(want)
 
 
 def test_unmapped_label_is_an_error(spark):

@@ -1,28 +1,53 @@
-"""Split invariants over caps, class skews and hot classes."""
+"""Split invariants over generated class sizes, caps and series."""
+
+import datetime as dt
 
 import pytest
+from hypothesis import given, settings, strategies as some
 from pyspark.sql import functions as F
 
 from casemeter.operators import audit as au, ordering, series as ts, split as sp
 
-COUNTS = ([1, 99], [1, 1, 100], [2, 2, 96], [1, 3, 9, 21], [30, 30, 30])
-
 
-@pytest.mark.parametrize("counts", COUNTS)
-def test_quota_sweep(counts):
-    table = dict(enumerate(counts))
-    n = sum(counts)
-    for cap in range(len(counts), n + 3):
-        quota = sp.proportional_quota(table, cap, 1)
-        assert sum(quota.values()) == min(n, cap)
-        assert all(1 <= q <= table[c] for c, q in quota.items())
+@given(some.dictionaries(some.integers(0, 10**6), some.integers(1, 5000), min_size=1, max_size=120), some.data())
+@settings(max_examples=150, deadline=None)
+def test_quotas_of_any_classes(table, data):
+    """Each quota lies within its class, their sum is the cap, no class moves by a whole case from its share unless the floor forces it."""
+    n, k = sum(table.values()), len(table)
+    cap = data.draw(some.integers(k, n + 5))
+    quota = sp.proportional_quota(table, cap, 1)
+    assert sum(quota.values()) == min(n, cap) and quota.keys() == table.keys()
+    assert all(1 <= q <= table[c] for c, q in quota.items())
+    plain = sp.proportional_quota(table, cap)
+    assert sum(plain.values()) == min(n, cap)
+    if cap < n:
+        assert all(abs(plain[c] - table[c] * cap / n) < 1 for c in table)
+        assert all(quota[c] <= max(1, plain[c]) for c in table)
+    shuffled = dict(sorted(table.items(), reverse=True))
+    assert sp.proportional_quota(shuffled, cap, 1) == quota
+
+
+@given(some.integers(2, 60))
+@settings(max_examples=20, deadline=None)
+def test_a_cap_under_the_classes_is_an_error(k):
     with pytest.raises(ValueError):
-        sp.proportional_quota(table, len(counts) - 1, 1)
+        sp.proportional_quota(dict.fromkeys(range(k), 3), k - 1, 1)
 
 
-def test_quota_many_classes():
-    table = {c: 8002 // 77 + (c < 8002 % 77) for c in range(77)}
-    assert sum(sp.proportional_quota(table, 100, 1).values()) == 100
+@given(some.lists(some.integers(1, 400), min_size=1, max_size=12), some.lists(some.floats(0.05, 0.6), min_size=1, max_size=3))
+@settings(max_examples=100, deadline=None)
+def test_parts_of_any_classes_tile_their_ranks(sizes, shares):
+    table = dict(enumerate(sizes))
+    named = [(f"part{i}", s) for i, s in enumerate(shares)]
+    parts = sp.stratified_parts(table, named, "rest")
+    for c, n in table.items():
+        mine = [(lo, hi) for d, _, lo, hi in parts if d == c]
+        assert mine[0][0] == 0 and mine[-1][1] == n and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
+    left = sum(sizes)
+    for name, share in named:
+        size = sum(hi - lo for _, part, lo, hi in parts if part == name)
+        assert left * share - 1e-6 <= size < left * share + 1 + 1e-6
+        left -= size
 
 
 def cases(spark, counts):
@@ -31,7 +56,7 @@ def cases(spark, counts):
 
 
 def test_cap_is_exact_distinct_and_deterministic(spark):
-    df = cases(spark, [1, 3, 9, 210])
+    df = cases(spark, [2, 5, 11, 187])
     a = sp.stratified_cap(df, "case_id", "label", 40, 9)
     b = sp.stratified_cap(df.repartition(7).orderBy(F.desc("case_id")), "case_id", "label", 40, 9)
     rows = sorted(a.collect())
@@ -84,38 +109,61 @@ def test_leading_pairs_must_be_whole(spark):
         sp.leading_cases(df, "position", 3, "pair")
 
 
-@pytest.fixture(scope="module")
-def hourly(spark):
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
-    return spark.range(1800).select((start + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("hour"), (100 + F.col("id") % 24).alias("cnt"), F.col("id").alias("i"))
-
-
-def test_exact_lags(spark, hourly):
-    ex = ts.examples(hourly.where("i <> 500"), "hour", "cnt").orderBy("hour")
-    first = ex.first()
-    assert (first["target_timestamp"] - first["hour"]).total_seconds() == 3600 and first["cnt_lag_168"] == 100
-    # The missing hour removes itself, its neighbours and the rows that look back at it.
-    assert ex.count() == 1800 - 168 - 1 - 5
-
-
-def test_forward_windows(spark, hourly):
-    plan = ts.WindowPlan(windows=3, train_cap=300, validation=80, policy=60, test=80, gap=24)
-    placed = ts.positions(ts.examples(hourly, "hour", "cnt"), "hour")
+def series(spark, hours, missing=()):
+    """An hourly count without some hours; the count tells the hour's number."""
+    rows = [(dt.datetime(2023, 3, 5) + dt.timedelta(hours=h), 7 * h % 1009) for h in range(hours) if h not in missing]
+    return spark.createDataFrame(rows, "hour timestamp_ntz, cnt long")
+
+
+def test_examples_look_back_and_ahead_by_hours_not_by_rows(spark):
+    missing = {40, 300, 301, 555}
+    kept = [h for h in range(700) if all(h - lag not in missing and h - lag >= 0 for lag in (0, 1, 24, 168)) and h + 1 not in missing and h + 1 < 700]
+    start = dt.datetime(2023, 3, 5)
+    got = {r["hour"]: r for r in ts.examples(series(spark, 700, missing), "hour", "cnt").collect()}
+    assert sorted(got) == [start + dt.timedelta(hours=h) for h in kept]
+    for h in kept[::37]:
+        r = got[start + dt.timedelta(hours=h)]
+        assert r["target_timestamp"] == r["hour"] + dt.timedelta(hours=1) and r["cnt_lag_168"] == 7 * (h - 168) % 1009
+
+
+@given(some.integers(1, 5), some.integers(5, 60), some.integers(3, 40), some.integers(3, 40), some.integers(0, 30), some.integers(0, 400))
+@settings(max_examples=150, deadline=None)
+def test_windows_of_any_plan(windows, test, policy, validation, gap, more):
+    """Partitions follow one another with a row purged between them and the gap before each test block; test blocks do not meet."""
+    plan = ts.WindowPlan(windows=windows, train_cap=90, validation=validation, policy=policy, test=test, gap=gap)
+    before = gap + policy + validation + 3
+    try:
+        found = plan.intervals(windows * test + before + more)
+    except ValueError:
+        return
+    tests = []
+    for w in range(windows):
+        part = {p: (lo, hi) for v, p, lo, hi in found if v == w}
+        assert set(part) == {"train", "validation", "policy", "test"} and all(hi > lo for lo, hi in part.values())
+        assert part["train"][1] < part["validation"][0] and part["validation"][1] < part["policy"][0] and part["policy"][1] + gap <= part["test"][0]
+        assert part["train"][1] - part["train"][0] <= 90
+        sizes = {p: hi - lo for p, (lo, hi) in part.items()}
+        assert (sizes["validation"], sizes["policy"], sizes["test"]) == (validation, policy, test)
+        tests.append(part["test"])
+    assert all(a[1] <= b[0] for a, b in zip(sorted(tests), sorted(tests)[1:]))
+
+
+def test_windows_over_rows_keep_the_embargo_in_time(spark):
+    plan = ts.WindowPlan(windows=2, train_cap=150, validation=50, policy=45, test=70, gap=36)
+    placed = ts.positions(ts.examples(series(spark, 1100, {500, 900}), "hour", "cnt"), "hour")
     win = ts.forward_windows(placed, plan)
-    assert win.groupBy("window", "hour").count().where("count > 1").count() == 0
-    assert win.where("partition = 'test'").groupBy("hour").count().where("count > 1").count() == 0
-    emb = ts.embargo(win, "hour", "target_timestamp", 24).collect()
-    assert len(emb) == 3 and all(r["respected"] for r in emb)
-    for p in range(3):
-        assert win.where(f"window = {p}").groupBy("partition").count().count() == 4
+    sizes = {(r["window"], r["partition"]): r["count"] for r in win.groupBy("window", "partition").count().collect()}
+    assert sizes == {(w, p): n for w in range(2) for p, n in (("train", 150), ("validation", 50), ("policy", 45), ("test", 70))}
+    checked = ts.embargo(win, "hour", "target_timestamp", 36).collect()
+    assert len(checked) == 2 and all(r["respected"] for r in checked)
     with pytest.raises(ValueError):
-        plan.intervals(400)
+        plan.intervals(200)
 
 
-def test_expanding_windows():
-    plan = ts.WindowPlan(windows=2, train_cap=None, validation=5, policy=5, test=10, gap=2, minimum_train=20)
-    trains = [(lo, hi) for _, p, lo, hi in plan.intervals(100) if p == "train"]
-    assert trains[0][0] == trains[1][0] == 0 and trains[1][1] > trains[0][1] and plan.protocol == "expanding-forward-window"
+def test_expanding_windows_start_at_the_first_row():
+    plan = ts.WindowPlan(windows=3, train_cap=None, validation=6, policy=4, test=9, gap=1, minimum_train=15)
+    trains = [(lo, hi) for _, p, lo, hi in plan.intervals(120) if p == "train"]
+    assert [lo for lo, _ in trains] == [0, 0, 0] and trains == sorted(trains) and len(set(trains)) == 3
 
 
 def test_tampering_is_found(spark):
