@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import canonical_json, digest
+from ..session import checkpointed
 from .dedup import signed_difference
 
 
@@ -15,17 +16,48 @@ def row_digest(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
 
 
 def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Content fingerprint independent of row order and file layout.
+    """Content fingerprint independent of row order and file layout: the root of :func:`hash_tree`."""
+    return hash_tree(df, cols).where("level = 0").select("rows", F.col("digest").alias("fingerprint"))
 
-    Row digests are grouped by their first two hex digits; each group is an integer sum of
-    digest words, so every step is a map-side combined aggregate, and the final digest
-    covers 256 group lines.
+
+#: Places of the words of a digest that are summed: five of 48 bits, one of 16.
+_WORDS = tuple((1 + 12 * k, 12 if k < 5 else 4) for k in range(6))
+
+
+def hash_tree(df: DataFrame, cols: Sequence[str] | None = None, depth: int = 2) -> DataFrame:
+    """``level, bucket, rows, digest``: a tree over the buckets of the row digests' first ``depth`` hex digits.
+
+    A leaf's digest covers its number of rows and the sums of all 256 bits of their digests, word by word, so it does not depend on
+    their order and every row counts as often as it is there; the sums are combined map-side. A parent's digest covers its
+    children's. Level 0 has the root, with an empty bucket; an empty table has a root without children.
     """
     d = df.select(row_digest(df, cols).alias("_d"))
-    word = F.conv(F.substring("_d", 3, 12), 16, 10).cast("decimal(38,0)")
-    groups = d.groupBy(F.substring("_d", 1, 2).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.sum(word).alias("_s"))
-    line = F.concat_ws(":", "_g", F.col("_n").cast("string"), F.col("_s").cast("string"))
-    return groups.agg(F.sum("_n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+    words = [F.sum(F.conv(F.substring("_d", at, n), 16, 10).cast("decimal(38,0)")).cast("string") for at, n in _WORDS]
+    leaves = d.groupBy(F.substring("_d", 1, depth).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.array(*words).alias("_s"))
+    level = leaves.select("bucket", "rows", F.sha2(F.concat_ws(":", "bucket", F.col("rows").cast("string"), "_s"), 256).alias("digest"))
+    level = checkpointed(level)  # 16 ** depth rows at most
+    out = level.withColumn("level", F.lit(depth))
+    for k in range(depth - 1, -1, -1):
+        above = [F.substring("bucket", 1, k).alias("bucket")] if k else []
+        line = F.concat_ws(":", "bucket", "digest")
+        level = level.groupBy(*above).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+        level = level if k else level.withColumn("bucket", F.lit(""))
+        out = out.unionByName(level.withColumn("level", F.lit(k)))
+    return out.select("level", "bucket", "rows", "digest")
+
+
+def tree_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``bucket, rows_a, rows_b`` of the leaves of two hash trees that differ, found from the root down: equal subtrees are not entered."""
+    pairs = a.select("level", "bucket", F.col("rows").alias("rows_a"), F.col("digest").alias("_a")).join(
+        b.select("level", "bucket", F.col("rows").alias("rows_b"), F.col("digest").alias("_b")), ["level", "bucket"], "full_outer"
+    )
+    pairs = checkpointed(pairs.where(~F.col("_a").eqNullSafe(F.col("_b"))).fillna(0, ["rows_a", "rows_b"]))
+    depth = pairs.agg(F.max("level")).first()[0] or 0
+    open_ = pairs.where("level = 0")
+    for k in range(1, depth + 1):
+        above = open_.select(F.col("bucket").alias("_up"))
+        open_ = pairs.where(F.col("level") == k).join(above, F.substring("bucket", 1, k - 1) == F.col("_up"), "left_semi")
+    return open_.select("bucket", "rows_a", "rows_b")
 
 
 def table_difference(new: DataFrame, stored: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -116,15 +148,37 @@ def run_identity(config: Column, source: Column) -> Column:
 
 
 def merge_conflicts(artefacts: DataFrame, path: str = "path", checksum: str = "checksum", source: str = "source") -> DataFrame:
-    """Artefacts that two runs hold with different content."""
-    seen = artefacts.groupBy(path).agg(F.min(checksum).alias("_lo"), F.max(checksum).alias("_hi"), F.count(F.lit(1)).alias("copies"))
-    del source
-    return seen.where(F.col("_lo") != F.col("_hi")).select(path, "copies")
+    """Artefacts that runs hold with different content, and the runs that hold them."""
+    held = F.array_join(F.array_sort(F.collect_set(source)), ",")
+    seen = artefacts.groupBy(path).agg(F.min(checksum).alias("_lo"), F.max(checksum).alias("_hi"), F.count(F.lit(1)).alias("copies"), held.alias("sources"))
+    return seen.where(F.col("_lo") != F.col("_hi")).select(path, "copies", "sources")
+
+
+def study_conflicts(runs: DataFrame) -> DataFrame:
+    """``source, rule, detail``: runs (source, study, dataset, fingerprint) that belong to another study or saw other data than the first by name.
+
+    Every run must name the same study, have every dataset, and have it with the same fingerprint.
+    """
+    first = runs.agg(F.min("source")).scalar()
+    own = runs.where(F.col("source") == first).select("dataset", F.col("study").alias("_study"), F.col("fingerprint").alias("_print"))
+    others = runs.where(F.col("source") != first)
+    grid = others.select("source").distinct().crossJoin(own)  # sources x datasets, both declared lists
+    both = grid.join(others, ["source", "dataset"], "full_outer")
+    rule = (
+        F.when(F.col("_print").isNull(), "dataset is not in the first run")
+        .when(F.col("fingerprint").isNull(), "dataset is missing")
+        .when(~F.col("study").eqNullSafe(F.col("_study")), "another study")
+        .when(F.col("fingerprint") != F.col("_print"), "another inventory")
+    )
+    return both.withColumn("rule", rule).where("rule is not null").select("source", "rule", F.col("dataset").alias("detail"))
 
 
-def merge_runs(artefacts: DataFrame, path: str = "path", checksum: str = "checksum") -> DataFrame:
-    """One copy per artefact; any conflict is an error before anything is written."""
-    require_none(merge_conflicts(artefacts, path, checksum), "conflicting artefacts")
+def merge_runs(artefacts: DataFrame, path: str = "path", checksum: str = "checksum", runs: DataFrame | None = None, source: str = "source") -> DataFrame:
+    """One copy per artefact. Runs of another study or inventory (``runs`` as in :func:`study_conflicts`) and artefacts with
+    different content are errors before anything is written."""
+    if runs is not None:
+        require_none(study_conflicts(runs), "runs that cannot be merged")
+    require_none(merge_conflicts(artefacts, path, checksum, source), "conflicting artefacts")
     rest = [c for c in artefacts.columns if c != path]
     return artefacts.groupBy(path).agg(F.min_by(F.struct(*rest), F.struct(*rest)).alias("_r")).select(path, "_r.*")
 

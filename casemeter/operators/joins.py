@@ -72,6 +72,12 @@ def unpaired(pairs: DataFrame, scope: Sequence[str], case_id: str) -> DataFrame:
     return pairs.where(bad).select(*scope, case_id, "comparator", "n_a", "n_b")
 
 
+def require_paired(pairs: DataFrame) -> DataFrame:
+    """``pairs`` as they are; the first case that only one side covers, or whose labels disagree, is an error where it is read."""
+    whole = (F.col("n_a") == 1) & (F.col("n_b") == 1) & F.col("label_a").eqNullSafe(F.col("label_b"))
+    return pairs.where(F.assert_true(whole, F.concat(F.lit("unpaired case against "), F.col("comparator"))).isNull())
+
+
 def resume(requests: DataFrame, answers: DataFrame, request_hash: str) -> tuple[DataFrame, DataFrame]:
     """``(answered, pending)``: stored answers joined by request hash, and the distinct rest to score."""
     answered = requests.join(answers.withColumn("_hit", F.lit(True)), request_hash, "left").withColumn("cache_hit", F.col("_hit").isNotNull()).drop("_hit")

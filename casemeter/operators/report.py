@@ -25,8 +25,9 @@ def cell(mean: Column, sd: Column, n: Column) -> Column:
 
 
 def panel(summary: DataFrame, dataset: str, model: str, models: Sequence[str], seeds: int) -> DataFrame:
-    """Datasets by models in a fixed order; missing is ``pending``, partial is ``INCOMPLETE``."""
-    text = F.when(F.col("n") == seeds, cell(F.col("mean"), F.col("sd"), F.col("n"))).otherwise("INCOMPLETE")
+    """Datasets by models in a fixed order; missing is ``pending``, a cell of too few seeds keeps its numbers and is marked ``INCOMPLETE``."""
+    whole = cell(F.col("mean"), F.col("sd"), F.col("n"))
+    text = F.when(F.col("n") == seeds, whole).otherwise(F.concat(whole, F.lit(" INCOMPLETE")))
     wide = summary.withColumn("_t", text).groupBy(dataset).pivot(model, list(models)).agg(F.first("_t"))
     return wide.select(dataset, *[F.coalesce(F.col(m), F.lit("pending")).alias(m) for m in models])
 
@@ -60,15 +61,22 @@ def largest_lead(table: DataFrame, dataset: str) -> DataFrame:
     return table.where("lead > 0").orderBy(F.desc("lead"), dataset).limit(1)
 
 
-def diagnostics(df: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Distinct backends and resolved models, failed rows and retries per run."""
+def diagnostics(df: DataFrame, dims: Sequence[str], trials: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """What went wrong in each run: backends with the reasons for falling back, resolved models, failed test and policy rows, retries,
+    failed trials out of all, and whether the threshold was tuned.
+
+    ``df`` has ``partition, status, attempts, backend, backend_reason, resolved_model``, ``trials`` an ``error`` per trial, ``thresholds`` a
+    ``threshold_status`` per run. A run without trials or thresholds has 0 trials and the status ``not applicable``.
+    """
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
-    return df.groupBy(*dims).agg(
-        listed("backend").alias("backends"),
-        listed("resolved_model").alias("resolved_models"),
-        F.count_if(F.col("status") != "ok").alias("failed_rows"),
-        F.sum(F.col("attempts") - 1).cast("bigint").alias("retries"),
+    failed = lambda part: F.count_if((F.col("partition") == part) & (F.col("status") != "ok")).alias(f"failed_{part}_rows")
+    rows = df.groupBy(*dims).agg(
+        listed("backend").alias("backends"), listed("backend_reason").alias("backend_reasons"), listed("resolved_model").alias("resolved_models"),
+        failed("test"), failed("policy"), F.sum(F.col("attempts") - 1).cast("bigint").alias("retries"),
     )
+    tried = trials.groupBy(*dims).agg(F.count(F.lit(1)).alias("trials"), F.count_if(F.col("error").isNotNull()).alias("failed_trials"))
+    joined = rows.join(tried, list(dims), "left").join(thresholds.select(*dims, "threshold_status"), list(dims), "left")
+    return joined.fillna(0, ["trials", "failed_trials"]).fillna("not applicable", ["threshold_status"])
 
 
 def planned_calls(counts: DataFrame, dataset: str, modes: int, retries: int, limit: int | None = None) -> DataFrame:

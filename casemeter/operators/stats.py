@@ -72,13 +72,13 @@ def paired_difference(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("difference", F.col("correct_a") - F.col("correct_b"))
 
 
-def seed_average(diffs: DataFrame, keys: Sequence[str], seeds: int, seed: str = "seed") -> DataFrame:
-    """Mean difference over seeds, for cases that have every seed and one label."""
+def seed_average(diffs: DataFrame, keys: Sequence[str], seeds: int) -> DataFrame:
+    """Mean difference over seeds; a case that lacks a seed, or whose label differs between seeds, is an error."""
     out = diffs.groupBy(*keys).agg(
         F.avg("difference").alias("difference"), F.count(F.lit(1)).alias("_n"), F.min("label").alias("label"), F.max("label").alias("_hi")
     )
-    del seed
-    return out.where((F.col("_n") == seeds) & F.col("label").eqNullSafe(F.col("_hi"))).drop("_n", "_hi")
+    whole = (F.col("_n") == seeds) & F.col("label").eqNullSafe(F.col("_hi"))
+    return out.where(F.assert_true(whole, F.lit("a case lacks a seed or changes its label")).isNull()).drop("_n", "_hi")
 
 
 def balanced_difference(diffs: DataFrame, scope: Sequence[str], label: str = "label") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+import pyspark
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keys import digest
 from ..operators import audit as au, joins, metrics as me
@@ -12,13 +15,43 @@ from .catalog import query
 _REC = """sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}')"""
 
 
+_WORD_SUMS = " || ':' || ".join(f"sum(cast('0x' || substr(d, {at}, {n}) as ubigint))" for at, n in au._WORDS)
+
+
+def _tree_sql(p, records):
+    """{p}l2, {p}l1, {p}l0 (bucket, rows, digest): leaves, parents, root over the record digests ``d`` of ``records``."""
+    up = lambda n: f"cast(sum(rows) as bigint) as rows, sha256(string_agg(bucket || ':' || digest, chr(10) order by bucket || ':' || digest)) as digest from {p}l{n}"
+    return f"""{p}d as ({records}), {p}l2 as (select substr(d, 1, 2) as bucket, count(*) as rows, sha256(substr(d, 1, 2) || ':' || count(*) || ':' || {_WORD_SUMS}) as digest from {p}d group by 1),
+        {p}l1 as (select substr(bucket, 1, 1) as bucket, {up(2)} group by 1), {p}l0 as (select '' as bucket, {up(1)})"""
+
+
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus"]
+
+
+@query("in1_fingerprint", f"with {_tree_sql('t', f'select {_REC} as d from orders')} select rows, digest as fingerprint from tl0")
+def in1(spark, sf):
+    return au.fingerprint(table(spark, sf, "orders").select(*_ORDERS))
+
+
+@query("in1_hash_tree", f"with {_tree_sql('t', f'select {_REC} as d from orders')} select 2 as level, * from tl2 union all select 1, * from tl1 union all select 0, * from tl0")
+def in1b(spark, sf):
+    return au.hash_tree(table(spark, sf, "orders").select(*_ORDERS))
+
+
+_OTHER = _REC.replace("o_orderstatus ||", "(case when o_orderkey % 1024 = 3 then 'X' else o_orderstatus end) ||")
+
+
 @query(
-    "in1_fingerprint",
-    f"""with d as (select {_REC} as d from orders), g as (select substr(d, 1, 2) as g, count(*) as n, sum(cast('0x' || substr(d, 3, 12) as ubigint)) as s from d group by 1)
-        select cast(sum(n) as bigint) as rows, sha256(string_agg(g || ':' || n || ':' || s, chr(10) order by g || ':' || n || ':' || s)) as fingerprint from g""",
+    "in1_located_difference",
+    f"""with a as (select {_REC} as d from orders), b as (select {_OTHER} as d from orders), u as (select d, 1 as s from a union all select d, -1 from b), x as (select d from u group by 1 having sum(s) <> 0),
+        n as (select substr(d, 1, 2) as bucket, 1 as x, 0 as y from a union all select substr(d, 1, 2), 0, 1 from b)
+        select bucket, cast(sum(x) as bigint) as rows_a, cast(sum(y) as bigint) as rows_b from n where bucket in (select substr(d, 1, 2) from x) group by 1""",
 )
-def in1(spark, sf):
-    return au.fingerprint(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+def in1c(spark, sf):
+    """Two copies of the orders that differ in a few rows, compared from the root down."""
+    o = table(spark, sf, "orders").select(*_ORDERS)
+    other = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 1024 == 3, "X").otherwise(F.col("o_orderstatus")))
+    return au.tree_difference(au.hash_tree(o), au.hash_tree(other))
 
 
 @query(
@@ -102,18 +135,18 @@ def in6(spark, sf):
     return au.incomplete_jobs(kept, p, ["dataset", "model", "line"])
 
 
-_ART = """art as (select 'data/' || o_custkey || '/' || o_orderpriority as path, sha256(o_orderstatus) as checksum, 'run' || cast(o_orderkey % 3 as varchar) as source from orders where o_orderstatus <> 'P')"""
+_ART = """art as (select 'data/' || o_custkey || '/' || o_orderpriority as path, sha256(o_orderstatus) as checksum, 'run' || cast(o_orderkey % 3 as varchar) as source from orders)"""
 
 
 def _artefacts(spark, sf):
-    return table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(
+    return table(spark, sf, "orders").select(
         F.concat_ws("/", F.lit("data"), F.col("o_custkey").cast("string"), "o_orderpriority").alias("path"),
         digest("o_orderstatus").alias("checksum"),
         F.concat(F.lit("run"), (F.col("o_orderkey") % 3).cast("string")).alias("source"),
     )
 
 
-@query("in7_merge_conflicts", f"with {_ART} select path, count(*) as copies from art group by 1 having count(distinct checksum) > 1")
+@query("in7_merge_conflicts", f"with {_ART} select path, count(*) as copies, string_agg(distinct source, ',' order by source) as sources from art group by 1 having count(distinct checksum) > 1")
 def in7(spark, sf):
     return au.merge_conflicts(_artefacts(spark, sf))
 
@@ -125,9 +158,43 @@ def in7b(spark, sf):
     return au.merge_runs(sound)
 
 
-@query("in9_provenance")
+_RUNS = """run as (select r.range as r, case when r.range = 2 then 'late' else 'main' end as study from range(4) r),
+  rec as (select r, study, 'orders-' || o_orderstatus as dataset, sha256(string_agg(o_orderkey || ':' || (case when r = 3 and o_orderkey % 4096 = 7 then 'X' else o_orderpriority end), ',' order by o_orderkey)) as fingerprint
+    from orders, run where not (r = 1 and o_orderstatus = 'P') group by 1, 2, o_orderstatus)"""
+
+
+@query(
+    "in7_merge_guard",
+    f"""with {_RUNS}, own as (select dataset, study, fingerprint from rec where r = 0), g as (select run.r, run.study as s, own.* from run cross join own where run.r > 0),
+        j as (select g.r, g.dataset, case when rec.fingerprint is null then 'dataset is missing' when rec.study <> g.study then 'another study' when rec.fingerprint <> g.fingerprint then 'another inventory' end as rule
+          from g left join rec on rec.r = g.r and rec.dataset = g.dataset)
+        select 'run' || r as source, rule, dataset as detail from j where rule is not null""",
+)
+def in7c(spark, sf):
+    """Four runs over the orders by status: one lacks a dataset, one is of another study, one saw a changed row."""
+    orders = table(spark, sf, "orders")
+    parts = []
+    for r in range(4):
+        seen = orders.select("o_orderkey", F.when((F.col("o_orderkey") % 4096 == 7) & F.lit(r == 3), "X").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"), "o_orderstatus")
+        seen = seen.where("o_orderstatus <> 'P'") if r == 1 else seen
+        digests = seen.select("o_orderstatus", au.row_digest(seen).alias("d")).groupBy("o_orderstatus").agg(
+            F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[F.sum(F.conv(F.substring("d", at, n), 16, 10).cast("decimal(38,0)")).cast("string") for at, n in au._WORDS]), 256).alias("fingerprint")
+        )
+        parts.append(digests.select(F.lit(f"run{r}").alias("source"), F.lit("late" if r == 2 else "main").alias("study"), F.concat(F.lit("orders-"), "o_orderstatus").alias("dataset"), "fingerprint"))
+    return au.study_conflicts(reduce(DataFrame.unionByName, parts))
+
+
+@query(
+    "in9_provenance",
+    f"""with {_tree_sql('t', f'select {_REC} as d from orders')} select o_orderkey, o_custkey, o_orderstatus, sha256('{{"config":"frozen","source":"' || digest || '"}}') as run_id,
+        '{pyspark.__version__}' as spark_version, digest as source_orders from orders, tl0""",
+)
 def in9(spark, sf):
-    return au.with_provenance(table(spark, sf, "region"), "run-1", {"region": "static"})
+    """Every row with the run it came from, the version that read it and the fingerprint of its table."""
+    orders = table(spark, sf, "orders").select(*_ORDERS)
+    found = au.fingerprint(orders).first()["fingerprint"]
+    run = spark.range(1).select(au.run_identity(F.lit("frozen"), F.lit(found))).first()[0]
+    return au.with_provenance(orders, run, {"orders": found})
 
 
 @query(

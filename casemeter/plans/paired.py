@@ -19,9 +19,9 @@ def _fields(label="label"):
 
 
 def _diffs(df, scope, label="label"):
-    """Complete, agreeing pairs with their difference."""
+    """Pairs with their difference; a case that one side lacks is an error."""
     pairs = joins.paired(df, scope, "case_id", "model", REFERENCE, COMPARATORS, _fields(label))
-    whole = pairs.where("n_a = 1 and n_b = 1 and label_a = label_b").withColumnRenamed("label_a", "label")
+    whole = joins.require_paired(pairs).withColumnRenamed("label_a", "label")
     return st.paired_difference(whole)
 
 
@@ -86,7 +86,7 @@ _PAIRED = f"{pairs_sql()}, pp as (select seed, model, case_id, pair_id, ts, labe
 def _pair_diffs(spark, sf):
     p = pair_predictions(spark, sf)
     pairs = joins.paired(p, ["seed", "pair_id", "ts"], "case_id", "model", REFERENCE, COMPARATORS, _fields())
-    return st.paired_difference(pairs.where("n_a = 1 and n_b = 1 and label_a = label_b").withColumnRenamed("label_a", "label"))
+    return st.paired_difference(joins.require_paired(pairs).withColumnRenamed("label_a", "label"))
 
 
 @query(

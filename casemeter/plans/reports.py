@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import metrics as me, report as rp
+from ..operators import decide as de, metrics as me, report as rp
 from ..sources.panels import panel_gaps
 from .bindings import SCORES_SQL, SEEDS, predictions, predictions_sql, scores
 from .catalog import query
@@ -54,7 +54,7 @@ def rp2(spark, sf):
 
 
 _CELL = "printf('%.1f', mean) || ' ± ' || printf('%.1f', sd) || ' (n=' || n || ')'"
-_PANEL = f"{_SC}, txt as (select dataset, model, case when n = 3 then {_CELL} else 'INCOMPLETE' end as t from smr)"
+_PANEL = f"{_SC}, txt as (select dataset, model, {_CELL} || case when n = 3 then '' else ' INCOMPLETE' end as t from smr)"
 _PIVOT = ", ".join(f"coalesce(max(t) filter (model = '{m}'), 'pending') as {m}" for m in MODELS)
 
 
@@ -110,20 +110,33 @@ def rp8(spark, sf):
     return kept.select("dataset", "model", r6(F.col("mean")).alias("mean"))
 
 
+_BACKEND = "case when supp % 2 = 0 then 'cpu' else 'gpu' end"
+_REASON = "case when supp % 2 = 0 and part % 7 = 0 then 'no device' when supp % 2 = 0 then 'small input' end"
+_PARTS = "case when part % 5 = 0 then 'policy' else 'test' end"
+
+
 @query(
     "rp9_run_diagnostics",
-    f"""with {predictions_sql()} select dataset, seed, model, string_agg(distinct case when supp % 2 = 0 then 'cpu' else 'gpu' end, ', ' order by case when supp % 2 = 0 then 'cpu' else 'gpu' end) as backends,
-        string_agg(distinct model || '-v' || cast(line % 2 as varchar), ', ' order by model || '-v' || cast(line % 2 as varchar)) as resolved_models, count(*) filter (status <> 'ok') as failed_rows, cast(sum(attempts - 1) as bigint) as retries
-        from preds group by dataset, seed, model""",
+    f"""with {predictions_sql()}, p as (select *, {_PARTS} as partition, {_BACKEND} as backend, {_REASON} as reason, model || '-v' || cast(line % 2 as varchar) as resolved from preds),
+        t as (select dataset, seed, model, line, count(*) filter (status = 'failed' and supp % 3 = 0) as bad from preds group by 1, 2, 3, 4),
+        f as (select dataset, seed, model, count(*) as trials, count(*) filter (bad > 0) as failed_trials from t group by 1, 2, 3),
+        s as (select dataset, seed, model, case when bool_or(top is null) then 'not tuned: policy scores missing; raw choices retained' when min(label % 2) = max(label % 2) then 'not tuned: one class only' else 'tuned' end as threshold_status
+          from p where partition = 'policy' and not (model = 'gamma' and top is null) group by 1, 2, 3)
+        select dataset, seed, model, string_agg(distinct backend, ', ' order by backend) as backends, coalesce(string_agg(distinct reason, ', ' order by reason), '') as backend_reasons, string_agg(distinct resolved, ', ' order by resolved) as resolved_models,
+        count(*) filter (partition = 'test' and status <> 'ok') as failed_test_rows, count(*) filter (partition = 'policy' and status <> 'ok') as failed_policy_rows, cast(sum(attempts - 1) as bigint) as retries, trials, failed_trials, threshold_status
+        from p join f using (dataset, seed, model) join s using (dataset, seed, model) group by dataset, seed, model, trials, failed_trials, threshold_status""",
 )
 def rp9(spark, sf):
     p = predictions(spark, sf).withColumns(
         {
-            "backend": F.when(F.col("supp") % 2 == 0, "cpu").otherwise("gpu"),
+            "partition": F.expr(_PARTS), "backend": F.expr(_BACKEND), "backend_reason": F.expr(_REASON),
             "resolved_model": F.concat("model", F.lit("-v"), (F.col("line") % 2).cast("string")),
         }
     )
-    return rp.diagnostics(p, KEYS)
+    bad = F.count_if((F.col("status") == "failed") & (F.col("supp") % 3 == 0))
+    trials = p.groupBy(*KEYS, "line").agg(F.when(bad > 0, "failed").alias("error"))
+    policy = p.where("partition = 'policy'").select(*KEYS, (F.col("label") % 2).alias("y"), F.array_max("probabilities").alias("score")).where("not (model = 'gamma' and score is null)")
+    return rp.diagnostics(p, KEYS, trials, de.threshold_status(policy, KEYS, "y", "score"))
 
 
 _FLAT = f"""{predictions_sql()}, b as (select dataset, seed, model, count(*) as n, round(avg(case when prediction = label then 1e0 else 0e0 end), 6) as accuracy, count(*) filter (status = 'ok') as ok,
@@ -173,7 +186,7 @@ def rp13(spark, sf):
 @query(
     "in8_panel_gaps",
     f"""with {_PANEL}, grid as (select d.dataset, m.model from (select distinct dataset from smr) d, (values ('alpha'), ('beta'), ('gamma'), ('delta')) m(model))
-        select g.dataset, g.model, case when t is null then 'pending' else 'INCOMPLETE' end as problem from grid g left join txt on txt.dataset = g.dataset and txt.model = g.model where t is null or t = 'INCOMPLETE'""",
+        select g.dataset, g.model, case when t is null then 'pending' else 'INCOMPLETE' end as problem from grid g left join txt on txt.dataset = g.dataset and txt.model = g.model where t is null or t like '% INCOMPLETE'""",
 )
 def in8(spark, sf):
     wide = rp.panel(_summary(spark, sf), "dataset", "model", MODELS, 3)

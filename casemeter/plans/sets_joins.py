@@ -110,16 +110,34 @@ def j3(spark, sf):
     return joins.keep_members(table(spark, sf, "documents").select("doc_id", "lang"), texts(spark, sf).where("official = 'test'"), ["doc_id"])
 
 
+_J4 = f"""{predictions_sql()}, pr as (select a.dataset, a.case_id, a.label, b.model as comparator, cast(a.prediction = a.label as integer) as correct_a, cast(b.prediction = b.label as integer) as correct_b
+  from preds a join preds b on a.dataset = b.dataset and a.case_id = b.case_id and a.label = b.label where a.model = 'alpha' and b.model <> 'alpha')"""
+
+
+def _j4(df):
+    fields = {"label": F.col("label"), "correct": (F.col("prediction") == F.col("label")).cast("int")}
+    return joins.paired(df, ["dataset", "seed"], "case_id", "model", "alpha", ["beta", "gamma"], fields)
+
+
+@query("j4_paired_models", f"with {_J4} select dataset, comparator, label, correct_a, correct_b, count(*) as cases from pr group by all")
+def j4(spark, sf):
+    """Cases of both models, label by label; a case that one of them lacks would be an error."""
+    pairs = joins.require_paired(_j4(predictions(spark, sf)))
+    return pairs.groupBy("dataset", "comparator", F.col("label_a").alias("label"), "correct_a", "correct_b").agg(F.count(F.lit(1)).alias("cases"))
+
+
 @query(
-    "j4_paired_models",
-    f"""with {predictions_sql()}
-        select a.case_id, b.model as comparator, cast(a.prediction = a.label as integer) as correct_a, cast(b.prediction = b.label as integer) as correct_b
-        from preds a join preds b on a.case_id = b.case_id and a.label = b.label where a.model = 'alpha' and b.model <> 'alpha'""",
+    "j4_unpaired_cases",
+    f"""with {predictions_sql()}, k as (select dataset, case_id, model, case when model = 'gamma' and u % 97 = 5 then label + 1 else label end as label from preds where not (model = 'beta' and u % 89 = 3)),
+        g as (select p.dataset, p.case_id, c.comparator, count(*) filter (model = 'alpha') as n_a, count(*) filter (model = c.comparator) as n_b, max(p.label) filter (model = 'alpha') as x, max(p.label) filter (model = c.comparator) as y
+          from k p, (values ('beta'), ('gamma')) c(comparator) group by 1, 2, 3)
+        select dataset, case_id, comparator, n_a, n_b from g where n_a <> 1 or n_b <> 1 or x <> y""",
 )
-def j4(spark, sf):
-    fields = {"label": F.col("label"), "correct": (F.col("prediction") == F.col("label")).cast("int")}
-    pairs = joins.paired(predictions(spark, sf), ["dataset", "seed"], "case_id", "model", "alpha", ["beta", "gamma"], fields)
-    return pairs.where("n_a = 1 and n_b = 1 and label_a = label_b").select("case_id", "comparator", "correct_a", "correct_b")
+def j4u(spark, sf):
+    """Cases that a model lacks or labels otherwise, after some were taken away."""
+    p = predictions(spark, sf).where("not (model = 'beta' and u % 89 = 3)")
+    p = p.withColumn("label", F.when((F.col("model") == "gamma") & (F.col("u") % 97 == 5), F.col("label") + 1).otherwise(F.col("label")))
+    return joins.unpaired(_j4(p), ["dataset"], "case_id")
 
 
 _RESUME_SQL = "reqs as (select event_id, sha256(event_type || '|' || cast(user_id as varchar)) as request_hash, ts from events), answers as (select request_hash, count(*) as answered_times from reqs where ts < timestamp '2024-01-02' group by 1)"

@@ -86,7 +86,7 @@ def sp4(spark, sf):
     return sp.stratified_split(c, "case_id", "label", 13, [("test", 0.2), ("validation", 0.2)], groups=["dataset"], caps={"train": 8000})
 
 
-_PILOT = f"""pool as (select 'all' as dataset, case_id, label from cases where dataset = 'F'), {_counts('c0', 'pool')}, {_quota('p', 'c0', _SHARE.format('2e-1'), 0)}, {_ranked('pool', 14, name='pilot')},
+_PILOT = f"""pool as (select 'all' as dataset, case_id, label from cases), {_counts('c0', 'pool')}, {_quota('p', 'c0', _SHARE.format('2e-1'), 0)}, {_ranked('pool', 14, name='pilot')},
   excluded as (select case_id from pilot join p_q using (dataset, label) where rn <= quota),
   allowed as (select * from pool where case_id not in (select case_id from excluded)), {_counts('d0', 'allowed')},
   {_quota('h', 'd0', 'cast(ceil(round(2e-1 * (select count(*) from pool), 9)) as bigint)', 1)}, {_ranked('allowed', 15, name='hold')},
@@ -99,7 +99,7 @@ def sp5(spark, sf):
 
 
 def _holdout(spark, sf):
-    c = cases(spark, sf).where("dataset = 'F'").select("case_id", "label")
+    c = cases(spark, sf).select("case_id", "label")
     pilot = sp.stratified_split(c, "case_id", "label", 14, [("test", 0.2)]).where("partition = 'test'")
     return sp.shared_holdout(c, "case_id", "label", 15, excluded=pilot)
 

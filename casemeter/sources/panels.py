@@ -31,7 +31,7 @@ def panel_gaps(panel: DataFrame, dataset: str, models: Sequence[str], n: int) ->
     """Cells that are missing, pending or from an incomplete set of seeds."""
     long = panel.select(dataset, *[F.coalesce(F.col(m), F.lit("missing")).alias(m) for m in models]).unpivot(dataset, list(models), "model", "display")
     cell = parse_cell(F.col("display"))
-    problem = F.when(cell.isNull(), F.when(F.col("display").isin("missing", "pending", "INCOMPLETE"), F.col("display")).otherwise("malformed")).when(
+    problem = F.when(cell.isNull(), F.when(F.col("display").isin("missing", "pending"), F.col("display")).when(F.col("display").endswith(" INCOMPLETE"), "INCOMPLETE").otherwise("malformed")).when(
         cell["n"] != n, "incomplete seeds"
     )
     return long.withColumn("problem", problem).where(F.col("problem").isNotNull()).select(F.col(dataset).alias("dataset"), "model", "problem")

@@ -198,3 +198,53 @@ def test_episode_outcomes(spark):
     assert got["e1"]["success"] and got["e1"]["steps"] == 3 and got["e1"]["net_utility"] == pytest.approx(0.9)
     assert got["e2"]["critical_error"] and got["e2"]["net_utility"] == -2
     assert got["e3"]["escalated"] and got["e3"]["net_utility"] == -0.25
+
+
+def test_hash_trees_locate_what_differs(spark):
+    draw = random.Random(2)
+    rows = [(i, draw.randrange(10**6)) for i in range(2000)]
+    make = lambda r: spark.createDataFrame(r, "id int, x int").repartition(draw.randrange(1, 6))
+    tree = au.hash_tree(make(rows))
+    counts = {r["level"]: (r["n"], r["s"]) for r in tree.groupBy("level").agg(F.count("*").alias("n"), F.sum("rows").alias("s")).collect()}
+    assert counts[0] == (1, 2000) and counts[1] == (16, 2000) and counts[2][1] == 2000
+    assert au.tree_difference(tree, au.hash_tree(make(rows[::-1]))).count() == 0
+    # A changed row touches its old and its new bucket, a repeated one its own: digests count as often as their rows.
+    other = [(i, x + 1 if i == 77 else x) for i, x in rows] + [rows[5]]
+    digests = lambda r: [d["d"][:2] for d in make(r).select(au.row_digest(make(r)).alias("d")).collect()]
+    want = set(digests([rows[77]]) + digests([other[77]]) + digests([rows[5]]))
+    found = au.tree_difference(tree, au.hash_tree(make(other))).collect()
+    assert {r["bucket"] for r in found} == want and sum(r["rows_b"] - r["rows_a"] for r in found) == 1
+    empty = au.hash_tree(make(rows[:1]).limit(0))
+    assert empty.where("level = 0 and rows = 0 and bucket = ''").count() == 1 and au.tree_difference(tree, empty).agg(F.sum("rows_a")).first()[0] == 2000
+
+
+def test_every_bit_of_the_digests_counts(spark):
+    """Sums of words see a change in any of the digest's 64 places."""
+    assert [p for at, n in au._WORDS for p in range(at, at + n)] == list(range(1, 65))
+
+
+def test_runs_of_other_studies_or_data_are_refused(spark):
+    base = [("a", "s", d, f"f{d}") for d in "xyz"]
+    art = spark.createDataFrame([("p", "c", "a"), ("p", "c", "b")], "path string, checksum string, source string")
+    runs = lambda more: spark.createDataFrame(base + more, "source string, study string, dataset string, fingerprint string")
+    same = [("b", "s", d, f"f{d}") for d in "xyz"]
+    assert au.merge_runs(art, runs=runs(same)).count() == 1
+    cases = {
+        "another study": [("b", "t", d, f"f{d}") for d in "xyz"], "another inventory": [*same[:2], ("b", "s", "z", "other")],
+        "dataset is missing": same[:2], "dataset is not in the first run": [*same, ("b", "s", "w", "fw")],
+    }
+    for rule, more in cases.items():
+        assert {r["rule"] for r in au.study_conflicts(runs(more)).collect()} == {rule}
+        with pytest.raises(ValueError, match="cannot be merged"):
+            au.merge_runs(art, runs=runs(more))
+
+
+def test_an_unpaired_case_stops_a_comparison(spark):
+    draw = random.Random(3)
+    rows = [("d", m, f"c{i}", i % 2, draw.randrange(2)) for i in range(40) for m in "ab"]
+    schema = "ds string, model string, case_id string, label int, prediction int"
+    pair = lambda r: joins.paired(spark.createDataFrame(r, schema), ["ds"], "case_id", "model", "a", ["b"], {"label": F.col("label")})
+    assert joins.require_paired(pair(rows)).count() == 40
+    for bad in (rows[1:], rows[:-1], [*rows, rows[0]], [*rows[:-1], ("d", "b", "c39", 0, 1)]):
+        with pytest.raises(Exception, match="unpaired case against b"):
+            joins.require_paired(pair(bad)).collect()
