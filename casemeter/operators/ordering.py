@@ -9,17 +9,16 @@ hot group nor a long row of buckets meets in one task. There is one plan for eve
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterable, Sequence
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
-from ..session import SMALL_TABLE_ROWS, checkpointed
+from ..session import checkpointed
 
-#: Largest bucket count table (strata x buckets) that reaches the driver.
-COUNTED_BUCKETS = 400_000
+#: Leading hex digits of a draw by which a stratum is counted at a time, and rows of a bucket that one task sorts.
+DIGITS = 2
+SORT_ROWS = 1_000_000
 #: Counts of a group that one task sorts; larger groups are cut into buckets.
 GROUP_ROWS = 50_000
 #: Most buckets of a group, and the accuracy of the sketch that sets their marks (a rank error of about 0.3 %).
@@ -132,44 +131,62 @@ def exact_quantiles(
     return picked.select(*keys, "q", value_at.alias("value"))
 
 
-def draw_digits(strata: int, rows: int) -> int:
-    """Leading hex digits that cut a draw into buckets: none for small inputs, else as many as
-    the driver can count, as long as a bucket keeps about a thousand rows."""
-    if rows <= SMALL_TABLE_ROWS:
-        return 0
-    return max(d for d in range(1, 5) if d == 1 or (strata * 16**d <= COUNTED_BUCKETS and strata * 16**d * 1000 <= rows))
+def count_draws(df: DataFrame, strata: Sequence[str], draw: str) -> DataFrame:
+    """Rows per (stratum, leading digits of the draw): the one pass that a split counts in, as a checkpointed table ``_b, _n``.
+
+    ``draw`` is a uniform hexadecimal string, so its leading digits cut every stratum, however hot, into even buckets.
+    """
+    return checkpointed(df.groupBy(*strata, F.substring(draw, 1, DIGITS).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _same(left: str, right: str, cols: Sequence[str]) -> list[Column]:
+    """Join conditions in which nulls are equal."""
+    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols] or [F.lit(True)]
 
 
-def draw_cuts(df: DataFrame, strata: Sequence[str], draw: str, ranks: Iterable[tuple], rows: int) -> dict[tuple, str]:
+def draw_cuts(df: DataFrame, strata: Sequence[str], draw: str, ranks: Iterable[tuple], counted: DataFrame) -> dict[tuple, str]:
     """Draw value found at one-based ranks inside each stratum: ``{(*stratum, rank): cut}``.
 
-    ``draw`` is a uniform hexadecimal string, so its leading digits cut every stratum,
-    however hot, into even buckets. One pass counts the buckets (a bounded table); a second
-    sorts only the buckets in which a wanted rank falls.
+    ``counted`` is the table of :func:`count_draws`. Each rank falls in one bucket of its stratum; a bucket of more than ``SORT_ROWS`` rows is counted
+    again by its next digits, any other is sorted, so no class is sorted as a whole. Rows of one draw, that is of one case id, on both sides of a
+    cut are an error. Nulls are a stratum like others.
     """
-    spark, ranks = df.sparkSession, sorted(set(ranks))
-    n = len(strata)
-    digits = draw_digits(len({r[:n] for r in ranks}), rows)
-    bucketed = df.withColumn("_b", F.substring(draw, 1, digits)).select(*strata, "_b", draw)
-    wanted: list[tuple] = [(*r[:n], "", r[n], r[n]) for r in ranks]
-    if digits:
-        by_stratum: dict[tuple, list[tuple[str, int]]] = {}
-        for r in bucketed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("n")).collect():
-            by_stratum.setdefault(tuple(r[c] for c in strata), []).append((r["_b"], r["n"]))
-        ends = {s: (sorted(b), list(accumulate(c for _, c in sorted(b)))) for s, b in by_stratum.items()}
-        wanted = []
-        for *s, rank in ranks:
-            buckets, upto = ends[tuple(s)]
-            i = bisect_left(upto, rank)
-            wanted.append((*s, buckets[i][0], rank, rank - (upto[i - 1] if i else 0)))
+    spark, ranks = df.sparkSession, sorted(set(ranks), key=lambda r: [(v is None, v) for v in r])
     fields = [df.schema[c] for c in strata]
-    schema = StructType([*fields, StructField("_b", StringType()), StructField("rank", LongType()), StructField("_local", LongType())])
-    found = spark.createDataFrame(wanted, schema)
-    edges = F.broadcast(found.select(*strata, "_b").distinct())
-    spot = Window.partitionBy(*strata, "_b").orderBy(draw)
-    placed = bucketed.join(edges, [*strata, "_b"], "left_semi").withColumn("_local", F.row_number().over(spot).cast("bigint"))
-    hits = placed.join(F.broadcast(found), [*strata, "_b", "_local"]).select(*strata, "rank", draw).collect()
-    return {tuple(r)[:-1]: r[draw] for r in hits}
+    schema = StructType([*fields, StructField("rank", LongType()), StructField("_up", StringType()), StructField("_rest", LongType())])
+    cuts: dict[tuple, str] = {}
+    open_, digits = [(*r, "", r[-1]) for r in ranks], DIGITS
+    while open_:
+        wanted = F.broadcast(spark.createDataFrame(open_, schema))  # one row for each class and part
+        order = Window.partitionBy(*strata, F.substring("_b", 1, digits - DIGITS)).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counted.withColumn("_cum", F.sum("_n").over(order))
+        inside = (F.substring("c._b", 1, digits - DIGITS) == F.col("w._up")) & (F.col("w._rest") <= F.col("_cum")) & (F.col("w._rest") > F.col("_cum") - F.col("_n"))
+        hit = upto.alias("c").join(wanted.alias("w"), on=[*_same("c", "w", strata), inside])
+        found = hit.select(*[F.col(f"w.{c}") for c in strata], "w.rank", F.col("c._b").alias("_up"), (F.col("w._rest") - F.col("_cum") + F.col("_n")).alias("_rest"), "_n").collect()
+        small = [tuple(r)[:-1] for r in found if r["_n"] <= SORT_ROWS]
+        open_ = [tuple(r)[:-1] for r in found if r["_n"] > SORT_ROWS]
+        if small:
+            cuts |= _sorted_cuts(df, strata, draw, spark.createDataFrame(small, schema), digits)
+        if open_:
+            part = F.broadcast(spark.createDataFrame(open_, schema).select(*strata, "_up").distinct())
+            rows = df.alias("d").join(part.alias("w"), on=[*_same("d", "w", strata), F.substring(f"d.{draw}", 1, digits) == F.col("w._up")], how="left_semi")
+            digits += DIGITS
+            counted = checkpointed(rows.groupBy(*strata, F.substring(draw, 1, digits).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+    return cuts
+
+
+def _sorted_cuts(df: DataFrame, strata: Sequence[str], draw: str, wanted: DataFrame, digits: int) -> dict[tuple, str]:
+    """The draws at places ``_rest`` of the buckets ``_up``."""
+    bucketed = df.select(*strata, F.substring(draw, 1, digits).alias("_up"), draw)
+    edges = F.broadcast(wanted.select(*strata, "_up").distinct())
+    near = bucketed.alias("d").join(edges.alias("w"), on=_same("d", "w", [*strata, "_up"]), how="left_semi")
+    spot = Window.partitionBy(*strata, "_up").orderBy(draw)
+    placed = near.withColumns({"_rest": F.row_number().over(spot).cast("bigint"), "_next": F.lead(draw).over(spot)})
+    hit = placed.alias("d").join(F.broadcast(wanted).alias("w"), on=_same("d", "w", [*strata, "_up", "_rest"]))
+    rows = hit.select(*[F.col(f"w.{c}") for c in strata], "w.rank", F.col(f"d.{draw}").alias("_cut"), "_next").collect()
+    if any(r["_cut"] == r["_next"] for r in rows):
+        raise ValueError("repeated case ids on both sides of a cut")
+    return {tuple(r)[:-2]: r["_cut"] for r in rows}
 
 
 def dense_positions(df: DataFrame, order: str, keys: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:

@@ -16,20 +16,25 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.keys import draw
 from ..session import SMALL_TABLE_ROWS
-from .ordering import draw_cuts
+from .ordering import count_draws, draw_cuts
 
 Counts = dict[tuple, int]
 Interval = tuple[tuple, str, int, int]
 
 
-def class_counts(df: DataFrame, strata: Sequence[str]) -> Counts:
-    """Rows per stratum on the driver; refuses an unbounded catalogue."""
-    rows = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).limit(SMALL_TABLE_ROWS + 1).collect()
+def class_counts(counted: DataFrame, strata: Sequence[str]) -> Counts:
+    """Rows per stratum on the driver, summed from the table of ``count_draws``; refuses an unbounded catalogue. A null class is a class."""
+    rows = counted.groupBy(*strata).agg(F.sum("_n").alias("n")).limit(SMALL_TABLE_ROWS + 1).collect()
     if len(rows) > SMALL_TABLE_ROWS:
         raise ValueError("strata are not a bounded catalogue")
     return {tuple(r[c] for c in strata): r["n"] for r in rows}
 
 
+def _in_order(classes) -> list:
+    """Classes from the smallest up, null last."""
+    return sorted(classes, key=lambda c: (c is None, c))
+
+
 def proportional_quota(counts: Mapping, total: int, minimum: int = 0) -> dict:
     """Largest-remainder share of ``total`` with a floor per class, exact in integers.
 
@@ -41,7 +46,7 @@ def proportional_quota(counts: Mapping, total: int, minimum: int = 0) -> dict:
         return dict(counts)
     if total < minimum * len(counts):
         raise ValueError("the cap must cover every class")
-    order = sorted(counts)
+    order = _in_order(counts)
     quota = {c: max(minimum, counts[c] * total // n) for c in order}
     over = {c: counts[c] * total - quota[c] * n for c in order}  # (target - quota) * n
     for _ in range(total - sum(quota.values())):
@@ -55,17 +60,19 @@ def proportional_quota(counts: Mapping, total: int, minimum: int = 0) -> dict:
     return quota
 
 
-def take_intervals(df: DataFrame, strata: Sequence[str], draw_col: str, intervals: Sequence[Interval], rows: int) -> DataFrame:
+def take_intervals(df: DataFrame, strata: Sequence[str], draw_col: str, intervals: Sequence[Interval], counted: DataFrame) -> DataFrame:
     """Rows whose rank by draw lies in an interval ``(stratum, part, lo, hi]``; adds ``partition``."""
     intervals = [i for i in intervals if i[3] > i[2]]
     if len(intervals) > SMALL_TABLE_ROWS:
         raise ValueError("strata are not a bounded catalogue")
-    cuts = draw_cuts(df, strata, draw_col, [(*s, r) for s, _, lo, hi in intervals for r in (lo, hi) if r > 0], rows)
+    cuts = draw_cuts(df, strata, draw_col, [(*s, r) for s, _, lo, hi in intervals for r in (lo, hi) if r > 0], counted)
     bounds = [(*s, part, cuts[(*s, lo)] if lo else "", cuts[(*s, hi)]) for s, part, lo, hi in intervals]
     schema = StructType([*[df.schema[c] for c in strata], *[StructField(c, StringType()) for c in ("partition", "_after", "_upto")]])
     table = F.broadcast(df.sparkSession.createDataFrame(bounds, schema))
-    hit = df.join(table, list(strata)).where((F.col(draw_col) > F.col("_after")) & (F.col(draw_col) <= F.col("_upto")))
-    return hit.select(*[c for c in df.columns if c != draw_col], "partition")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in strata]
+    within = (F.col(f"d.{draw_col}") > F.col("t._after")) & (F.col(f"d.{draw_col}") <= F.col("t._upto"))
+    hit = df.alias("d").join(table.alias("t"), on=[*same, within])
+    return hit.select(*[F.col(f"d.{c}") for c in df.columns if c != draw_col], "t.partition")
 
 
 def _by_group(counts: Counts) -> dict[tuple, dict]:
@@ -106,47 +113,56 @@ def stratified_split(
 ) -> DataFrame:
     """Named parts by share, in order, then ``rest``; independent of partitioning and row order."""
     drawn = df.withColumn("_draw", draw(seed, case_id))
-    counts = class_counts(df, [*groups, label])
+    counted = count_draws(drawn, [*groups, label], "_draw")
+    counts = class_counts(counted, [*groups, label])
     intervals = [
         ((*g, c), part, lo, hi)
         for g, classes in _by_group(counts).items()
         for c, part, lo, hi in stratified_parts(classes, parts, rest, caps)
     ]
-    return take_intervals(drawn, [*groups, label], "_draw", intervals, sum(counts.values()))
+    return take_intervals(drawn, [*groups, label], "_draw", intervals, counted)
 
 
 def count_split(df: DataFrame, case_id: str, label: str, seed: int | str, parts: Sequence[tuple[str, int]], rest_cap: int, rest: str = "train") -> DataFrame:
     """Stratified parts of absolute size, drawn in turn from what the earlier ones left; the rest is capped."""
     drawn = df.withColumn("_draw", draw(seed, case_id))
-    counts = {c: n for (c,), n in class_counts(df, [label]).items()}
+    counted = count_draws(drawn, [label], "_draw")
+    counts = {c: n for (c,), n in class_counts(counted, [label]).items()}
     start, intervals = dict.fromkeys(counts, 0), []
     for name, size in [*parts, (rest, rest_cap)]:
         quota = proportional_quota({c: n - start[c] for c, n in counts.items() if n > start[c]}, size)
         for c, q in quota.items():
             intervals.append(((c,), name, start[c], start[c] + q))
             start[c] += q
-    return take_intervals(drawn, [label], "_draw", intervals, sum(counts.values()))
+    return take_intervals(drawn, [label], "_draw", intervals, counted)
 
 
-def stratified_cap(
-    df: DataFrame, case_id: str, label: str, cap: int, seed: int | str, groups: Sequence[str] = (), counts: Counts | None = None
-) -> DataFrame:
-    """At most ``cap`` rows per group, proportional by class, every class kept, exactly ``cap`` when larger."""
+def stratified_cap(df: DataFrame, case_id: str, label: str, cap: int, seed: int | str, groups: Sequence[str] = ()) -> DataFrame:
+    """At most ``cap`` rows per group, proportional by class, every class kept, exactly ``cap`` when larger.
+
+    Case ids are unique; a cut that would separate rows of one id is an error. A null class is a class, the last in order.
+    """
     drawn = df.withColumn("_draw", draw(seed, case_id))
-    counts = class_counts(df, [*groups, label]) if counts is None else counts
+    counted = count_draws(drawn, [*groups, label], "_draw")
+    return _capped(drawn, [*groups, label], cap, counted, class_counts(counted, [*groups, label]))
+
+
+def _capped(drawn: DataFrame, strata: Sequence[str], cap: int, counted: DataFrame, counts: Counts) -> DataFrame:
     intervals = [((*g, c), "kept", 0, q) for g, classes in _by_group(counts).items() for c, q in proportional_quota(classes, cap, 1).items()]
-    return take_intervals(drawn, [*groups, label], "_draw", intervals, sum(counts.values())).drop("partition")
+    return take_intervals(drawn, strata, "_draw", intervals, counted).drop("partition")
 
 
 def shared_holdout(
     df: DataFrame, case_id: str, label: str, seed: int | str, cap: int | None = None, excluded: DataFrame | None = None, share: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
     """``(pool, test)``: one test set for all training seeds, free of excluded cases; ``cap`` bounds it where a caller wants that."""
-    counts = class_counts(df, [label])
     allowed = df if excluded is None else df.join(excluded.select(case_id).distinct(), case_id, "left_anti")
-    free = counts if excluded is None else class_counts(allowed, [label])
-    size = min(max(len(counts), ceil(round(share * sum(counts.values()), 9))), sum(free.values()))
-    test = stratified_cap(allowed, case_id, label, size if cap is None else min(cap, size), seed, counts=free)
+    drawn = allowed.withColumn("_draw", draw(seed, case_id))
+    counted = count_draws(drawn, [label], "_draw")
+    free = class_counts(counted, [label])
+    whole = free if excluded is None else class_counts(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), [label])
+    size = min(max(len(whole), ceil(round(share * sum(whole.values()), 9))), sum(free.values()))
+    test = _capped(drawn, [label], size if cap is None else min(cap, size), counted, free)
     pool = df.join(test.select(case_id), case_id, "left_anti")
     return pool, test
 

@@ -64,17 +64,43 @@ def test_cap_is_exact_distinct_and_deterministic(spark):
     assert {r["label"] for r in rows} == {0, 1, 2, 3}
 
 
-def test_counted_buckets_give_the_same_cuts(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [1, 9, 200])
+def test_buckets_counted_again_give_the_same_cuts(spark, monkeypatch, rows):
+    """However small the buckets that are sorted, also where digits are counted several times."""
     df = cases(spark, [5, 60, 900])
-    plain = sorted(sp.stratified_split(df, "case_id", "label", 3, [("test", 0.2), ("policy", 0.25)]).collect())
-    monkeypatch.setattr(ordering, "draw_digits", lambda strata, rows: 2)
-    assert sorted(sp.stratified_split(df, "case_id", "label", 3, [("test", 0.2), ("policy", 0.25)]).collect()) == plain
-
-
-def test_digits_grow_with_the_rows():
-    assert ordering.draw_digits(77, 10_000) == 0
-    assert ordering.draw_digits(77, 10**10) == 3
-    assert ordering.draw_digits(2, 10**10) == 4
+    parts = [("test", 0.2), ("policy", 0.25)]
+    plain = sorted(sp.stratified_split(df, "case_id", "label", 3, parts).collect())
+    monkeypatch.setattr(ordering, "SORT_ROWS", rows)
+    monkeypatch.setattr(ordering, "DIGITS", 1)
+    assert sorted(sp.stratified_split(df, "case_id", "label", 3, parts).collect()) == plain
+
+
+def test_a_null_class_is_a_class(spark):
+    df = cases(spark, [20, 40]).unionByName(spark.createDataFrame([(f"n-{i}", None) for i in range(60)], "case_id string, label int"))
+    kept = {r["label"]: r["count"] for r in sp.stratified_cap(df, "case_id", "label", 24, 5).groupBy("label").count().collect()}
+    assert kept == {0: 4, 1: 8, None: 12}
+    whole = sp.stratified_split(df, "case_id", "label", 2, [("test", 0.5)])
+    assert whole.count() == 120 and whole.where("label is null and partition = 'test'").count() == 30
+    pool, test = sp.shared_holdout(df, "case_id", "label", 1)
+    assert (pool.count(), test.count()) == (96, 24)
+
+
+def test_repeated_ids_do_not_stretch_a_cap(spark):
+    """Copies of an id share its draw: a cap that falls between them is an error, and never exceeded."""
+    df = spark.range(40).select((F.col("id") % 20).cast("string").alias("case_id"), F.lit(0).alias("label"))
+    assert sp.stratified_cap(df, "case_id", "label", 10, 1).count() == 10
+    with pytest.raises(ValueError, match="repeated"):
+        sp.stratified_cap(df, "case_id", "label", 11, 1)
+
+
+def test_many_strata_and_a_hot_one(spark, monkeypatch):
+    """3,000 small groups beside one large: the large one's bucket is counted again, the small ones are not."""
+    monkeypatch.setattr(ordering, "SORT_ROWS", 50)
+    hot = spark.range(20_000).select(F.concat(F.lit("h"), F.col("id")).alias("case_id"), F.lit(0).alias("label"), F.lit(-1).alias("g"))
+    cold = spark.range(9_000).select(F.concat(F.lit("c"), F.col("id")).alias("case_id"), (F.col("id") % 3).cast("int").alias("label"), F.expr("cast(id div 9 as int)").alias("g"))
+    out = sp.stratified_split(hot.unionByName(cold), "case_id", "label", 7, [("test", 0.25)], groups=["g"])
+    sizes = {r["g"]: r["n"] for r in out.where("partition = 'test'").groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert sizes[-1] == 5000 and {n for g, n in sizes.items() if g >= 0} == {3} and out.count() == 29_000
 
 
 def test_partitions_are_disjoint_and_cover_every_class(spark):
