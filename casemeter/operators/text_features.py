@@ -1,103 +1,21 @@
-"""TF-IDF, character n-grams and chi-square selection in SQL, fitted on training texts only.
-
-The statistics a vocabulary needs (corpus frequency, document frequency) come from
-explodes that combine map-side by term, so fitting never shuffles (document, term) pairs.
-The vocabulary is bounded by ``max_features`` and broadcast after a size check.
-"""
+"""Term selection by chi-square, and the cutting of texts into words."""
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import ratio
-from ..functions.text import with_bigrams, word_tokens
 from ..session import small_table
 
 #: Lengths of the character n-grams.
 GRAM_LENGTHS = (3, 4, 5)
 
 
-def with_word_terms(docs: DataFrame, text: str) -> DataFrame:
-    """Add ``_t``, the lower-cased words and word pairs; the words are a column of their own so that they are cut once."""
-    return docs.withColumn("_words", word_tokens(F.col(text))).withColumn("_t", with_bigrams(F.col("_words")))
-
-
 def words(text: Column) -> Column:
     """Whitespace-separated lower-case words (input of the character n-grams)."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def _each(df: DataFrame, terms: Column, *keep: str | Column, name: str = "term") -> DataFrame:
-    """One row per array element.
-
-    An outer explode: for an inner one the optimizer would put a filter on the array's size
-    under it, and with it a second evaluation of the whole tokenisation.
-    """
-    return df.select(*keep, F.explode_outer(terms).alias(name)).where(F.col(name).isNotNull())
-
-
-def _vocabulary(frequency: DataFrame, occurrences: DataFrame, total: DataFrame, max_features: int, counted: Column | None = None) -> DataFrame:
-    """Top terms by corpus frequency (ties by term) with a smooth inverse document frequency.
-
-    ``occurrences`` is cut to the kept terms before its documents are counted: its rows by
-    default, the distinct values of ``counted`` where a term may repeat in a document.
-    """
-    top = frequency.orderBy(F.desc("frequency"), "term").limit(max_features)
-    n = total.agg(F.count(F.lit(1)).alias("n")).scalar()
-    kept = small_table(top, max_features)
-    documents = F.count(F.lit(1)) if counted is None else F.count_distinct(counted)
-    found = occurrences.join(kept, "term").groupBy("term", "frequency").agg(documents.alias("documents"))
-    return found.select("term", "frequency", "documents", (F.log((1 + n) / (1.0 + F.col("documents"))) + 1).alias("idf"))
-
-
-def _gram_rows(df: DataFrame, word: str, *keep: str) -> DataFrame:
-    """Character n-grams of a word column as rows: positions first, then the three lengths, all compiled."""
-    padded = df.select(*keep, F.concat(F.lit(" "), F.col(word), F.lit(" ")).alias("_p"))
-    placed = _each(padded, F.sequence(F.lit(1), F.length("_p") - (GRAM_LENGTHS[0] - 1)), *keep, "_p", name="_at")
-    gram = lambda n: F.when(F.col("_at") + (n - 1) <= F.length("_p"), F.substring("_p", F.col("_at"), F.lit(n)))
-    return _each(placed, F.array(*[gram(n) for n in GRAM_LENGTHS]), *keep)
-
-
-def fit_word_vocabulary(train: DataFrame, text: str, max_features: int) -> DataFrame:
-    terms = with_word_terms(train.select(text), text).select("_t")
-    frequency = _each(terms, F.col("_t")).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
-    return _vocabulary(frequency, _each(terms, F.array_distinct("_t")), train, max_features)
-
-
-def fit_char_vocabulary(train: DataFrame, doc_id: str, text: str, max_features: int) -> DataFrame:
-    """Character n-grams inside words: frequencies expand distinct words, document counts the distinct words of a document."""
-    tokens = train.select(doc_id, words(F.col(text)).alias("_w"))
-    by_word = _each(tokens, F.col("_w"), name="_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
-    frequency = _gram_rows(by_word, "_word", "_n").groupBy("term").agg(F.sum("_n").alias("frequency"))
-    occurrences = _gram_rows(_each(tokens, F.array_distinct("_w"), doc_id, name="_word"), "_word", doc_id)
-    return _vocabulary(frequency, occurrences, train, max_features, F.col(doc_id))
-
-
-def _weigh(terms: DataFrame, doc_id: str, vocabulary: DataFrame, max_features: int) -> DataFrame:
-    """``doc_id, term, weight``: sublinear term frequency x idf, each document of unit length.
-
-    Terms outside the vocabulary are dropped before the one shuffle, by document; the count
-    and the norm both reuse that partitioning.
-    """
-    known = terms.join(small_table(vocabulary.select("term", "idf"), max_features), "term").repartition(doc_id)
-    counted = known.groupBy(doc_id, "term").agg(F.sum("_n").alias("_tf"), F.first("idf").alias("_idf"))
-    raw = counted.withColumn("_w", (1 + F.log(F.col("_tf").cast("double"))) * F.col("_idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc_id)))
-    return raw.select(doc_id, "term", (F.col("_w") / norm).alias("weight"))
-
-
-def word_weights(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame, max_features: int) -> DataFrame:
-    terms = _each(with_word_terms(docs.select(doc_id, text), text), F.col("_t"), doc_id).withColumn("_n", F.lit(1))
-    return _weigh(terms, doc_id, vocabulary, max_features)
-
-
-def char_weights(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame, max_features: int) -> DataFrame:
-    exploded = _each(docs.select(doc_id, words(F.col(text)).alias("_w")), F.col("_w"), doc_id, name="_word")
-    terms = _gram_rows(exploded, "_word", doc_id).withColumn("_n", F.lit(1))
-    return _weigh(terms, doc_id, vocabulary, max_features)
-
-
 def chi_square(weights: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     """Chi-square of summed weights per class against the class shares: ``term, chi2``."""
     shares = labels.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
@@ -114,15 +32,3 @@ def select_terms(scores: DataFrame, k: int) -> DataFrame:
     """Best ``k`` terms, in order, with their position in the selected representation."""
     top = scores.orderBy(F.desc("chi2"), "term").limit(k)
     return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("chi2"), "term")) - 1)
-
-
-_sparse = F.udf(lambda entries, size: Vectors.sparse(size, [(e[0], e[1]) for e in entries]), VectorUDT())
-
-
-def sparse_vectors(docs: DataFrame, weights: DataFrame, doc_id: str, positions: DataFrame, size: int, out: str = "features") -> DataFrame:
-    """Attach one sparse vector per document (all zeros for a document without known terms)."""
-    placed = weights.join(small_table(positions.select("term", "position"), size), "term")
-    entries = placed.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("position", "weight"))).alias("_e"))
-    joined = docs.join(entries, doc_id, "left")
-    empty = F.array().cast("array<struct<position:int,weight:double>>")
-    return joined.withColumn(out, _sparse(F.coalesce("_e", empty), F.lit(size))).drop("_e")

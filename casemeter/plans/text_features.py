@@ -1,19 +1,21 @@
-"""Text features on whole documents."""
+"""Text features on whole documents: vocabularies of the training documents, weights of all."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import text_features as tf
+from ..operators import representations as rp, sparse_text as st, split as sp, text_features as tf
 from .bindings import TEXTS_SQL, spread, table, texts
 from .catalog import query
 
 WORDS, CHARS, SELECTED = 400, 300, 50
+_TRAIN = "cast('0x' || substr(sha256('62|' || cast(doc_id as varchar)), 1, 13) as ubigint) % 10 < 8"
 
 
 def _idf_sql(source, limit):
-    return f"""nn as (select count(*) as n from docs), frq as (select term, sum(c) as f, count(*) as df from {source} group by 1 order by f desc, term limit {limit}),
+    return f"""trn as (select doc_id from docs where {_TRAIN}), nn as (select count(*) as n from trn),
+    frq as (select term, sum(c) as f, count(*) as df from {source} join trn using (doc_id) group by 1 order by f desc, term limit {limit}),
     voc as (select term, f, df, ln((1 + n) / (1e0 + df)) + 1 as idf from frq, nn),
     rw as (select doc_id, s.term, (1 + ln(c)) * idf as w from {source} s join voc using (term)),
     tw as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from rw)"""
@@ -30,17 +32,34 @@ _DOCS = "select doc_id, text from documents"
 _LABELLED = "select doc_id, text from texts"
 
 
+def _split(df):
+    """Training documents and the others by a draw of their id."""
+    return sp.group_split(df, "doc_id", 62, [("train", 8), ("test", 2)])
+
+
+def _documents(spark, sf):
+    return spread(_split(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def _weights(spark, docs, terms, size):
+    """Terms of every document with their weights, and the vocabulary of the training documents."""
+    vocabulary = st.fit_vocabulary(docs.where("partition = 'train'"), terms, size)
+    names = F.broadcast(vocabulary.frame(spark).select(F.col("term").alias("name"), "position"))
+    entries = rp.sparse_entries(st.encode(docs, [(terms, vocabulary)], ["doc_id"]), "doc_id")
+    return entries.join(names, F.col("term") == F.col("position")).select("doc_id", F.col("name").alias("term"), "weight"), vocabulary
+
+
 @query("fe1_word_vocabulary", f"with {_word_sql(_DOCS)} select term, cast(f as bigint) as frequency, df as documents, round(idf, 6) as idf from voc")
 def fe1v(spark, sf):
-    voc = tf.fit_word_vocabulary(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", WORDS)
-    return voc.withColumn("idf", r6(F.col("idf")))
+    train = _documents(spark, sf).where("partition = 'train'")
+    voc = st.fit_vocabulary(train, st.word_terms(F.col("text")), WORDS).frame(spark)
+    return voc.select("term", "frequency", "documents", r6(F.col("idf")).alias("idf"))
 
 
 @query("fe1_word_tfidf", f"with {_word_sql(_DOCS)} select doc_id, term, round(weight, 6) as weight from tw")
 def fe1(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    voc = tf.fit_word_vocabulary(docs, "text", WORDS)
-    return tf.word_weights(docs, "doc_id", "text", voc, WORDS).withColumn("weight", r6(F.col("weight")))
+    weights, _ = _weights(spark, _documents(spark, sf), st.word_terms(F.col("text")), WORDS)
+    return weights.withColumn("weight", r6(F.col("weight")))
 
 
 @query(
@@ -50,20 +69,21 @@ def fe1(spark, sf):
         dt as (select doc_id, term, sum(k) as c from grm group by 1, 2), {_idf_sql('dt', CHARS)} select doc_id, term, round(weight, 6) as weight from tw""",
 )
 def fe2(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    voc = tf.fit_char_vocabulary(docs, "doc_id", "text", CHARS)
-    return tf.char_weights(docs, "doc_id", "text", voc, CHARS).withColumn("weight", r6(F.col("weight")))
+    weights, _ = _weights(spark, _documents(spark, sf), st.char_terms(F.col("text")), CHARS)
+    return weights.withColumn("weight", r6(F.col("weight")))
 
 
-_CHI = f"""{TEXTS_SQL}, {_word_sql(_LABELLED)}, cls as (select label, count(*) / sum(count(*)) over () as share from texts group by 1),
-  obs as (select term, label, sum(weight) as o from tw join texts using (doc_id) group by 1, 2), tot as (select term, sum(o) as t from obs group by 1),
+_CHI = f"""{TEXTS_SQL}, {_word_sql(_LABELLED)}, own as (select doc_id, label from texts join trn using (doc_id)), cls as (select label, count(*) / sum(count(*)) over () as share from own group by 1),
+  obs as (select term, label, sum(weight) as o from tw join own using (doc_id) group by 1, 2), tot as (select term, sum(o) as t from obs group by 1),
   chi as (select tot.term, sum(pow(coalesce(o, 0) - t * share, 2) / (t * share)) as chi2 from tot cross join cls left join obs on obs.term = tot.term and obs.label = cls.label group by 1)"""
 
 
 def _chi(spark, sf):
-    df = texts(spark, sf).select("doc_id", "text", "label")
-    weights = tf.word_weights(df, "doc_id", "text", tf.fit_word_vocabulary(df, "text", WORDS), WORDS)
-    return tf.chi_square(weights, df, "doc_id", "label")
+    """Chi-square of the terms over the training documents."""
+    df = _split(texts(spark, sf).select("doc_id", "text", "label"))
+    train = df.where("partition = 'train'")
+    weights, _ = _weights(spark, train, st.word_terms(F.col("text")), WORDS)
+    return tf.chi_square(weights, train, "doc_id", "label")
 
 
 @query("fe3_chi_square", f"with {_CHI} select term, round(chi2, 6) as chi2 from chi")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from casemeter.operators import ensembles as en, models as mo, neighbours as nb, stats as st, text_features as tf
+from casemeter.operators import ensembles as en, models as mo, neighbours as nb, stats as st
 
 
 @pytest.mark.parametrize("count", [1, 4, 10, 11, 60, 5000, 10**9])
@@ -100,17 +100,6 @@ def test_votes(spark):
     assert {r["c"]: r["prediction"] for r in en.soft_vote(df, ["c"], 2, 2).collect()} == {"c": 0, "d": -1}
 
 
-def test_tfidf_by_hand(spark):
-    df = spark.createDataFrame([(1, "Bad bad film"), (2, "good film")], "d int, text string")
-    voc = tf.fit_word_vocabulary(df, "text", 100)
-    idf = {r["term"]: r["idf"] for r in voc.collect()}
-    assert idf["film"] == pytest.approx(1) and idf["bad"] == pytest.approx(np.log(3 / 2) + 1)
-    w = {r["term"]: r["weight"] for r in tf.word_weights(df, "d", "text", voc, 100).where("d = 1").collect()}
-    raw = {"bad": (1 + np.log(2)) * idf["bad"], "film": 1.0, "bad bad": idf["bad bad"], "bad film": idf["bad film"]}
-    norm = np.sqrt(sum(v * v for v in raw.values()))
-    assert w == {k: pytest.approx(v / norm) for k, v in raw.items()}
-
-
 def test_search_records_failures(spark):
     rng = np.random.default_rng(6)
     rows = [(int(i % 2), [float(i % 2 + rng.normal(0, 0.3)), float(rng.normal())]) for i in range(120)]
