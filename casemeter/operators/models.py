@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from math import pi, sqrt
 from typing import Any
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
@@ -74,8 +73,8 @@ def estimator(c: Candidate, classes: int, rows: int, seed: int, trees: int = 20,
     """Spark estimator of a candidate.
 
     ``C`` follows the sum-of-losses convention, so the regulariser is ``1 / (C n)``. The
-    RBF machine is a linear one on random Fourier features, and the randomised forest a
-    forest on all rows with few split points: both approximate what Spark does not have.
+    RBF machine is a linear one on the features of :mod:`kernels`. The randomised forest here is a
+    forest on all rows with few split points; :mod:`extra_trees` and :mod:`boosting` are builders of their own.
     """
     io = {"featuresCol": features, "labelCol": label}
     weight = {"weightCol": WEIGHT} if c.balanced else {}
@@ -166,7 +165,7 @@ def search(options: Sequence[Candidate], train: DataFrame, validation: DataFrame
             model = fit(c, train, classes, seed, label, features, **kw)
             value = _validation_value(score(model, validation, classes, [label]), classes, label)
         except Exception as problem:  # noqa: BLE001  one bad setting must not end the search
-            error = f"{type(problem).__name__}: {problem}"[:300]
+            error = f"{type(problem).__name__}: {problem}"
         params = {k: str(v) for k, v in c.params.items()}
         rows.append((c.family, i, params, c.balanced, value, c.extra.get("rounds"), time.perf_counter() - started, error))
     train.unpersist(), validation.unpersist()
@@ -196,20 +195,6 @@ def refit(trials: DataFrame, options: Sequence[Candidate], train: DataFrame, val
     return chosen, fit(chosen, train.unionByName(validation), classes, seed, **kw)
 
 
-def fourier_features(df: DataFrame, vector: str, dims: int, size: int, gamma: float, seed: int, out: str = "features") -> DataFrame:
-    """Random Fourier features of an RBF kernel (Rahimi and Recht, 2007) as a column expression.
-
-    The projection is a literal of ``size x dims`` numbers drawn from the seed.
-    """
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, sqrt(2 * gamma), (size, dims))
-    b = rng.uniform(0.0, 2 * pi, size)
-    rows = ",".join(f"struct(array({','.join(f'{x!r}D' for x in map(float, r))}) as w, {float(o)!r}D as b)" for r, o in zip(w, b))
-    dot = lambda r: F.aggregate(F.zip_with(F.col(vector), r["w"], lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    cos = F.transform(F.expr(f"array({rows})"), lambda r: F.lit(sqrt(2 / size)) * F.cos(dot(r) + r["b"]))
-    return df.withColumn(out, array_to_vector(cos))
-
-
 def dense_pipeline(vector: str = "features") -> Pipeline:
     """Scaling fitted on whatever rows ``fit`` is given: training rows for selection, plus validation for the refit."""
     return Pipeline(stages=[StandardScaler(inputCol=vector, outputCol="scaled", withMean=True, withStd=True)])

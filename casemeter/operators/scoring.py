@@ -26,7 +26,7 @@ def _answer(batch: pd.DataFrame, provider: Provider, key: str) -> pd.DataFrame:
     try:
         given = provider(batch)
     except Exception as error:  # noqa: BLE001  a failing provider must not lose the cases
-        return blank.assign(reason=f"{type(error).__name__}: {error}"[:200])
+        return blank.assign(reason=f"{type(error).__name__}: {error}")
     given = given.drop_duplicates(key).set_index(key).reindex(batch[key])
     status = given["status"] if "status" in given else pd.Series("ok", index=given.index)
     status = status.where(given["prediction"].notna(), "failed").fillna("ok")

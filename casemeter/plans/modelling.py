@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import ensembles as en, models as mo, neighbours as nb, split as sp, table_features as tb
+from ..operators import ensembles as en, kernels as kn, models as mo, neighbours as nb, split as sp, table_features as tb
 from ..session import checkpointed
 from .bindings import CASES_SQL, cases, predictions, predictions_sql, table
 from .catalog import query
@@ -138,13 +138,53 @@ query("ml8_gaussian_estimator")(_fitted("naive_bayes", False, {"modelType": "gau
 query("ml19_uniform_scores")(_fitted("logistic_regression", True, params=1))
 
 
+LANDMARKS, GAMMA = 300, 0.5
+_MARKS = f"""{_VEC}, mark as (select *, row_number() over (order by sha256('7|' || cast(vec_id as varchar)), vec_id) as place from vecs where partition = 'train'),
+  lm as (select * from mark where place <= {LANDMARKS})"""
+_SQUARE = "list_sum(list_transform(range(1, 65), lambda i: pow(x.embedding[i]::double - y.embedding[i]::double, 2)))"
+
+
+def _kernel(spark, sf):
+    v = vectors(spark, sf).select("vec_id", (F.col("label") % 2).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"), "partition")
+    marks = kn.fit(v.where("partition = 'train'"), "vec_id", "embedding", 64, GAMMA, LANDMARKS, 7)
+    return checkpointed(kn.transform(marks, v, "embedding").drop("embedding")), marks
+
+
 @query("ml3_rbf_svm")
 def ml3(spark, sf):
-    v = vectors(spark, sf).select("vec_id", (F.col("label") % 2).cast("int").alias("label"), "embedding", "partition")
-    mapped = mo.fourier_features(v, "embedding", 64, 64, 0.05, 7)
-    train, test = mapped.where("partition = 'train'"), mapped.where("partition = 'test'")
-    model = mo.fit(mo.Candidate("rbf_svm", {"C": 3.0}), train, 2, 7)
-    return mo.score(model, test, 2, ["vec_id", "label"])
+    rows, _ = _kernel(spark, sf)
+    rows = rows.withColumn("features", array_to_vector("kernel"))
+    model = mo.fit(mo.Candidate("rbf_svm", {"C": 3.0}), rows.where("partition = 'train'"), 2, 7)
+    return mo.score(model, rows.where("partition = 'test'"), 2, ["vec_id", "label"])
+
+
+@query(
+    "ml3_landmark_kernel",
+    f"""with {_MARKS} select x.vec_id, y.vec_id as landmark_id, round(exp(-{GAMMA} * {_SQUARE}), 4) as kernel from vecs x, lm y where x.partition = 'test' and y.place <= 5""",
+)
+def ml3k(spark, sf):
+    """Inner products of test rows and the first landmarks, which equal the kernel."""
+    rows, marks = _kernel(spark, sf)
+    first = F.broadcast(rows.where(F.col("vec_id").isin(marks.ids[:5])).select(F.col("vec_id").alias("landmark_id"), F.col("kernel").alias("other")))
+    pairs = rows.where("partition = 'test'").crossJoin(first)  # five landmarks
+    return pairs.select("vec_id", "landmark_id", F.round(kn.kernel_of("kernel", "other"), 4).alias("kernel"))
+
+
+@query(
+    "ml3_kernel_error",
+    f"""with {_MARKS} select x.vec_id, y.vec_id as other_id, round(exp(-{GAMMA} * {_SQUARE}), 6) as kernel, true as close
+        from vecs x join vecs y on y.vec_id in (x.vec_id + 1, x.vec_id + 2) where x.partition = 'test' and y.partition = 'test'""",
+)
+def ml3e(spark, sf):
+    """Neighbouring test rows: the exact kernel, and whether the features are within 0.1 of it."""
+    rows, _ = _kernel(spark, sf)
+    test = rows.where("partition = 'test'").join(vectors(spark, sf).select("vec_id", F.col("embedding").alias("v")), "vec_id")
+    placed = test.withColumn("next", F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 2)))
+    other = test.select(F.col("vec_id").alias("other_id"), F.col("kernel").alias("other"), F.col("v").alias("w"))
+    pairs = placed.join(other, F.col("next") == F.col("other_id"))
+    square = F.aggregate(F.zip_with("v", "w", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
+    exact = F.exp(-F.lit(GAMMA) * square)
+    return pairs.select("vec_id", "other_id", F.round(exact, 6).alias("kernel"), (F.abs(kn.kernel_of("kernel", "other") - exact) < 0.1).alias("close"))
 
 
 def _search(spark, sf):

@@ -219,3 +219,33 @@ def test_forest_learns_and_ignores_partitions(spark):
             if node.feature >= 0:
                 assert node.low[node.feature] <= node.cut <= node.high[node.feature]
                 assert (tree[2 * n + 1].counts + tree[2 * n + 2].counts == node.counts).all() and min(tree[2 * n + 1].counts.sum(), tree[2 * n + 2].counts.sum()) >= 2
+
+
+# ---- kernels ----------------------------------------------------------------------------
+
+
+def test_landmarks_reproduce_the_kernel(spark):
+    from casemeter.operators import kernels as kn
+
+    x, _ = blobs(8, 120)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>").repartition(4)
+    marks = kn.fit(rows, "id", "v", 6, 0.3, 40, 1)
+    again = kn.fit(rows.repartition(2), "id", "v", 6, 0.3, 40, 1)
+    assert marks.ids == again.ids and len(set(marks.ids)) == 40
+    odd = spark.createDataFrame([(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0])], "id int, v array<double>")
+    got = {r["id"]: r["kernel"] for r in kn.transform(marks, rows.unionByName(odd), "v").collect()}
+    assert got[500] is None and got[501] is None and len(got) == 122
+    z = np.array([got[i] for i in range(120)])
+    exact = kn.rbf(x, x, 0.3)
+    assert z @ z[marks.ids].T == pytest.approx(exact[:, marks.ids], abs=1e-6)
+    # Between other rows the error falls as landmarks are added, and is gone when all rows are.
+    errors = []
+    for count in (10, 40, 120):
+        m = kn.fit(rows, "id", "v", 6, 0.3, count, 1)
+        w = kn.rbf(x, m.rows, 0.3) @ m.root
+        errors.append(np.abs(w @ w.T - exact).mean())
+    assert errors[0] > errors[1] > errors[2] and errors[2] < 1e-6
+    with pytest.raises(ValueError):
+        kn.fit(rows, "id", "v", 6, 0.3, kn.MAX_LANDMARKS + 1)
+    with pytest.raises(ValueError, match="no training row"):
+        kn.fit(odd, "id", "v", 6, 0.3)
