@@ -4,8 +4,9 @@ Documents with equal shingle sets collapse to one class before anything is compa
 ``BINS`` bins; an empty bin copies a filled one that a hash of (bin, attempt) selects, so each bin agrees with the
 probability of the Jaccard similarity. Bands of bins name buckets. A bucket proposes star edges to its smallest and its
 largest class. What the stars leave apart in one bucket is compared too: members outside the bucket's largest
-component against those of other components, each pair once and only where sizes and, if the smaller set has ``BIT_TEST_FROM`` shingles or more, one bit of each bin allow it: in smaller sets one
-shingle fills many bins by densification and all its copies carry the same bit. So no link inside a bucket is lost, and a bucket whose members belong
+component against those of other components. In a bucket of over ``CROWD`` members (a passage that many unlike documents share) the members are keyed anew by
+their rarest bins first, so many that two classes which agree in enough bins share one, and only those that do are compared. A pair is
+compared by size and sketch where it meets, in crowds by the sets themselves unless they are large; only those that may be links leave a task. So no link inside a bucket is lost, and a bucket whose members belong
 together costs a star. A pair is dropped early only where the agreeing bins are over 0.2 below the threshold, five or
 more standard deviations; a sketch keeps 8 bits of each bin, which can only make more bins agree. Links are confirmed on the
 full sets, which are made anew from the texts of the candidates and never stored.
@@ -14,19 +15,27 @@ full sets, which are made anew from the texts of the candidates and never stored
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casemeter.llm.common import one_array, slices, written
 from casemeter.llm.graph import components
 from casemeter.llm.words import U, mix, split, windows
 
 BINS, BAND = 128, 4
-BIT_TEST_FROM = 64
+#: Members of a group that one task compares with one another.
+BLOCK = 1024
+#: Members of a bucket that are paired directly where stars leave them apart; a larger bucket's members are keyed anew by their rarest bins.
+CROWD = 64
+#: Shingles up to which a class of a crowd is compared by its set rather than by its sketch alone.
+WHOLE = 512
+#: How far the share of agreeing bins may lie below the similarity of a link before a pair is dropped.
+_SLACK = 0.2
 _ATTEMPTS = 2048
 _BITS = 22
 
@@ -76,7 +85,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return filled.astype(np.uint32)
 
 
-_SETS = "row long, doc_id long, node binary, n_shingles long, sketch binary, low long, high long, bands array<long>, text string"
+_SETS = "row long, doc_id long, node binary, n_shingles long, sketch binary, bands array<long>, text string"
 
 
 def band_keys(table: np.ndarray) -> np.ndarray:
@@ -95,15 +104,12 @@ def _sets(size: int):
             some = [s for s in sets if len(s)]
             signed = signatures(some) if some else np.zeros((0, BINS), np.uint32)
             sketches, keys = iter((signed & 255).astype(np.uint8)), iter(band_keys(signed).view(np.int64))
-            bits = iter(np.packbits((signed & 1).astype(np.uint8), axis=1).view(np.int64))
-            halves = [next(bits).tolist() if len(s) else (None, None) for s in sets]
             nodes = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([next(sketches).tobytes() if len(s) else None for s in sets], pa.binary()),
-                 pa.array([low for low, _ in halves], pa.int64()), pa.array([high for _, high in halves], pa.int64()),
                  pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())), batch.column("text")],
-                names=["row", "doc_id", "node", "n_shingles", "sketch", "low", "high", "bands", "text"],
+                names=["row", "doc_id", "node", "n_shingles", "sketch", "bands", "text"],
             )
 
     return run
@@ -161,7 +167,7 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     side = lambda x, *more: classes.select(F.col("node").alias(x), *[F.col(c).alias(n) for c, n in more])
     sized = pairs.join(side("a", ("n_shingles", "na"), ("sketch", "sa")), "a").join(side("b", ("n_shingles", "nb"), ("sketch", "sb")), "b")
     sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = written(sized.select("a", "b", "sa", "sb").mapInArrow(_alike(percent / 100 - 0.2), "a binary, b binary"))
+    near = written(sized.select("a", "b", "sa", "sb").mapInArrow(_alike(percent / 100 - _SLACK), "a binary, b binary"))
     bits = _marked(near.select(F.explode(F.array("a", "b")).alias("node")))
     texts = rows.where("node is not null").select("node", "text", _cell(F.col("node")).alias("cell")).mapInArrow(_wanted(bits), "node binary, text string")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")))
@@ -169,10 +175,136 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     return written(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(size, percent), "a binary, b binary"))
 
 
-def _bits_allow(percent: int) -> Column:
-    """Whether one bit of each bin leaves a link of x and y possible; small sets are not tested."""
-    differ = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high_x").bitwiseXOR(F.col("high_y")))
-    return (F.least("n_shingles_x", "n_shingles_y") < BIT_TEST_FROM) | (differ <= BINS / 2 * (1.3 - percent / 100))
+def _full_signatures(size: int, bits: np.ndarray):
+    """Signatures of the texts whose class may be marked, in 32 bits for each bin, and the sets themselves, in 32 bits for each shingle, where they are small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _wanted(bits)(batches):
+            for part in slices([batch], "text"):
+                sets = shingle_sets(split(part.column("text"), fold=True), size)
+                small = [np.unique(x.astype(np.uint32)).tobytes() if len(x) <= WHOLE else None for x in sets]
+                signed = [row.tobytes() for row in signatures(sets)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(signed, pa.binary()), pa.array(small, pa.binary())], names=["node", "sig", "set"])
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each bin of a signature: bin and value as one number."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            values = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64)
+            keys = values | (np.arange(BINS) << 32)
+            at = pa.array(np.repeat(np.arange(len(values)), BINS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("node").take(at), part.column("label").take(at)], names=["key", "node", "label"])
+
+
+def _rare_tokens(crowd: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node, label): the rarest bins of each class of ``crowd`` (node, label), as many as two classes that agree in enough bins must share one of; and
+    (node, set) of the crowd.
+
+    With t bins to agree in, two classes share one of the rarest ``BINS - t + 1`` of each, in any one order of all values; the order is by their number in
+    the crowd. A value that one class alone has takes its place among the rarest and needs no row.
+    """
+    prefix = BINS - math.ceil(BINS * (percent / 100 - _SLACK)) + 1
+    marked = rows.where("node is not null").select("node", "text", _cell(F.col("node")).alias("cell"))
+    signed = marked.mapInArrow(_full_signatures(size, _marked(crowd)), "node binary, sig binary, set binary")
+    signed = written(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.first("set").alias("set")).join(crowd, "node"))
+    tokens = signed.select("node", "label", "sig").mapInArrow(_tokens, "key long, node binary, label binary")
+    shared = tokens.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    known = tokens.join(shared, "key")
+    order, whole = Window.partitionBy("node").orderBy("n", "key"), Window.partitionBy("node")
+    rank = F.row_number().over(order) + F.lit(BINS) - F.count("*").over(whole)
+    return written(known.withColumn("rank", rank).where(F.col("rank") <= prefix).select("key", "node", "label")), signed.select("node", "set")
+
+
+def _shared(sets: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all sets as places in one list, bounds of each, and the list's marks; a set that is not there has none."""
+    flat = np.concatenate([x for x in sets if x is not None] or [np.zeros(0, np.uint32)])
+    names, place = np.unique(flat, return_inverse=True)
+    return place, np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in sets])]), np.zeros(len(names), bool)
+
+
+def _compared(percent: int):
+    """Pairs of different components in a group, or between two blocks of one, that sizes and sketches allow.
+
+    Rows come sorted by (key, lower, upper); only the rows of an unfinished group wait for the next batch.
+    """
+    floor = math.ceil(BINS * (percent / 100 - _SLACK))
+    names = ("key", "lower", "upper")
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        node = one_array(rows.column("node"))
+        column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        key, lower, upper, block, size, top = (column(c) for c in (*names, "block", "n_shingles", "is_top"))
+        label = one_array(rows.column("label")).dictionary_encode().indices.to_numpy()
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(lower) != 0) | (np.diff(upper) != 0)) + 1
+        sets = [None if x is None else np.frombuffer(x, np.uint32) for x in rows.column("set").to_pylist()]
+        whole = np.array([x is not None for x in sets])
+        left, right = [], []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            at = np.arange(a, b)
+            place, bounds, marks = _shared(sets[a:b]) if whole[a:b].any() else (None, None, None)
+            own = at[~top[a:b]]
+            for i in own.tolist():
+                # Two members that are not of the largest component meet once, in the order of their places.
+                other = at[(label[a:b] != label[i]) & (top[a:b] | (at > i))]
+                if lower[a] != upper[a]:
+                    other = other[block[other] != block[i]]
+                other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+                other = other[(sketch[other] == sketch[i]).sum(1) >= floor]
+                if whole[i] and len(other):
+                    marks[place[bounds[i - a] : bounds[i - a + 1]]] = True
+                    sums = np.concatenate([[0], np.cumsum(marks[place])])
+                    marks[:] = False
+                    both = sums[bounds[other - a + 1]] - sums[bounds[other - a]]
+                    other = other[~whole[other] | (100 * both >= percent * (size[other] + size[i] - both))]
+                left.append(np.full(len(other), i)), right.append(other)
+        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
+        if len(x):
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(x)), node.take(pa.array(y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wait.append(batch)
+            if sum(b.num_rows for b in wait) < 1 << 14:
+                continue
+            rows = pa.Table.from_batches(wait)
+            last = [rows.column(c)[-1].as_py() for c in names]
+            same = np.logical_and.reduce([rows.column(c).to_numpy() == v for c, v in zip(names, last)])
+            open_ = int(np.flatnonzero(~same).max(initial=-1)) + 1
+            if open_:
+                yield from compare(rows.slice(0, open_))
+                wait = rows.slice(open_).combine_chunks().to_batches()
+        if wait:
+            yield from compare(pa.Table.from_batches(wait))
+
+    return run
+
+
+def _apart(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one group of ``groups`` (key, node, label) that sizes and sketches, and small sets themselves, allow.
+
+    ``classes`` has node, n_shingles, sketch and set, which may be null.
+
+    Members of a group's largest component are not compared with one another, nor is any component within itself. A group of more than ``BLOCK``
+    members is cut into blocks, and each two blocks are compared by themselves. Only pairs that may be links leave a task.
+    """
+    counts = groups.groupBy("key", "label").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    split_ = groups.join(counts.select("key", "top", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    split_ = split_.withColumn("block", F.pmod(F.hash("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split_ = split_.select("key", "node", "label", (F.col("label") == F.col("top")).alias("is_top"), "block", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"))
+    facts = split_.join(classes.select("node", "n_shingles", "sketch", "set"), "node")
+    names = ["key", "lower", "upper"]
+    found = facts.repartition(*names).sortWithinPartitions(*names).mapInArrow(_compared(percent), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -185,27 +317,24 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(rows.mapInArrow(_sets(size), _SETS))
-    classes = rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "low", "high", "bands")])
+    classes = rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")])
     classes = written(classes)
     members = classes.select(F.explode("bands").alias("key"), "node").repartition("key")
     stars = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = written(members.join(stars, "key"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end").select(*pair("node", "end"))
+    ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    pairs = ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
     tried = written(pairs.distinct())
     links = _links(tried, classes, rows, size, percent)
     labels = components(links)
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    counts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
-    named = named.join(counts.where("parts > 1"), "key").join(classes.select("node", "n_shingles", "low", "high", "bands"), "node")
-    named = written(named)
-    facts = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n_shingles", "low", "high", "bands")]
-    apart = named.where("label <> top").select("key", *facts("x")).join(named.select("key", "top", *facts("y")), "key")
-    apart = apart.where((F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("top")) | (F.col("node_x") < F.col("node_y"))))
-    apart = apart.where(100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
-    apart = apart.where(_bits_allow(percent))
-    # A pair comes from the smallest of its shared buckets alone, so no pair is emitted twice.
-    apart = apart.where(F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")).select(*pair("node_x", "node_y"))
+    sizes = named.groupBy("key").agg(F.count("*").alias("n"))
+    sized = written(named.join(sizes.where("n > 1"), "key"))
+    crowd = written(sized.where(F.col("n") > CROWD).select("node", "label").distinct())
+    apart = _apart(sized.where(F.col("n") <= CROWD).drop("n"), classes.withColumn("set", F.lit(None).cast("binary")), percent)
+    if not crowd.isEmpty():
+        tokens, sets = _rare_tokens(crowd, rows, size, percent)
+        apart = apart.union(_apart(tokens, classes.join(sets, "node"), percent)).distinct()
     rest = _links(written(apart.join(tried, ["a", "b"], "left_anti")), classes, rows, size, percent)
     if not rest.isEmpty():
         labels = components(links.union(rest))

@@ -275,16 +275,38 @@ def test_minhash_equals_all_pairs(spark):
     assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in got] == [(len(s), v + 1, v == k) for k, (s, v) in enumerate(zip(sets, lead))]
 
 
-def test_one_bit_of_each_bin_drops_no_link(spark):
-    draw = np.random.default_rng(1)
-    for shared, union, percent in ((4, 5, 80), (6, 7, 85), (52, 65, 80)):
-        base = np.sort(draw.integers(1, 1 << 63, (3000, union), dtype=np.uint64), axis=1)
-        half = (union - shared) // 2
-        left, right = ([draw.permutation(b) for b in base[:, cut]] for cut in (slice(half, None), slice(None, half - (union - shared) or None)))
-        x, y = (np.packbits((minhash_dedup.signatures(sets) & 1).astype(np.uint8), axis=1).view(np.int64) for sets in (left, right))
-        rows = [(len(a), len(b), *map(int, (*p, *q))) for a, b, p, q in zip(left, right, x, y)]
-        pairs = spark.createDataFrame(rows, "n_shingles_x long, n_shingles_y long, low_x long, high_x long, low_y long, high_y long")
-        assert pairs.where(minhash_dedup._bits_allow(percent)).count() == len(rows)
+def test_a_crowd_around_one_passage_loses_no_link(spark, monkeypatch):
+    """Unlike documents that share most of their words stand in the same buckets; links among them are those of all pairs, with few pairs tried."""
+    monkeypatch.setattr(minhash_dedup, "CROWD", 8)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 40)
+    draw = random.Random(5)
+    passage = prose(77, 1, 60)[0].split()[:60] or ["p"]
+    passage = (passage * 60)[:60]
+    passage = [f"{w}{k}" for k, w in enumerate(passage)]
+    texts = []
+    for k in range(150):
+        own = [f"own{draw.randrange(10**6)}" for _ in range(draw.choice([10, 14, 20, 60]))]
+        texts.append(" ".join(passage + own))
+        if k % 5 == 0:
+            own[draw.randrange(len(own))] = "changed"
+            texts.append(" ".join(passage + own))
+    tried = []
+    links = minhash_dedup._links
+    monkeypatch.setattr(minhash_dedup, "_links", lambda pairs, *rest: tried.append(pairs.count()) or links(pairs, *rest))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    for whole in (512, 0):
+        monkeypatch.setattr(minhash_dedup, "WHOLE", whole)
+        tried.clear()
+        got = minhash_dedup.classify(frame(spark, texts), 3, 85).orderBy("doc_id").collect()
+        lead = list(range(len(texts)))
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = lead[a], lead[b]
+                lead = [min(x, y) if v in (x, y) else v for v in lead]
+        assert [r["component_id"] for r in got] == [v + 1 for v in lead]
+        assert len(set(lead)) < len(texts) - 20
+        if whole:
+            assert tried[1] < len(texts)  # of about 16,000 pairs
 
 
 def test_components_of_chains_and_a_star(spark):
