@@ -92,15 +92,21 @@ def nearest(queries: DataFrame, train: DataFrame, query_id: str, train_id: str,
     visits = _visits(queries, vector, centres, cells, far, [np.array(r["near"]) for r in stats], k)
     sent = visits.select(query_id, vector, F.explode("cells").alias("cell"))
     asked = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spark = train.sparkSession
     sizes = [(int(r["cell"]), -(-r["n"] // block_rows), -(-asked.get(r["cell"], 1) // block_rows)) for r in stats]
-    blocks = F.broadcast(spark.createDataFrame(sizes, "cell int, train_blocks int, query_blocks int"))
+    return compare_cells(sent, assigned, sizes, query_id, train_id, vector, k)
 
+
+def compare_cells(sent: DataFrame, members: DataFrame, sizes: list[tuple[int, int, int]], query_id: str, train_id: str, vector: str, k: int) -> DataFrame:
+    """``query_id, train_id, distance, rank``: the ``k`` nearest members of the cells that each query is sent to.
+
+    ``sizes`` has (cell, blocks of members, blocks of queries); two blocks of a cell are compared at a time and give ``k`` rows a query.
+    """
+    blocks = F.broadcast(sent.sparkSession.createDataFrame(sizes, "cell int, train_blocks int, query_blocks int"))
     spots = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = sent.join(blocks, "cell").withColumn("query_block", _slot(query_id, F.col("query_blocks"))).withColumn("train_block", spots("train_blocks"))
-    right = assigned.join(blocks, "cell").withColumn("train_block", _slot(train_id, F.col("train_blocks"))).withColumn("query_block", spots("query_blocks"))
+    right = members.join(blocks, "cell").withColumn("train_block", _slot(train_id, F.col("train_blocks"))).withColumn("query_block", spots("query_blocks"))
     keys = ["cell", "train_block", "query_block"]
-    schema = StructType([queries.schema[query_id], train.schema[train_id], StructField("distance", DoubleType())])
+    schema = StructType([sent.schema[query_id], members.schema[train_id], StructField("distance", DoubleType())])
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({query_id: [], train_id: [], "distance": []})

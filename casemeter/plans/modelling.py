@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import ensembles as en, kernels as kn, models as mo, neighbours as nb, split as sp, table_features as tb
+from ..operators import ensembles as en, inverted_file as fi, kernels as kn, models as mo, neighbours as nb, split as sp, table_features as tb
 from ..session import checkpointed
 from .bindings import CASES_SQL, cases, predictions, predictions_sql, table
 from .catalog import query
@@ -39,6 +39,28 @@ _VOTE = """, w as (select nn.vec_id, v.label, case when max(cast(distance = 0 as
   pc as (select vec_id, label, sum(w) as w from w group by 1, 2)"""
 
 
+def _file(spark, sf):
+    v = vectors(spark, sf)
+    train = v.where("partition = 'train'").select(F.col("vec_id").alias("neighbour_id"), "embedding")
+    return v.where("partition = 'test'"), train, fi.InvertedFile(train, "neighbour_id", "embedding", seed=41)
+
+
+@query("j9_inverted_file", f"with {_NN} select vec_id, neighbour_id, round(distance, 6) as distance, rank from nn")
+def j9f(spark, sf):
+    """The same neighbours from an inverted file all of whose cells are probed."""
+    test, _, file = _file(spark, sf)
+    near = file.search(test, "vec_id", 15, len(file.centres))
+    return near.select("vec_id", "neighbour_id", r6(F.col("distance")).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("j9_inverted_recall", f"with {_VEC} select 15 * count(*) as neighbours, true as recalled from vecs where partition = 'test'")
+def j9r(spark, sf):
+    """Whether three quarters of the cells give nine tenths of the neighbours of these vectors, which form no clusters."""
+    test, train, file = _file(spark, sf)
+    found = fi.recall(file, test, "vec_id", train, 15, max(1, 3 * len(file.centres) // 4))
+    return found.select("neighbours", (F.col("found") >= 0.9 * F.col("neighbours")).alias("recalled"))
+
+
 @query(
     "ml7_knn_vote",
     f"with {_NN}{_VOTE} select vec_id, label as prediction, round(w / t, 6) as score from (select *, row_number() over (partition by vec_id order by w desc, label) as r, sum(w) over (partition by vec_id) as t from pc) where r = 1",
@@ -55,6 +77,15 @@ def ml7u(spark, sf):
     return nb.vote(near, train, "vec_id", "neighbour_id", "label", "uniform").withColumn("score", r6(F.col("score")))
 
 
+for _k in (5, 31):
+    _SQL_K = _NN.replace("rank <= 15", f"rank <= {_k}")
+
+    @query(f"ml7_knn_vote_{_k}", f"with {_SQL_K}{_VOTE} select vec_id, label as prediction, round(w / t, 6) as score from (select *, row_number() over (partition by vec_id order by w desc, label) as r, sum(w) over (partition by vec_id) as t from pc) where r = 1")
+    def ml7k(spark, sf, k=_k):
+        near, train = _neighbours(spark, sf, k)
+        return nb.vote(near, train, "vec_id", "neighbour_id", "label").withColumn("score", r6(F.col("score")))
+
+
 @query(
     "ml8_gaussian_naive_bayes",
     f"""with {_VEC}, ld as (select vec_id, label, partition, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from vecs), tr as (select * from ld where partition = 'train'),
@@ -211,9 +242,20 @@ def ml18(spark, sf):
     return mo.leaderboard(_search(spark, sf)[0])
 
 
-@query("fe13_fit_scope")
+_SCALED = """select q.vec_id, '{scope}' as scope, round(max(case when i = 1 then z end), 6) + 0e0 as first, round(sum(z * z), 3) as energy
+  from (select l.vec_id, l.i, (l.x - m) / case when s = 0 then 1 else s end as z from ld l join (select i, avg(x) as m, stddev_samp(x) as s from ld where partition in ({fit}) group by 1) using (i) where l.partition = '{of}') q group by 1"""
+
+
+@query(
+    "fe13_fit_scope",
+    f"with {_VEC}, ld as (select vec_id, partition, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from vecs) "
+    + _SCALED.format(scope="selection", fit="'train'", of="validation") + " union all " + _SCALED.format(scope="final", fit="'train', 'validation'", of="test"),
+)
 def fe13(spark, sf):
+    """Scaling fitted on training rows for selection, on training and validation rows for the final fit."""
     train, validation, test = _splits(spark, sf, False)
     selection = mo.dense_pipeline().fit(train).transform(validation).withColumn("scope", F.lit("selection"))
     final = mo.dense_pipeline().fit(train.unionByName(validation)).transform(test).withColumn("scope", F.lit("final"))
-    return selection.unionByName(final).select("vec_id", "scope", "scaled")
+    z = vector_to_array("scaled")
+    both = selection.unionByName(final).select("vec_id", "scope", z.alias("z"))
+    return both.select("vec_id", "scope", (r6(F.col("z")[0]) + F.lit(0.0)).alias("first"), F.round(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x), 3).alias("energy"))

@@ -114,3 +114,30 @@ def test_search_records_failures(spark):
     assert mo.score(model, df, 2, ["label"]).where("raw = label").count() > 100
     with pytest.raises(RuntimeError):
         mo.search([bad], df, df, 2, 1)
+
+
+def test_inverted_file_on_clusters(spark):
+    """Few probes find the neighbours of clustered rows; all probes are the exact join; blocks and odd rows change nothing."""
+    from casemeter.operators import inverted_file as fi
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 8)) * 6
+    train = np.concatenate([c + rng.normal(size=(40, 8)) for c in centres])
+    queries = np.concatenate([c + rng.normal(size=(3, 8)) for c in centres])
+    queries[0] = train[11]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(train)] + [(900, None)], "t int, v array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)] + [(900, None)], "q int, v array<double>")
+    file = fi.InvertedFile(t, "t", "v", 20, 1)
+    assert file.table().count() == 800 and sum(file.sizes.values()) == 800
+    d = np.sqrt(((queries[:, None] - train[None]) ** 2).sum(-1))
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]
+    got = {(r["q"], r["rank"]): r["t"] for r in file.search(q, "q", 5, 20).collect()}
+    assert got == {(i, r + 1): order[i, r] for i in range(60) for r in range(5)}
+    few = fi.recall(file, q.where("q < 900"), "q", t.where("t < 900"), 5, 3).first()
+    assert few["neighbours"] == 300 and few["found"] >= 0.9 * 300
+    one = file.search(q, "q", 5, 1)
+    assert one.count() <= 300 and one.where("rank > 5").count() == 0
+    file.drop()
+    empty = fi.InvertedFile(t.limit(0), "t", "v")
+    assert empty.search(q.limit(0), "q", 5, 2).count() == 0
+    empty.drop()
