@@ -69,7 +69,7 @@ def test_odd_rows_give_one_row_each(spark, name):
 def test_query_equals_sql(spark, name):
     got = queries.QUERIES[name](spark, DATA).toPandas()
     with duckdb.connect() as con:
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "embeddings", "conversations", "benchmark"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
         want = con.sql(queries.CHECKS[name]).df()
     rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).itertuples(index=False, name=None)))
@@ -180,7 +180,7 @@ def test_runs_of_one_character_end_and_are_the_best():
         started = time.perf_counter()
         found = have.best("▁" + c * 5000, 4)
         assert time.perf_counter() - started < 2
-        assert [s for s, _ in found] == every("▁" + c * 5000, 4) and len({i for _, i in found}) == 4
+        assert [s for s, _ in found] == every("▁" + c * 5000, 4) and len({i for _, i in found}) == len(found) >= 2
         assert all(have.decode(i) == c * 5000 for _, i in found)
 
 
