@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -17,15 +19,28 @@ def read_snapshot(spark: SparkSession, path: str, schema: str | StructType | Non
 
 
 def read_shards(spark: SparkSession, paths: Sequence[str], splits: Sequence[str], schema: str | StructType | None = None, strict: bool = True) -> DataFrame:
-    """Many shard files; the split is the prefix of the file name. An empty split is an error."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    """Many shards; the split is the prefix of the file name. An empty split is an error.
+
+    A shard that is a folder of part files has its split in the folder's name, as far as the names of the parts hold none.
+    """
+    prefix = r"^([A-Za-z]+)"
     reader = spark.read if schema is None else spark.read.schema(schema)
-    df = reader.parquet(*paths).select("*", F.regexp_extract(name, r"^([A-Za-z]+)", 1).alias("_official_split"))
+    folders: dict[str, list[str]] = {}
+    for path in paths:
+        found = re.match(prefix, path.rstrip("/").rsplit("/", 1)[-1])
+        folders.setdefault(found[1] if found and found[1] in splits else "", []).append(path)
+    own = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), prefix, 1)
+    parts = []
+    for name, some in folders.items():
+        part = reader.parquet(*some)
+        reader = reader.schema(part.schema)  # one schema for all shards
+        parts.append(part.select("*", F.when(own.isin(*splits), own).otherwise(F.lit(name)).alias("_official_split")))
+    df = reduce(DataFrame.unionAll, parts).where(F.col("_official_split").isin(*splits))
     if strict:
-        found = {r[0] for r in df.select("_official_split").distinct().limit(len(splits) + 1).collect()}
+        found = {r[0] for r in df.select("_official_split").distinct().collect()}
         if not set(splits) <= found:
             raise ValueError(f"empty splits: {sorted(set(splits) - found)}")
-    return df.where(F.col("_official_split").isin(*splits))
+    return df
 
 
 def write_once(df: DataFrame, path: str, keys: Sequence[str] | None = None) -> None:
