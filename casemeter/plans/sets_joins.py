@@ -119,11 +119,11 @@ def _j4(df):
     return joins.paired(df, ["dataset", "seed"], "case_id", "model", "alpha", ["beta", "gamma"], fields)
 
 
-@query("j4_paired_models", f"with {_J4} select dataset, comparator, label, correct_a, correct_b, count(*) as cases from pr group by all")
+@query("j4_paired_models", f"with {_J4} select dataset, case_id, comparator, label, correct_a, correct_b from pr")
 def j4(spark, sf):
-    """Cases of both models, label by label; a case that one of them lacks would be an error."""
+    """Every case of both models, side by side; a case that one of them lacks would be an error."""
     pairs = joins.require_paired(_j4(predictions(spark, sf)))
-    return pairs.groupBy("dataset", "comparator", F.col("label_a").alias("label"), "correct_a", "correct_b").agg(F.count(F.lit(1)).alias("cases"))
+    return pairs.select("dataset", "case_id", "comparator", F.col("label_a").alias("label"), "correct_a", "correct_b")
 
 
 @query(

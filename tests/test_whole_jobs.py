@@ -1,9 +1,14 @@
 """Readers and queries that must take every row, whatever the layout of the files or the size of a text."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from casemeter.plans import catalog
 from casemeter.sources import snapshots as io
 
+catalog.load_all()
+
+
 def test_shards_that_are_folders_of_parts(spark, tmp_path):
     spark.range(7).repartition(3).write.parquet(f"{tmp_path}/train-1.parquet")
     spark.range(4).write.parquet(f"{tmp_path}/test.parquet")
@@ -22,3 +27,20 @@ def test_shard_files_in_one_folder(spark, tmp_path):
         next((tmp_path / name).glob("part-*.parquet")).rename(tmp_path / "data" / f"{name}.parquet")
     read = io.read_shards(spark, [f"{tmp_path}/data"], ["train", "test"])
     assert {r[0]: r[1] for r in read.groupBy("_official_split").count().collect()} == {"train": 5, "test": 4}
+
+
+def _lines(spark, folder, n):
+    """An order-line table of ``n`` lines, each its own case."""
+    day = F.lit("1995-06-17").cast("timestamp_ntz")
+    rows = spark.range(n).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") * 7).alias("l_partkey"), (F.col("id") * 3).alias("l_suppkey"), F.lit(2.0).alias("l_quantity"),
+        F.lit(9.5).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"), day.alias("l_shipdate"), F.substring(F.lit("ANR"), (F.col("id") % 3 + 1).cast("int"), F.lit(1)).alias("l_returnflag"),
+        F.lit("F").alias("l_linestatus"),
+    )
+    rows.write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_paired_models_give_every_case(spark, tmp_path):
+    _lines(spark, tmp_path, 90)
+    rows = catalog.QUERIES["j4_paired_models"](spark, str(tmp_path)).collect()
+    assert len(rows) == len({(r["case_id"], r["comparator"]) for r in rows}) == 180
