@@ -79,10 +79,45 @@ class InvertedFile:
     def search(self, queries: DataFrame, query_id: str, k: int, probes: int) -> DataFrame:
         """``query_id, train_id, distance, rank``: up to ``k`` neighbours from the nearest ``probes`` cells that hold rows. Queries without a vector have none."""
         rows = queries.where(F.col(self.vector).isNotNull()).select(query_id, F.col(self.vector).cast("array<double>").alias(self.vector))
-        sent = self._placed(rows, min(probes, max(1, len(self.centres)))).select(query_id, self.vector, F.explode("cells").alias("cell"))
+        bins = self._bins()
+        count = min(probes, max(1, len(self.centres)))
+        zipped = F.explode(F.arrays_zip("bins", "parts")).alias("_v")
+        sent = self._sent(rows, count, bins).select(query_id, self.vector, zipped).select(query_id, self.vector, F.col("_v.bins").alias("cell"), F.col("_v.parts").alias("parts"))
         asked = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        sizes = [(int(c), -(-n // BLOCK_ROWS), -(-asked.get(c, 1) // BLOCK_ROWS)) for c, n in self.sizes.items()]
-        return compare_cells(sent, self.table(), sizes, query_id, self.train_id, self.vector, k)
+        held: dict[int, int] = {}
+        for c, n in self.sizes.items():
+            held[bins[c]] = held.get(bins[c], 0) + n
+        sizes = [(b, -(-n // BLOCK_ROWS), -(-asked.get(b, 1) // BLOCK_ROWS)) for b, n in held.items()]
+        places = F.broadcast(self.spark.createDataFrame([(int(c), b) for c, b in bins.items()], "part int, cell int"))
+        return compare_cells(sent, self.table().withColumnRenamed("cell", "part").join(places, "part"), sizes, query_id, self.train_id, self.vector, k)
+
+    def _bins(self) -> dict[int, int]:
+        """Cells that hold rows are compared together in bins of about a block of rows: the bin of each."""
+        out, bin_, rows = {}, 0, 0
+        for c in sorted(self.sizes):
+            if rows and rows + self.sizes[c] > BLOCK_ROWS:
+                bin_, rows = bin_ + 1, 0
+            out[c], rows = bin_, rows + self.sizes[c]
+        return out
+
+    def _sent(self, rows: DataFrame, count: int, bins: dict[int, int]) -> DataFrame:
+        """``rows`` with the bins that hold their nearest ``count`` cells, and the cells in each."""
+        centres, vector = self.centres, self.vector
+        bin_of = np.full(len(centres), -1, np.int64)
+        bin_of[list(bins)] = list(bins.values())
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    found = []
+                    for cells in np.sort(_nearest(_matrix(batch[vector]), centres, count), axis=1):
+                        cells = cells[bin_of[cells] >= 0].astype(np.int32)
+                        own, first = np.unique(bin_of[cells], return_index=True)
+                        found.append((own.astype(np.int32).tolist(), [x.tolist() for x in np.split(cells, first[1:])] if len(cells) else []))
+                    yield batch.assign(bins=[f[0] for f in found], parts=[f[1] for f in found])
+
+        whole = ArrayType(IntegerType())
+        return rows.mapInPandas(send, StructType([*rows.schema.fields, StructField("bins", whole), StructField("parts", ArrayType(whole))]))
 
     def drop(self) -> None:
         """Forget the table's name; its files stay."""

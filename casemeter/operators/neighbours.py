@@ -37,6 +37,41 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _closest(a: np.ndarray, b: np.ndarray, k: int, allowed: np.ndarray | None = None, column: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance of the ``k`` nearest rows of ``b`` for each row of ``a``, ties by place: exactly those that :func:`_distances` gives.
+
+    Inner products find all rows that rounding can leave among the nearest; only their distances are taken by differences. ``allowed[i, column[j]]``
+    tells which rows ``j`` count for row ``i``.
+    """
+    rows, columns, found = [], [], []
+    size_a, size_b = (a * a).sum(1), (b * b).sum(1)
+    top = size_b.max() if len(b) else 0.0
+    step = max(1, 2_000_000 // max(1, len(b)))
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        with np.errstate(over="ignore", invalid="ignore"):
+            square = size_a[at : at + step, None] + size_b[None, :] - 2 * (part @ b.T)
+        finite = bool(np.isfinite(square).all())
+        near = square if finite else np.zeros_like(square)  # numbers that products cannot hold: all are compared
+        open_ = None if allowed is None else allowed[at : at + step][:, column]
+        if open_ is not None:
+            near = np.where(open_, near, np.inf)
+        n = min(k, len(b))
+        reach = np.partition(near, n - 1, axis=1)[:, n - 1] + (_SLACK * (size_a[at : at + step] + top) if finite else 0.0)
+        hit = near <= reach[:, None]
+        i, j = np.nonzero(hit if open_ is None else hit & open_)
+        exact = np.empty(len(i))
+        pairs = max(1, 4_000_000 // max(1, a.shape[1]))
+        for x in range(0, len(i), pairs):
+            some = slice(x, x + pairs)
+            exact[some] = np.sqrt(((part[i[some]] - b[j[some]]) ** 2).sum(-1))
+        order = np.lexsort((j, exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        rows.append(i[kept] + at), columns.append(j[kept]), found.append(exact[kept])
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (columns, np.int64), (found, float)))
+
+
 def _cells(train: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     schema = StructType([*train.schema.fields, StructField("cell", IntegerType()), StructField("radius", DoubleType())])
 
@@ -55,8 +90,9 @@ def _visits(queries: DataFrame, vector: str, pivots: np.ndarray, cells: np.ndarr
     schema = StructType([*queries.schema.fields, StructField("cells", ArrayType(IntegerType()))])
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
+        for whole in batches:
+            step = max(1, 2_000_000 // max(1, k * len(cells)))
+            for batch in (whole.iloc[at : at + step] for at in range(0, len(whole), step)):
                 d = _distances(_matrix(batch[vector]), pivots)
                 # d(query, pivot) + d(pivot, member) bounds the distance to that member from above.
                 upper = np.concatenate([d[:, [c]] + nearest[i][None, :] for i, c in enumerate(cells)], axis=1)
@@ -79,7 +115,8 @@ def nearest(queries: DataFrame, train: DataFrame, query_id: str, train_id: str,
     """
     train, queries = train.select(train_id, vector), queries.select(query_id, vector)
     total = train.count()
-    wanted = min(MAX_PIVOTS, max(1, int(total**0.5) if pivots is None else pivots))
+    # Small cells prune little that products do not compare faster, and cost a row for each query.
+    wanted = min(MAX_PIVOTS, max(1, min(int(total**0.5), -(-total // block_rows)) if pivots is None else pivots))
     chosen = train.orderBy(draw("pivot", train_id)).limit(wanted).collect()
     centres = np.array([r[vector] for r in chosen], dtype=np.float64)
     assigned = _cells(train, vector, centres)
@@ -100,7 +137,9 @@ def compare_cells(sent: DataFrame, members: DataFrame, sizes: list[tuple[int, in
     """``query_id, train_id, distance, rank``: the ``k`` nearest members of the cells that each query is sent to.
 
     ``sizes`` has (cell, blocks of members, blocks of queries); two blocks of a cell are compared at a time and give ``k`` rows a query.
+    Where ``sent`` has a column ``parts``, a query only meets the members whose ``part`` of the cell is among them.
     """
+    own, part = (["parts"], ["part"]) if "parts" in sent.columns else ([], [])
     blocks = F.broadcast(sent.sparkSession.createDataFrame(sizes, "cell int, train_blocks int, query_blocks int"))
     spots = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = sent.join(blocks, "cell").withColumn("query_block", _slot(query_id, F.col("query_blocks"))).withColumn("train_block", spots("train_blocks"))
@@ -113,12 +152,17 @@ def compare_cells(sent: DataFrame, members: DataFrame, sizes: list[tuple[int, in
         if not len(a) or not len(b):
             return empty
         b = b.sort_values(train_id, ignore_index=True)
-        d = _distances(_matrix(a[vector]), _matrix(b[vector]))
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), best.shape[1])
-        return pd.DataFrame({query_id: a[query_id].to_numpy()[rows], train_id: b[train_id].to_numpy()[best.ravel()], "distance": d[rows, best.ravel()]})
-
-    local = left.select(*keys, query_id, vector).groupBy(*keys).cogroup(right.select(*keys, train_id, vector).groupBy(*keys)).applyInPandas(compare, schema)
+        allowed = place = None
+        if own:
+            parts, place = np.unique(b["part"].to_numpy(), return_inverse=True)
+            wanted, asking = np.concatenate(a["parts"].tolist()), np.repeat(np.arange(len(a)), [len(x) for x in a["parts"]])
+            at = np.minimum(np.searchsorted(parts, wanted), len(parts) - 1)
+            allowed = np.zeros((len(a), len(parts)), bool)
+            allowed[asking[parts[at] == wanted], at[parts[at] == wanted]] = True
+        row, column, distance = _closest(_matrix(a[vector]), _matrix(b[vector]), k, allowed, place)
+        return pd.DataFrame({query_id: a[query_id].to_numpy()[row], train_id: b[train_id].to_numpy()[column], "distance": distance})
+
+    local = left.select(*keys, query_id, vector, *own).groupBy(*keys).cogroup(right.select(*keys, train_id, vector, *part).groupBy(*keys)).applyInPandas(compare, schema)
     final = Window.partitionBy(query_id).orderBy("distance", train_id)
     return local.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
 
