@@ -64,7 +64,7 @@ def io5(spark, sf):
 
 @query("io6_discover_results", f"with {predictions_sql()} {_SUMMARY}")
 def io6(spark, sf):
-    found = io.discover_results(spark, _stored(spark, sf), _FACT, "*.json", ["dataset", "model", "seed"])
+    found = io.discover_results(spark, _stored(spark, sf), _FACT, "*.json*", ["dataset", "model", "seed"])
     plain = lambda c: F.regexp_replace(c, "^[^=]*=", "")
     return _totals(found.withColumns({"dataset": plain("dataset"), "model": plain("model"), "seed": plain("seed").cast("int")}))
 

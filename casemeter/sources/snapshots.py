@@ -85,9 +85,22 @@ def discover_results(spark: SparkSession, root: str, schema: str | StructType, p
     return df.select("*", *[F.element_at(folders, -(n + 1) + i).alias(d) for i, d in enumerate(dims)])
 
 
+#: Files that one task holds open at a time; records of more dimensions are sorted first.
+OPEN_FILES = 64
+
+
 def write_predictions(df: DataFrame, path: str, dims: Sequence[str] = ("dataset", "model", "seed"), fmt: str = "json") -> None:
-    """Records laid out by dimension, so later reads prune to the runs they need."""
-    df.write.partitionBy(*dims).mode("errorifexists").format(fmt).save(path)
+    """Compressed records laid out by dimension, so later reads prune to the runs they need.
+
+    A task writes the files of its dimensions side by side, so that its records need no sort.
+    """
+    spark, name = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, OPEN_FILES)
+    try:
+        df.write.partitionBy(*dims).mode("errorifexists").format(fmt).option("compression", "gzip").save(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def write_report(df: DataFrame, path: str, columns: Sequence[str]) -> None:
