@@ -89,7 +89,8 @@ probs as (
     else [(1 - top) / 2, (1 - top) / 2, top] end as probabilities from preds)"""
 
 
-def predictions(spark: SparkSession, sf: str, seeds: tuple[int, ...] = SEEDS[:1]) -> DataFrame:
+def predictions(spark: SparkSession, sf: str, seeds: tuple[int, ...] = SEEDS[:1], by_case: bool = False) -> DataFrame:
+    """Records of all models and seeds. ``by_case`` deals the cases before they multiply, so that what is grouped by case moves no more."""
     runs = F.array(
         *[
             F.struct(F.lit(n).alias("model"), F.lit(m).alias("m"), F.lit(seed).alias("seed"), F.lit(seed - SEEDS[0]).alias("s"))
@@ -97,7 +98,10 @@ def predictions(spark: SparkSession, sf: str, seeds: tuple[int, ...] = SEEDS[:1]
             for seed in seeds
         ]
     )
-    base = cases(spark, sf).withColumn("_run", F.explode(runs)).select("*", "_run.*").drop("_run")
+    base = cases(spark, sf)
+    if by_case:
+        base = base.repartition("case_id")
+    base = base.withColumn("_run", F.explode(runs)).select("*", "_run.*").drop("_run")
     scored = base.withColumns(
         {
             "prediction": F.expr(_PRED).cast("int"),

@@ -50,7 +50,7 @@ _SEEDED = f"""{predictions_sql(SEEDS)}, {_diff_sql('preds', ['dataset', 'seed'])
 
 @query("st2_seed_average", f"with {_SEEDED} select dataset, comparator, label, round(difference, 6) as difference, count(*) as n from avgd group by 1, 2, 3, 4")
 def st2(spark, sf):
-    d = _diffs(predictions(spark, sf, SEEDS), ["dataset", "seed"])
+    d = _diffs(predictions(spark, sf, SEEDS, by_case=True), ["dataset", "seed"])
     mean = st.seed_average(d, ["dataset", "comparator", "case_id"], len(SEEDS))
     return mean.groupBy("dataset", "comparator", "label", r6(F.col("difference")).alias("difference")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -107,7 +107,7 @@ def st4(spark, sf):
 )
 def st4b(spark, sf):
     """Every order line, all seeds averaged; the cost does not grow with the cases."""
-    d = _diffs(predictions(spark, sf, SEEDS), ["dataset", "seed"])
+    d = _diffs(predictions(spark, sf, SEEDS, by_case=True), ["dataset", "seed"])
     mean = st.seed_average(d, ["dataset", "comparator", "case_id"], len(SEEDS))
     out = st.stratified_interval(mean, ["dataset", "comparator"], 1000, 31)
     return out.withColumns({c: r6(F.col(c)) for c in ("difference_pp", "lower_95_pp", "upper_95_pp")})
