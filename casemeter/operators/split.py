@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.keys import draw
-from ..session import SMALL_TABLE_ROWS
+from ..session import SMALL_TABLE_ROWS, checkpointed
 from .ordering import count_draws, draw_cuts
 
 Counts = dict[tuple, int]
@@ -156,7 +156,8 @@ def shared_holdout(
     df: DataFrame, case_id: str, label: str, seed: int | str, cap: int | None = None, excluded: DataFrame | None = None, share: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
     """``(pool, test)``: one test set for all training seeds, free of excluded cases; ``cap`` bounds it where a caller wants that."""
-    allowed = df if excluded is None else df.join(excluded.select(case_id).distinct(), case_id, "left_anti")
+    # Several jobs follow; the join is done once.
+    allowed = df if excluded is None else checkpointed(df.join(excluded.select(case_id).distinct(), case_id, "left_anti"))
     drawn = allowed.withColumn("_draw", draw(seed, case_id))
     counted = count_draws(drawn, [label], "_draw")
     free = class_counts(counted, [label])
