@@ -455,3 +455,15 @@ def test_pipeline_stages_take_odd_rows(spark, k):
     docs = frame(spark, ODD, [1, 2, 3, 4, 4, 6, 7, None, 9])
     assert stage(spark, docs, DATA).count() <= len(ODD)
     assert stage(spark, frame(spark, []), DATA).count() == 0
+
+
+def test_round_trip_decodes_each_whole_segmentation(monkeypatch):
+    have = nbest_pieces.pieces(queries.MODEL)
+    texts = pa.array(["there the cat", "", "the the  x"])
+    decoded = []
+    whole = nbest_pieces._whole
+    monkeypatch.setattr(nbest_pieces, "_whole", lambda *a: decoded.append(len(a[1])) or whole(*a))
+    assert nbest_pieces._encode_texts(have, texts, 4)[4] and decoded == [3, 2, 2, 2]
+    gathered = nbest_pieces._gathered
+    monkeypatch.setattr(nbest_pieces, "_gathered", lambda flat, bounds, which: (gathered(flat, bounds, which)[0][::-1], gathered(flat, bounds, which)[1]))
+    assert not nbest_pieces._encode_texts(have, texts, 4)[4]
