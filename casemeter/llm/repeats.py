@@ -98,8 +98,9 @@ def remove(docs: DataFrame, size: int, propose: Callable[[DataFrame], DataFrame]
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (removed words, start:end): one row per row of ``docs``.
 
-    ``propose`` takes the distinct texts (doc, text) and returns (hash, doc) of runs that occur in several; ``reach``
-    takes the window hashes' word hashes and the proposed hashes and returns which windows to look up. Documents whose word sequences are equal count
+    ``propose`` takes the distinct texts (doc, text), where doc is the text's place in their table, and returns (hash, doc) of runs that occur in several; ``reach``
+    takes the window hashes' word hashes and the proposed hashes and returns which windows to look up. Each step is a written table, so that
+    the shuffles of one step at a time lie on disk. Documents whose word sequences are equal count
     once: of them the one with the smallest id stays, one row where ids repeat, and the others lose every word a window covers. Rows of different texts with
     one id are not earlier than each other; null ids are later than all. Null, empty and short texts lose nothing.
     """
@@ -107,12 +108,13 @@ def remove(docs: DataFrame, size: int, propose: Callable[[DataFrame], DataFrame]
     rows = written(rows.mapInArrow(_texts, "row long, doc_id long, n_words long, key binary, text string"))
     first = rows.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row")).alias("f")).select("key", F.col("f.doc").alias("doc"), F.col("f.row").alias("row"))
     first = written(first)
-    texts = written(rows.select("row", "key", "text").join(first.select("row", "doc"), "row").select("key", "doc", "text"))
-    long = texts.where(F.size(F.split("text", " ", size)) >= size).select("doc", "text")
-    hits = propose(long).groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
-    near = long.join(hits, "doc").mapInArrow(_per_document(reach, "hashes"), "hash long, doc long").repartition("hash")
+    texts = rows.select("row", "key", "text").join(first.select("row", "doc"), "row").select("key", "doc", "text")
+    texts = written(texts.withColumn("place", F.monotonically_increasing_id()))
+    long = texts.where(F.size(F.split("text", " ", size)) >= size)
+    hits = written(propose(long.select(F.col("place").alias("doc"), "text")).groupBy(F.col("doc").alias("place")).agg(F.collect_list("hash").alias("hashes")))
+    near = long.join(hits, "place").select("doc", "text", "hashes").mapInArrow(_per_document(reach, "hashes"), "hash long, doc long").repartition("hash")
     known = near.groupBy("hash").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last")
-    later = near.join(known.hint("shuffle_hash"), "hash").where("doc > lead").groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+    later = written(near.join(known.hint("shuffle_hash"), "hash").where("doc > lead").groupBy("doc").agg(F.collect_list("hash").alias("hashes")))
     cleaned = written(texts.join(later, "doc", "left").select("key", "text", "hashes").mapInArrow(_clean(size), "key binary, n_removed long, kept_sha256 string, spans string"))
     facts = cleaned.join(first.select("key", F.col("row").alias("lead")), "key")
     copy = F.col("row") != F.col("lead")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casemeter.llm import block_anchors, exact_dedup, graph, line_crf, minhash_dedup, nbest_pieces, queries, secret_models, sharding, spaced_seeds, sparse_suffixes, warc_archive, words
+from casemeter.llm import block_anchors, common, exact_dedup, graph, line_crf, minhash_dedup, nbest_pieces, queries, secret_models, sharding, spaced_seeds, sparse_suffixes, warc_archive, words
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, row string, hash string, kept int"
@@ -467,3 +467,39 @@ def test_round_trip_decodes_each_whole_segmentation(monkeypatch):
     gathered = nbest_pieces._gathered
     monkeypatch.setattr(nbest_pieces, "_gathered", lambda flat, bounds, which: (gathered(flat, bounds, which)[0][::-1], gathered(flat, bounds, which)[1]))
     assert not nbest_pieces._encode_texts(have, texts, 4)[4]
+
+
+def test_written_tables_leave_no_shuffle_on_disk(spark):
+    """Shuffles of a write are deleted at its end, and the session's own setting stays as it was."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    df = spark.range(20000).withColumn("x", F.rand(1)).repartition(3, "id").groupBy("id").agg(F.max("x").alias("x"))
+    assert common.written(df).count() == 20000
+    own = lambda: {name for name in shuffles() - before if disk.getFile(name).length() > 50000}
+    for _ in range(50):
+        if not own():
+            break
+        time.sleep(0.2)
+    assert not own()
+    assert spark.conf.get(common._CLEANUP) == "false"
+
+
+def test_probes_of_blocks_are_packed_and_meet_across_stretches():
+    """A probe takes 7 bytes and a little for its group; equal runs of documents far apart meet, but only where one is a block."""
+    texts = prose(21, 120, 200)
+    shared = " ".join(f"s{k}" for k in range(20))
+    texts = [f"{shared} {texts[0]}", *texts[1:], f"x y z {shared}"]
+    places = [*range(len(texts) - 1), 200_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(texts)], names=["doc", "text"])
+    rows = pa.Table.from_batches(block_anchors._packed(10)(iter([batch])))
+    probes = sum(len(set(tuple(w[k : k + 10]) for k in range(len(w) - 9))) for w in map(str.split, texts))
+    assert sum(len(x.as_py()) for c in ("at", "runs") for x in rows.column(c)) == 7 * probes
+    found = [block_anchors._live(rows.filter(pa.compute.equal(rows["part"], p))) for p in set(rows["part"].to_pylist())]
+    got = pa.concat_tables(found)
+    assert got.num_rows == 2 * 3  # the first text's blocks at 0 and 10, and the other's at 10
+    assert set(got["doc"].to_pylist()) == {0, 200_000}
