@@ -6,7 +6,9 @@ probability of the Jaccard similarity. Bands of bins name buckets. A bucket prop
 largest class. What the stars leave apart in one bucket is compared too: members outside the bucket's largest
 component against those of other components. In a bucket of over ``CROWD`` members (a passage that many unlike documents share) the members are keyed anew by
 their rarest bins first, so many that two classes which agree in enough bins share one, and only those that do are compared. A pair is
-compared by size and sketch where it meets, in crowds by the sets themselves unless they are large; only those that may be links leave a task. So no link inside a bucket is lost, and a bucket whose members belong
+compared by size and sketch where it meets, in crowds by the sets themselves unless they are large. Of the components that may so be linked no more leaves a task than joins them to a
+family. Then every class stands in its family once, with its whole set, and the pairs of a family are decided there; one link joins two components, the others between
+them are not needed. So no component is missed, and a bucket whose members belong
 together costs a star. A pair is dropped early only where the agreeing bins are over 0.2 below the threshold, five or
 more standard deviations; a sketch keeps 8 bits of each bin, which can only make more bins agree. Links are confirmed on the
 full sets, which are made anew from the texts of the candidates and never stored.
@@ -34,6 +36,8 @@ BLOCK = 1024
 CROWD = 64
 #: Shingles up to which a class of a crowd is compared by its set rather than by its sketch alone.
 WHOLE = 512
+#: Shingles up to which a class is decided by its whole set in its family; pairs with a larger one are confirmed from the texts.
+FULL = 4096
 #: How far the share of agreeing bins may lie below the similarity of a link before a pair is dropped.
 _SLACK = 0.2
 _ATTEMPTS = 2048
@@ -175,6 +179,18 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     return written(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(size, percent), "a binary, b binary"))
 
 
+def _full_sets(size: int, bits: np.ndarray):
+    """The sets, in 64 bits for each shingle, of the texts whose class may be marked, but for large ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _wanted(bits)(batches):
+            for part in slices([batch], "text"):
+                sets = shingle_sets(split(part.column("text"), fold=True), size)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() if len(x) <= FULL else None for x in sets], pa.binary())], names=["node", "set"])
+
+    return run
+
+
 def _full_signatures(size: int, bits: np.ndarray):
     """Signatures of the texts whose class may be marked, in 32 bits for each bin, and the sets themselves, in 32 bits for each shingle, where they are small."""
 
@@ -219,36 +235,46 @@ def _rare_tokens(crowd: DataFrame, rows: DataFrame, size: int, percent: int) ->
     return written(known.withColumn("rank", rank).where(F.col("rank") <= prefix).select("key", "node", "label")), signed.select("node", "set")
 
 
+def _root(lead: dict[int, int], label: int) -> int:
+    """The component that ``label`` belongs to by the pairs so far."""
+    while label in lead:
+        label = lead[label]
+    return label
+
+
 def _shared(sets: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of all sets as places in one list, bounds of each, and the list's marks; a set that is not there has none."""
-    flat = np.concatenate([x for x in sets if x is not None] or [np.zeros(0, np.uint32)])
+    flat = np.concatenate([x for x in sets if x is not None])
     names, place = np.unique(flat, return_inverse=True)
     return place, np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in sets])]), np.zeros(len(names), bool)
 
 
-def _compared(percent: int):
-    """Pairs of different components in a group, or between two blocks of one, that sizes and sketches allow.
+def _compared(percent: int, final: bool):
+    """What sizes, sketches and sets say of the pairs of different components in a group, or between two blocks of one.
 
-    Rows come sorted by (key, lower, upper); only the rows of an unfinished group wait for the next batch.
+    Where it is ``final``, sets are whole and decide: pairs (a, b) of classes, of the links as many as join the components, and every pair that may be one but has a class without set.
+    Else labels (a, b) of components that may be linked, as many as join them. Rows come sorted by (key, lower, upper); only the rows of an unfinished group wait for the next batch.
     """
+    bits = np.uint64 if final else np.uint32
     floor = math.ceil(BINS * (percent / 100 - _SLACK))
     names = ("key", "lower", "upper")
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        node = one_array(rows.column("node"))
+        node, names_of = one_array(rows.column("node")), one_array(rows.column("label"))
         column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
         key, lower, upper, block, size, top = (column(c) for c in (*names, "block", "n_shingles", "is_top"))
-        label = one_array(rows.column("label")).dictionary_encode().indices.to_numpy()
+        label = names_of.dictionary_encode().indices.to_numpy()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(lower) != 0) | (np.diff(upper) != 0)) + 1
-        sets = [None if x is None else np.frombuffer(x, np.uint32) for x in rows.column("set").to_pylist()]
+        sets = [None if x is None else np.frombuffer(x, bits) for x in rows.column("set").to_pylist()]
         whole = np.array([x is not None for x in sets])
         left, right = [], []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
             at = np.arange(a, b)
             place, bounds, marks = _shared(sets[a:b]) if whole[a:b].any() else (None, None, None)
             own = at[~top[a:b]]
+            lead: dict[int, int] = {}
             for i in own.tolist():
                 # Two members that are not of the largest component meet once, in the order of their places.
                 other = at[(label[a:b] != label[i]) & (top[a:b] | (at > i))]
@@ -262,10 +288,19 @@ def _compared(percent: int):
                     marks[:] = False
                     both = sums[bounds[other - a + 1]] - sums[bounds[other - a]]
                     other = other[~whole[other] | (100 * both >= percent * (size[other] + size[i] - both))]
-                left.append(np.full(len(other), i)), right.append(other)
+                if final:
+                    unsure = other[~(whole[other] & whole[i])]
+                    left.append(np.full(len(unsure), i)), right.append(unsure)
+                    other = other[whole[other] & whole[i]]
+                for k in other[np.unique(label[other], return_index=True)[1]].tolist():
+                    mine, its = _root(lead, int(label[i])), _root(lead, int(label[k]))
+                    if mine != its:
+                        lead[its] = mine
+                        left.append(np.array([i])), right.append(np.array([k]))
         x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
         if len(x):
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(x)), node.take(pa.array(y))], names=["a", "b"])
+            out = node if final else names_of
+            yield pa.RecordBatch.from_arrays([out.take(pa.array(x)), out.take(pa.array(y))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: list[pa.RecordBatch] = []
@@ -273,7 +308,7 @@ def _compared(percent: int):
             if not batch.num_rows:
                 continue
             wait.append(batch)
-            if sum(b.num_rows for b in wait) < 1 << 14:
+            if sum(b.num_rows for b in wait) < 1 << 12:
                 continue
             rows = pa.Table.from_batches(wait)
             last = [rows.column(c)[-1].as_py() for c in names]
@@ -288,8 +323,8 @@ def _compared(percent: int):
     return run
 
 
-def _apart(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one group of ``groups`` (key, node, label) that sizes and sketches, and small sets themselves, allow.
+def _apart(groups: DataFrame, classes: DataFrame, percent: int, final: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components in one group of ``groups`` (key, node, label), by ``_compared``: of labels, or of classes where it is ``final``.
 
     ``classes`` has node, n_shingles, sketch and set, which may be null.
 
@@ -303,10 +338,19 @@ def _apart(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     split_ = split_.select("key", "node", "label", (F.col("label") == F.col("top")).alias("is_top"), "block", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"))
     facts = split_.join(classes.select("node", "n_shingles", "sketch", "set"), "node")
     names = ["key", "lower", "upper"]
-    found = facts.repartition(*names).sortWithinPartitions(*names).mapInArrow(_compared(percent), "a binary, b binary")
+    found = facts.repartition(*names).sortWithinPartitions(*names).mapInArrow(_compared(percent, final), "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _in_families(apart: DataFrame, groups: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that join the components which ``apart`` (labels a, b) puts into one family and which have a link; ``groups`` (node, label) has the classes."""
+    families = components(apart).select(F.col("node").alias("label"), F.xxhash64("label").alias("key"))
+    members = written(groups.select("node", "label").distinct().join(families, "label").select("key", "node", "label"))
+    marked = rows.where("node is not null").select("node", "text", _cell(F.col("node")).alias("cell"))
+    sets = written(marked.mapInArrow(_full_sets(size, _marked(members)), "node binary, set binary").groupBy("node").agg(F.first("set").alias("set")).join(members.select("node"), "node", "left_semi"))
+    return _apart(members, classes.join(sets, "node"), percent, final=True)
+
+
 def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept, first: one row per row of ``docs``.
 
@@ -335,7 +379,8 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     if not crowd.isEmpty():
         tokens, sets = _rare_tokens(crowd, rows, size, percent)
         apart = apart.union(_apart(tokens, classes.join(sets, "node"), percent)).distinct()
-    rest = _links(written(apart.join(tried, ["a", "b"], "left_anti")), classes, rows, size, percent)
+    apart = written(apart)
+    rest = _links(written(_in_families(apart, sized, classes, rows, size, percent).join(tried, ["a", "b"], "left_anti")), classes, rows, size, percent)
     if not rest.isEmpty():
         labels = components(links.union(rest))
     rows = rows.select("row", "doc_id", "n_shingles", "node").join(labels, "node", "left")

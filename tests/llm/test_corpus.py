@@ -503,3 +503,23 @@ def test_probes_of_blocks_are_packed_and_meet_across_stretches():
     got = pa.concat_tables(found)
     assert got.num_rows == 2 * 3  # the first text's blocks at 0 and 10, and the other's at 10
     assert set(got["doc"].to_pylist()) == {0, 200_000}
+
+
+@pytest.mark.parametrize("final", [False, True])
+def test_a_group_of_alike_classes_sends_what_joins_its_components(final):
+    """Sixty classes that differ in label and agree in their sketches: no more pairs than join them leave the task, but for classes without set."""
+    n = 60
+    same = np.arange(100, dtype=np.uint64 if final else np.uint32)
+    sets = [same.tobytes() if k < 40 else (same + same.dtype.type(1000 * k)).tobytes() for k in range(n)]
+    names = [bytes([k]) * 16 for k in range(n)]
+
+    def pairs(sets):
+        batch = pa.RecordBatch.from_pydict({
+            "key": [7] * n, "node": names, "label": names, "is_top": [False] * n, "block": [0] * n, "lower": [0] * n, "upper": [0] * n, "n_shingles": [100] * n,
+            "sketch": [bytes(minhash_dedup.BINS)] * n, "set": pa.array(sets, pa.binary()),
+        })
+        return [(a.as_py()[0], b.as_py()[0]) for out in minhash_dedup._compared(85, final)(iter([batch])) for a, b in zip(out["a"], out["b"])]
+
+    got = pairs(sets)
+    assert len(got) == 39 and {x for pair in got for x in pair} == set(range(40))
+    assert len(pairs([None] * n)) == (n * (n - 1) // 2 if final else n - 1)
