@@ -12,7 +12,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casemeter.llm.common import written
+from casemeter.llm.common import without, written
 from casemeter.session import shared_folder
 
 
@@ -90,5 +90,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     mark = "_casemeter_dedup_row"
     docs = written(docs.withColumn(mark, F.monotonically_increasing_id()))
-    kept = deduplicate(docs, id_col, text_col, row_col=mark).where("kept").select(F.col("row").alias(mark))
-    return docs.join(kept, mark, "left_semi").drop(mark)
+    gone = deduplicate(docs, id_col, text_col, row_col=mark).where("not kept").select(F.col("row").alias(mark))
+    return without(docs, gone, mark).drop(mark)

@@ -154,7 +154,7 @@ def _verified(short_items: bool):
 
 
 def matches(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", short_items: bool = False) -> DataFrame:
-    """row, item_id, matched (most equal tokens of one window) of each document (row, text) and item that share a passage.
+    """row, item_id, matched (most equal tokens of one window) of each document (row, text) and item that share a passage; ``row`` may be a number or bytes.
 
     ``short_items`` matches items of 1 to ``WINDOW - 1`` tokens too, in windows of their own length. A table of 2**22 bits, half a megabyte whatever the benchmark's size, lets tasks pass over most seeds that no item has.
     """
@@ -165,10 +165,11 @@ def matches(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", it
     bits = np.zeros(1 << (_BITS - 3), np.uint8)
     bits[flags["byte"].to_numpy(np.int64)] = flags["bits"].to_numpy(np.int64)
     lengths = sorted(seeds.where(F.col("tokens") < WINDOW).select("tokens").distinct().toPandas()["tokens"].tolist())  # fewer than WINDOW
-    probes = rows.select(F.col("row").alias("id"), "text").mapInArrow(_emit(bits, lengths, short_items), "seed long, id long, tokens long, context binary")
+    kind = rows.schema["row"].dataType.simpleString()
+    probes = rows.select(F.col("row").alias("id"), "text").mapInArrow(_emit(bits, lengths, short_items), f"seed long, id {kind}, tokens long, context binary")
     probes = probes.select("seed", F.col("id").alias("row"), F.col("context").alias("doc_context"))
     pairs = probes.join(seeds.select("seed", F.col("id").alias("item_id"), "tokens", "context"), "seed")
-    found = pairs.select("row", "item_id", "tokens", "doc_context", "context").mapInArrow(_verified(short_items), "row long, item_id long, matched long")
+    found = pairs.select("row", "item_id", "tokens", "doc_context", "context").mapInArrow(_verified(short_items), f"row {kind}, item_id long, matched long")
     return found.groupBy("row", "item_id").agg(F.max("matched").alias("matched"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemeter.llm import exact_dedup, line_crf, minhash_dedup, nbest_pieces, spaced_seeds
-from casemeter.llm.common import table, written
+from casemeter.llm.common import table, without, written
 from casemeter.llm.queries import MODEL
 
 #: A name that no input column has; it marks rows inside a stage.
@@ -30,16 +30,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
     docs = _marked(docs)
-    kept = minhash_dedup.classify(docs, size=5, percent=80, row_col=_ROW).where("first").select(F.col("row").alias(_ROW))
-    return docs.join(kept, _ROW, "left_semi").drop(_ROW)
+    gone = minhash_dedup.classify(docs, size=5, percent=80, row_col=_ROW).where("not first").select(F.col("row").alias(_ROW))
+    return without(docs, gone, _ROW).drop(_ROW)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    docs = _marked(docs)
-    rows = docs.select(F.col(_ROW).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    found = spaced_seeds.matches(rows, table(spark, sf_dir, "benchmark"), short_items=True).select(F.col("row").alias(_ROW)).distinct()
-    return docs.join(found, _ROW, "left_anti").drop(_ROW)
+    """Documents without a passage of the benchmark. The text alone decides, so its digest finds the rows and no copy is written."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.withColumn(_ROW, F.substring(F.unhex(F.sha2(text, 256)), 1, 16))
+    rows = docs.select(F.col(_ROW).alias("row"), text.alias("text"))
+    found = spaced_seeds.matches(rows, table(spark, sf_dir, "benchmark"), short_items=True).select(F.col("row").alias(_ROW))
+    return without(docs, found, _ROW).drop(_ROW)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

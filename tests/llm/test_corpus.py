@@ -457,6 +457,56 @@ def test_pipeline_stages_take_odd_rows(spark, k):
     assert stage(spark, frame(spark, []), DATA).count() == 0
 
 
+def shuffled(df):
+    """Rows that the shuffles of ``df``'s own plan wrote, once it has run."""
+    df.collect()
+    rows, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        open_ += [children.apply(k) for k in range(children.size())]
+        open_ += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+    return rows
+
+
+@pytest.mark.parametrize("name", ["exact", "near", "decontaminate"])
+def test_stages_that_drop_few_rows_shuffle_few_texts(spark, tmp_path, monkeypatch, name):
+    item = " ".join(f"item{k}" for k in range(30))
+    texts = [f"{k} " + " ".join(f"w{(k * 31 + j * 17) % 9973}x{j}" for j in range(25)) for k in range(400)]
+    texts += [texts[7], texts[8] + " tail", f"before {item} behind", f"before {item} behind", None, ""]
+    docs = common.written(frame(spark, texts))
+    frame(spark, [item]).select(F.col("doc_id").alias("item_id"), "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    (tmp_path / "tables").mkdir()
+    monkeypatch.setattr(common, "shared_folder", lambda s, n=itertools.count(): f"{tmp_path}/tables/{next(n)}")
+    kept = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    # Rows 401 and 404 are whole copies, 402 is a near copy of 9; null and empty texts are copies, without words, and clean.
+    gone = {"exact": {401, 404, 406}, "near": {401, 402, 404}, "decontaminate": {403, 404}}[name]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(range(1, 407)) - gone)
+    assert kept.columns == docs.columns
+    if name == "decontaminate":  # no copy of the documents is written
+        assert not any("lang" in spark.read.parquet(str(p / "table")).columns for p in (tmp_path / "tables").iterdir())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))) < 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_in_marked_cells_stay_unless_they_are_gone(spark, monkeypatch):
+    """With 64 cells nearly every row is joined; keys may repeat and be bytes, and a column may have any name."""
+    docs = spark.range(3000).select(F.col("id").alias("word"), (F.col("id") % 1000).cast("string").cast("binary").alias("key"), F.lit(None).cast("long").alias("bits"))
+    gone = spark.range(100, 300).select((F.col("id") % 150).cast("string").cast("binary").alias("key"))
+    for cells in (common._CELLS, 6):
+        monkeypatch.setattr(common, "_CELLS", cells)
+        for some in (gone, gone.where("false")):
+            got = common.without(docs, some, "key")
+            drop = {int(r["key"]) for r in some.collect()}
+            assert got.columns == docs.columns and sorted(r["word"] for r in got.collect()) == [k for k in range(3000) if k % 1000 not in drop]
+
+
 def test_round_trip_decodes_each_whole_segmentation(monkeypatch):
     have = nbest_pieces.pieces(queries.MODEL)
     texts = pa.array(["there the cat", "", "the the  x"])
